@@ -10,8 +10,21 @@ TARGET = "Class"
 REQUIRED_METRICS: list[str] = ["accuracy", "f1", "precision", "recall"]
 
 
-def _table(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES: dict[str, T.DataType] = {
+    "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "string": T.StringType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "features": T.MapType(T.StringType(), T.DoubleType()),
+}
+
+
+def _table(columns: str) -> T.StructType:
+    """``"id bigint, features features"`` to a schema, without a session."""
+    pairs = [c.split() for c in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind.lower()]) for name, kind in pairs])
 
 
 TRAINING = T.StructType(
@@ -20,7 +33,7 @@ TRAINING = T.StructType(
 
 TABLES: dict[str, T.StructType] = {
     "predictions": _table(
-        "id BIGINT, timestamp TIMESTAMP, model_version STRING, features MAP<STRING, DOUBLE>, "
+        "id BIGINT, timestamp TIMESTAMP, model_version STRING, features features, "
         "predicted_label INT, confidence DOUBLE, latency_ms DOUBLE"
     ),
     # Late labels, acknowledgements and promotions are events of their own:

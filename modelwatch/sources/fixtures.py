@@ -91,6 +91,14 @@ ADAPTERS: dict[str, str] = {
                       ' asked for a retrain because of drift') AS trigger_reason,
                CASE o_orderstatus WHEN 'O' THEN 'STARTED' WHEN 'F' THEN 'COMPLETED' ELSE 'REJECTED' END AS status
         FROM {orders}""",
+    # one drift summary per order, with the inputs of the rules and some gaps
+    "decision_inputs": """
+        SELECT o_orderkey AS id, o_orderdate AS event_ts,
+               CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE (o_custkey % 400) / 1000 END AS overall_psi,
+               CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey % 161 - 80) / 1000 END AS f1_delta,
+               CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_custkey % 31) / 100 END AS hellinger,
+               o_orderkey % 6 AS streak
+        FROM {orders}""",
     "concept_pairs": "SELECT doc_id AS id, quality AS y_true, 1 - toxic AS y_pred FROM {labels}",
     "order_features": """
         SELECT o_orderkey AS id, o_totalprice AS price, CAST(o_custkey % 97 AS DOUBLE) AS cust,

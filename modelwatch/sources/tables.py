@@ -54,34 +54,48 @@ class MonitorTables:
                 made.append(name)
         return made
 
-    def read(self, name: str) -> DataFrame:
+    def _scan(self, name: str, folder: str) -> DataFrame | None:
         schema = TABLES[name]
         if name in DAILY:
             schema = T.StructType([*schema.fields, T.StructField("date", T.DateType())])
         try:
-            return self.spark.read.schema(schema).parquet(self.path(name))
+            return self.spark.read.schema(schema).parquet(self.path(folder))
         except AnalysisException as err:
             if "PATH_NOT_FOUND" not in str(err):
                 raise
-            return self.spark.createDataFrame([], schema)
+            return None
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Append rows; columns the table does not know are left out and
-        missing ones are NULL."""
-        schema = TABLES[name]
+    def read(self, name: str) -> DataFrame:
+        """All rows of a table, landed streams included; empty if there is none."""
+        parts = [p for p in (self._scan(name, name), self._scan(name, f"{name}_stream")) if p is not None]
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[name])
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
         columns = [
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
+            for f in TABLES[name].fields
         ]
         out = rows.select(*columns)
+        return out.withColumn("date", F.to_date(DAILY[name])) if name in DAILY else out
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Append rows; columns the table does not know are left out and
+        missing ones are NULL."""
+        out = self._shaped(name, rows)
         if name in DAILY:
-            out = out.withColumn("date", F.to_date(DAILY[name]))
             # rows of one day meet in few files; a busy day still spreads
             out = out.repartition("date", F.pmod(F.xxhash64("id"), F.lit(16)))
             out.write.mode("append").partitionBy("date").parquet(self.path(name))
         else:
             out.write.mode("append").parquet(self.path(name))
 
+    def land_batch(self, rows: DataFrame, stream: str, batch_id: int, name: str = "predictions") -> None:
+        """Write one micro-batch to a folder of its own, replacing an earlier try."""
+        folder = f"{self.path(name)}_stream/stream={stream}/batch={batch_id}"
+        self._shaped(name, rows).write.mode("overwrite").partitionBy("date").parquet(folder)
+
     def overwrite(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(self.path(name))
 
