@@ -134,21 +134,47 @@ def suppress_repeats(
     alerts it holds.
     """
     keys = list(keys)
-    reach = minutes * 60_000_000
-    at = micros(F.col(ts))
-    slotted = alerts.withColumn("_slot", F.floor(at / F.lit(reach)).cast("bigint"))
-    slots = slotted.groupBy(*keys, "_slot").agg(
-        F.min(F.struct(at.alias("at"), F.col(tie).alias("tie"))).alias("_first"),
-        F.max(at).alias("_last"),
-    )
-    before = F.lag("_last").over(W.partitionBy(*keys).orderBy("_slot"))
-    slots = slots.withColumn("_before", before)
-    opens = F.col("_before").isNull() | (F.col("_first.at") - F.col("_before") > reach)
-    slots = slots.select(*keys, "_slot", F.when(opens, F.col("_first.tie")).alias("_sent"))
+    slotted = alerts.withColumn("_slot", _slot(ts, minutes))
+    slots = _slot_heads(slotted, ts, tie, keys, minutes, F.struct(F.col(tie).alias("tie")))
+    slots = slots.select(*keys, "_slot", F.when(F.col("_opens"), F.col("_head.tie")).alias("_sent"))
     joined = join_small(slotted, slots, [*keys, "_slot"])
     sent = F.coalesce(F.col(tie) == F.col("_sent"), F.lit(False))
     return joined.withColumn("suppressed", ~sent).select(*alerts.columns, "suppressed")
 
 
-def dispatched(alerts: DataFrame, **options) -> DataFrame:
-    return suppress_repeats(alerts, **options).filter(~F.col("suppressed")).drop("suppressed")
+def dispatched(
+    alerts: DataFrame,
+    ts: str = "timestamp",
+    tie: str = "id",
+    keys: Sequence[str] = ("drift_type", "metric_name"),
+    minutes: int = 30,
+) -> DataFrame:
+    """The alerts that are sent: the slot heads themselves, so nothing is joined
+    back to the table."""
+    keys = list(keys)
+    rest = [c for c in alerts.columns if c not in keys]
+    slotted = alerts.withColumn("_slot", _slot(ts, minutes))
+    heads = _slot_heads(slotted, ts, tie, keys, minutes, F.struct(*rest)).filter("_opens")
+    return heads.select(*keys, "_head.*").select(*alerts.columns)
+
+
+def _slot(ts: str, minutes: int) -> Column:
+    """Start of the slot, in microseconds."""
+    at = micros(F.col(ts))
+    return at - F.pmod(at, F.lit(minutes * 60_000_000))
+
+
+def _slot_heads(
+    slotted: DataFrame, ts: str, tie: str, keys: list[str], minutes: int, head: Column
+) -> DataFrame:
+    """Per key and slot: its first alert (``_head``) and whether that one has
+    nothing within reach (``_opens``)."""
+    at = micros(F.col(ts))
+    slots = slotted.groupBy(*keys, "_slot").agg(
+        F.min_by(head, F.struct(at.alias("at"), F.col(tie).alias("tie"))).alias("_head"),
+        F.min(at).alias("_first"),
+        F.max(at).alias("_last"),
+    )
+    before = F.lag("_last").over(W.partitionBy(*keys).orderBy("_slot"))
+    opens = before.isNull() | (F.col("_first") - before > minutes * 60_000_000)
+    return slots.withColumn("_opens", opens)

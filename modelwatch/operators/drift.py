@@ -13,6 +13,7 @@ from ..functions.columns import overall_status, ratio, severity, severity_name,
 from ..schemas import REQUIRED_METRICS
 from . import bins as B
 from .metrics import binary_metrics
+from .quantiles import largest_group
 from .sizing import join_small
 
 #: Fixed value: added to every share, after normalising, before the logarithm.
@@ -70,7 +71,9 @@ def feature_drift(
     cur_long = B.to_long(current, features, by)
     ref_keys = [*ref_by, "feature"]
     if profile is None:
-        profile = B.quantile_profile(ref_long, ref_keys, bins=bins, method=method)
+        # a feature has at most as many values as its group has rows
+        biggest = largest_group(reference, ref_by)
+        profile = B.quantile_profile(ref_long, ref_keys, bins=bins, method=method, biggest=biggest)
     if ref_by == by:
         both = ref_long.withColumn("is_ref", F.lit(True)).unionByName(
             cur_long.withColumn("is_ref", F.lit(False))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import coverage_band, ratio
+from ..session import materialise
 from .ranking import running_totals
 
 
@@ -84,14 +85,15 @@ def roc_curve(df: DataFrame, y_true: str, score: str, by: Sequence[str] = (), bu
     """Points (``threshold``, ``fpr``, ``tpr``) by falling score, ties in one
     point; nothing unless both classes occur.
 
-    Rows shrink to one per distinct score before anything is ordered, and the
-    running sums are taken in score ranges side by side.
+    Rows shrink to one per distinct score before anything is ordered; that
+    table is written once, and the running sums are taken over it in score
+    ranges side by side.
     """
     known = df.filter(F.col(y_true).isNotNull() & F.col(score).isNotNull())
     steps = known.groupBy(*by, F.col(score).alias("threshold")).agg(
         F.count_if(F.col(y_true) == 1).alias("pos"), F.count_if(F.col(y_true) != 1).alias("neg")
     )
-    cum = running_totals(steps, "threshold", ["pos", "neg"], by, descending=True, buckets=buckets)
+    cum = running_totals(materialise(steps, "scores"), "threshold", ["pos", "neg"], by, descending=True, buckets=buckets)
     cum = cum.filter((F.col("total_pos") > 0) & (F.col("total_neg") > 0))
     return cum.select(
         *by,

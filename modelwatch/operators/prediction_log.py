@@ -101,13 +101,24 @@ def response_rows(scored: DataFrame, ts: str = "timestamp") -> DataFrame:
 # -- statistics -------------------------------------------------------------
 
 def prediction_stats(predictions: DataFrame, ts: str = "timestamp", by: Sequence[str] = ()) -> DataFrame:
-    """Count, mean latency, throughput per minute and newest version, one scan."""
-    newest_version = F.max_by("model_version", F.struct(ts, "id"))
-    out = predictions.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("total_predictions"),
-        F.coalesce(F.round(F.avg("latency_ms"), 3), F.lit(0.0)).alias("avg_latency_ms"),
-        ((micros(F.max(ts)) - micros(F.min(ts))) / 60_000_000.0).alias("_minutes"),
-        newest_version.alias("latest_model_version"),
+    """Count, mean latency, throughput per minute and newest version, one scan.
+
+    Rows are first reduced to one per version, in a hash aggregate; picking the
+    newest version straight from the log would sort it.
+    """
+    versions = predictions.groupBy(*by, F.col("model_version").alias("_version")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count("latency_ms").alias("_timed"),
+        F.sum("latency_ms").alias("_latency"),
+        F.min(ts).alias("_from"),
+        F.max(ts).alias("_to"),
+    )
+    mean = ratio(F.sum("_latency"), F.sum("_timed"))
+    out = versions.groupBy(*by).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_predictions"),
+        F.round(mean, 3).alias("avg_latency_ms"),
+        ((micros(F.max("_to")) - micros(F.min("_from"))) / 60_000_000.0).alias("_minutes"),
+        F.max_by("_version", F.struct("_to", "_version")).alias("latest_model_version"),
     )
     rate = F.round(ratio(F.col("total_predictions"), F.col("_minutes")), 2)
     return out.withColumn("predictions_per_minute", F.when(F.col("_minutes") > 0, rate).otherwise(0.0)).drop("_minutes")

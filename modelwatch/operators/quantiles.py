@@ -3,7 +3,8 @@
 Small groups use the built-in exact ``percentile``.  Groups beyond
 ``group_limit`` rows are narrowed first: a sketch brackets every wanted rank,
 rows outside the brackets are only counted, and rows inside (about
-``10 / accuracy`` of the group per rank) are ranked exactly.
+``10 / accuracy`` of the group per rank) are ranked exactly, in value ranges
+side by side if a bracket is itself beyond the limit.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sizing import join_small
+from ..session import materialise
+from .ranking import running_totals
+from .sizing import join_small, settle
 
 #: Rows per group up to which a group may be ranked in one task.
 GROUP_LIMIT = 2_000_000
@@ -34,6 +37,7 @@ class Pick:
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the biggest group: a count that reads the key columns only."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.max("n")).first()[0] or 0
 
@@ -45,48 +49,75 @@ def order_statistics(
     picks: Sequence[Pick],
     group_limit: int = GROUP_LIMIT,
     accuracy: int = 10_000,
-    biggest: int | None = None,
 ) -> DataFrame:
     """One row per group: keys, ``n`` and one column per pick."""
     keys = list(keys)
-    rows = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    rows = _rows(df, keys, value)
+    brackets = None
+    if largest_group(rows, keys) > group_limit:
+        brackets = _brackets(rows, keys, picks, accuracy)
+    return _ranked(rows, keys, picks, brackets, group_limit)
+
+
+def quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    method: str = "exact",
+    group_limit: int = GROUP_LIMIT,
+    accuracy: int = 10_000,
+    biggest: int | None = None,
+) -> DataFrame:
+    """Linear-interpolated quantiles: keys, ``n`` and the array ``q``.
+
+    ``method='approx'`` takes ``percentile_approx`` instead.  ``biggest`` is an
+    upper bound of the group sizes, for callers that know one.
+    """
+    keys = list(keys)
+    rows = _rows(df, keys, value)
+    size = F.count(F.lit(1)).alias("n")
+    array = f"array({', '.join(f'{p!r}D' for p in probs)})"
+    if method == "approx":
+        return rows.groupBy(*keys).agg(size, F.expr(f"percentile_approx(_v, {array}, {accuracy})").alias("q"))
+    if method != "exact":
+        raise ValueError(f"unknown method: {method}")
+
     if biggest is None:
         biggest = largest_group(rows, keys)
     if biggest <= group_limit:
-        cells = rows.withColumn("_seg", F.lit(0)).withColumn("_cell", F.col("_v"))
-    else:
-        cells = _bracketed(rows, keys, picks, accuracy)
-    cells = cells.groupBy(*keys, "_seg", "_cell").agg(F.count(F.lit(1)).alias("_c"))
-    # Ranks restart in each segment, so a window holds one bracket, not a group.
-    segments = cells.groupBy(*keys, "_seg").agg(F.sum("_c").alias("_size"))
-    before = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
-    segments = segments.select(
-        *keys,
-        "_seg",
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"),
-        F.sum("_size").over(W.partitionBy(*keys)).alias("n"),
-    )
-    inside = W.partitionBy(*keys, "_seg").orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        cells.filter(F.col("_cell").isNotNull())
-        .withColumn("_upto", F.sum("_c").over(inside))
-        .join(segments, [*keys, "_seg"])
-        .withColumn("_to", F.col("_base") + F.col("_upto"))
-        .withColumn("_from", F.col("_to") - F.col("_c"))
-    )
-    found = []
-    for p in picks:
-        rank = p.rank(F.col("n"))
-        hit = (F.col("_from") <= rank) & (rank < F.col("_to"))
-        found.append(F.max(F.when(hit, F.col("_cell"))).alias(p.name))
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *found)
+        return rows.groupBy(*keys).agg(size, F.expr(f"percentile(_v, {array})").alias("q"))
+
+    def position(p: float):
+        return lambda n: F.lit(p) * (n - 1)
+
+    picks = []
+    for i, p in enumerate(probs):
+        at = position(p)
+        picks.append(Pick(f"_a{i}", p, lambda n, at=at: F.floor(at(n))))
+        picks.append(Pick(f"_b{i}", p, lambda n, at=at: F.ceil(at(n))))
+    stats = _ranked(rows, keys, picks, _brackets(rows, keys, picks, accuracy), group_limit)
+    values = []
+    for i, p in enumerate(probs):
+        at, a, b = position(p)(F.col("n")), F.col(f"_a{i}"), F.col(f"_b{i}")
+        mixed = (F.ceil(at) - at) * a + (at - F.floor(at)) * b
+        values.append(F.when(a == b, a).otherwise(mixed))
+    return stats.select(*keys, "n", F.array(*values).alias("q"))
+
 
+def _rows(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
 
-def _bracketed(rows: DataFrame, keys: list[str], picks: Sequence[Pick], accuracy: int) -> DataFrame:
-    """Rows tagged with a segment: odd ones are brackets and keep their value,
-    even ones are the gaps between and are only counted (``_cell`` NULL)."""
+
+def _fractions(picks: Sequence[Pick]) -> list[float]:
+    return sorted({min(max(p.fraction, 0.0), 1.0) for p in picks})
+
+
+def _brackets(rows: DataFrame, keys: list[str], picks: Sequence[Pick], accuracy: int) -> DataFrame:
+    """For every wanted fraction of every group two values that are sure to
+    enclose it.  One pass; the result is small and already computed."""
     margin = 5.0 / accuracy
-    fractions = sorted({min(max(p.fraction, 0.0), 1.0) for p in picks})
+    fractions = _fractions(picks)
     lows = [max(f - margin, 0.0) for f in fractions]
     highs = [min(f + margin, 1.0) for f in fractions]
     probs = ", ".join(f"{x!r}D" for x in lows + highs)
@@ -109,54 +140,57 @@ def _bracketed(rows: DataFrame, keys: list[str], picks: Sequence[Pick], accuracy
         low = F.min("_mn") if lows[i] == 0.0 else F.when(few, F.min("_mn")).otherwise(F.min(F.col("_q")[i]))
         high = F.max("_mx") if highs[i] == 1.0 else F.when(few, F.max("_mx")).otherwise(F.max(F.col("_q")[k + i]))
         bounds += [low.alias(f"_lo{i}"), high.alias(f"_hi{i}")]
-    brackets = sketches.groupBy(*keys).agg(*bounds)
-    tagged = join_small(rows, brackets, keys)
+    return settle(sketches.groupBy(*keys).agg(*bounds), "brackets")
+
+
+def _tagged(rows: DataFrame, keys: list[str], picks: Sequence[Pick], brackets: DataFrame) -> DataFrame:
+    """Rows with a segment: odd ones are brackets and keep their value, even ones
+    are the gaps between and are only counted (``_cell`` NULL)."""
+    k = len(_fractions(picks))
+    joined = join_small(rows, brackets, keys)
     v = F.col("_v")
     seg, cell = F.when(F.lit(False), -1), F.when(F.lit(False), v)
     for i in range(k):
         seg = seg.when(v < F.col(f"_lo{i}"), 2 * i).when(v <= F.col(f"_hi{i}"), 2 * i + 1)
         cell = cell.when(v < F.col(f"_lo{i}"), None).when(v <= F.col(f"_hi{i}"), v)
-    return tagged.select(*keys, seg.otherwise(2 * k).alias("_seg"), cell.otherwise(None).alias("_cell"))
+    return joined.select(*keys, seg.otherwise(2 * k).alias("_seg"), cell.otherwise(None).alias("_cell"))
 
 
-def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    method: str = "exact",
-    group_limit: int = GROUP_LIMIT,
-    accuracy: int = 10_000,
+def _ranked(
+    rows: DataFrame, keys: list[str], picks: Sequence[Pick], brackets: DataFrame | None, group_limit: int
 ) -> DataFrame:
-    """Linear-interpolated quantiles: keys, ``n`` and the array ``q``.
-
-    ``method='approx'`` takes ``percentile_approx`` instead.
-    """
-    keys = list(keys)
-    df = df.filter(F.col(value).isNotNull())
-    array = ", ".join(f"{p!r}D" for p in probs)
-    if method == "approx":
-        call = f"percentile_approx({value}, array({array}), {accuracy})"
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.expr(call).alias("q"))
-    if method != "exact":
-        raise ValueError(f"unknown method: {method}")
-    biggest = largest_group(df, keys)
-    if biggest <= group_limit:
-        call = f"percentile({value}, array({array}))"
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.expr(call).alias("q"))
-
-    def position(p: float):
-        return lambda n: F.lit(p) * (n - 1)
-
-    picks = []
-    for i, p in enumerate(probs):
-        at = position(p)
-        picks.append(Pick(f"_a{i}", p, lambda n, at=at: F.floor(at(n))))
-        picks.append(Pick(f"_b{i}", p, lambda n, at=at: F.ceil(at(n))))
-    stats = order_statistics(df, keys, value, picks, group_limit, accuracy, biggest)
-    values = []
-    for i, p in enumerate(probs):
-        at, a, b = position(p)(F.col("n")), F.col(f"_a{i}"), F.col(f"_b{i}")
-        mixed = (F.ceil(at) - at) * a + (at - F.floor(at)) * b
-        values.append(F.when(a == b, a).otherwise(mixed))
-    return stats.select(*keys, "n", F.array(*values).alias("q"))
+    narrow = brackets is not None
+    if narrow:
+        cells = _tagged(rows, keys, picks, brackets)
+    else:
+        cells = rows.select(*keys, F.lit(0).alias("_seg"), F.col("_v").alias("_cell"))
+    cells = cells.groupBy(*keys, "_seg", "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    if narrow:
+        # about a hundredth of the input; written once, read by the steps below
+        cells = materialise(cells, "cells")
+    # Ranks restart in each segment, so a window holds one bracket, not a group.
+    segments = cells.groupBy(*keys, "_seg").agg(F.sum("_c").alias("_size"))
+    before = W.partitionBy(*keys).orderBy("_seg").rowsBetween(W.unboundedPreceding, -1)
+    segments = segments.select(
+        *keys,
+        "_seg",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"),
+        F.sum("_size").over(W.partitionBy(*keys)).alias("n"),
+    )
+    inside = cells.filter(F.col("_cell").isNotNull())
+    if narrow and largest_group(inside, [*keys, "_seg"]) > group_limit:
+        upto = running_totals(inside, "_cell", ["_c"], [*keys, "_seg"]).withColumnRenamed("cum__c", "_upto")
+    else:
+        so_far = W.partitionBy(*keys, "_seg").orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
+        upto = inside.withColumn("_upto", F.sum("_c").over(so_far))
+    ranked = (
+        upto.join(segments, [*keys, "_seg"])
+        .withColumn("_to", F.col("_base") + F.col("_upto"))
+        .withColumn("_from", F.col("_to") - F.col("_c"))
+    )
+    found = []
+    for p in picks:
+        rank = p.rank(F.col("n"))
+        hit = (F.col("_from") <= rank) & (rank < F.col("_to"))
+        found.append(F.max(F.when(hit, F.col("_cell"))).alias(p.name))
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *found)

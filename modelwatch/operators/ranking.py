@@ -29,7 +29,8 @@ def oldest(df: DataFrame, n: int, ts: str, tie: str = "id") -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str, tie: str | None = "id") -> DataFrame:
-    """The newest whole row of every key, by partial aggregation (no sort)."""
+    """The newest whole row of every key, by partial aggregation: a task sends
+    one row per key, however many it holds."""
     rest = [c for c in df.columns if c not in keys]
     order = F.struct(ts, tie) if tie else F.struct(ts)
     best = F.max_by(F.struct(*rest), order).alias("_best")

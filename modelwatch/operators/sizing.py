@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: Most rows a side may have to be broadcast (a profile row is about 200 bytes).
 SMALL_SIDE_ROWS = 50_000
 
@@ -23,6 +25,13 @@ def gather_small(small: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame
     return small.sparkSession.createDataFrame(table, schema=small.schema)
 
 
+def settle(small: DataFrame, label: str = "table", max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
+    """Compute a frame that is expected to be small, once: a local relation, or
+    beyond ``max_rows`` a table in the scratch folder."""
+    local = gather_small(small, max_rows)
+    return local if local is not None else materialise(small, label)
+
+
 def join_small(
     big: DataFrame,
     small: DataFrame,

@@ -9,13 +9,18 @@ from ...functions.columns import band_above, drifted_count_band, psi_card, psi_l
 from ...operators import bins as B
 from ...operators import drift as D
 from ...operators.results import psi_heatmap
-from ...sources.fixtures import LINE_FEATURES, adapter, adapter_sql
+from ...sources.fixtures import FEATURE_SPLIT, LINE_FEATURES, adapter, adapter_sql
 from .registry import query, r6
 
 
 def _sides(spark: SparkSession, sf_dir: str, name: str = "features_shifted") -> tuple[DataFrame, DataFrame]:
-    rows = adapter(spark, sf_dir, name)
-    return rows.filter(F.col("side") == "ref"), rows.filter(F.col("side") == "cur")
+    return _cut(adapter(spark, sf_dir, name))
+
+
+def _cut(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two sides by ship date, a filter the scan understands."""
+    day, split = F.col("l_shipdate"), F.expr(FEATURE_SPLIT.replace("TIMESTAMP ", "TIMESTAMP_NTZ "))
+    return rows.filter(day < split), rows.filter((day >= split) | day.isNull())
 
 
 def _per_feature(spark, sf_dir, name="features_shifted", **options) -> DataFrame:
@@ -231,7 +236,7 @@ def _monthly(spark, sf_dir):
     rows = adapter(spark, sf_dir, "features_shifted").withColumn(
         "month", F.date_format("l_shipdate", "yyyy-MM")
     )
-    reference, current = rows.filter(F.col("side") == "ref"), rows.filter(F.col("side") == "cur")
+    reference, current = _cut(rows)
     return D.feature_drift(reference, current, LINE_FEATURES, by=["month"], reference_by=[])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -12,10 +13,9 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..operators import decision as decide
 from ..operators import drift as D
-from ..operators.prediction_log import enough_samples, feature_columns, recent
+from ..operators.prediction_log import enough_samples, feature_columns
 from ..operators.results import drift_result_rows, drift_summary
-from ..operators.sizing import gather_small
-from ..session import materialise
+from ..operators.sizing import gather_small, settle
 from ..sources.tables import MonitorTables
 
 log = logging.getLogger(__name__)
@@ -40,9 +40,7 @@ class DriftCheck:
 def _isolated(name: str, build: Callable[[], DataFrame], failed: dict[str, str]) -> DataFrame | None:
     """Run one detector to its (small) result, so that its failure stays its own."""
     try:
-        result = build()
-        local = gather_small(result)
-        return local if local is not None else materialise(result, name)
+        return settle(build(), name)
     except Exception as err:  # noqa: BLE001
         log.exception("%s check failed", name)
         failed[name] = str(err).splitlines()[0] if str(err) else type(err).__name__
@@ -72,11 +70,9 @@ def run_drift_check(
     if window.isEmpty():
         log.warning("drift check on an empty window")
         return out
-    parts: dict[str, DataFrame | None] = {"data": None, "prediction": None, "concept": None}
+    branches: dict[str, Callable[[], DataFrame]] = {}
     if data is not None:
-        parts["data"] = _isolated(
-            "data", lambda: D.data_drift_check(data(window), features, by, settings), out.failed
-        )
+        branches["data"] = lambda: D.data_drift_check(data(window), features, by, settings)
     if prediction_baseline is not None:
         def both() -> DataFrame:
             columns = [*by, "predicted_label", "confidence"]
@@ -85,18 +81,21 @@ def run_drift_check(
             )
             return D.prediction_drift_check(sides, by=by, settings=settings)
 
-        parts["prediction"] = _isolated("prediction", both, out.failed)
+        branches["prediction"] = both
     if metric_baseline is not None:
-        parts["concept"] = _isolated(
-            "concept",
-            lambda: D.concept_drift_check(
-                window.filter(F.col("true_label").isNotNull()), metric_baseline, by=by, settings=settings
-            ),
-            out.failed,
+        branches["concept"] = lambda: D.concept_drift_check(
+            window.filter(F.col("true_label").isNotNull()), metric_baseline, by=by, settings=settings
         )
+    # The branches share no result, so their jobs are submitted side by side.
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        span = pool.submit(lambda: window.agg(F.min(ts), F.max(ts)).first())
+        started = {name: pool.submit(_isolated, name, build, out.failed) for name, build in branches.items()}
+        parts: dict[str, DataFrame | None] = {
+            name: started[name].result() if name in started else None for name in ("data", "prediction", "concept")
+        }
+        first, last = span.result()
     out.summary = drift_summary(parts["data"], parts["prediction"], parts["concept"], by)
     if out.summary is not None:
-        first, last = window.agg(F.min(ts), F.max(ts)).first()
         out.results = drift_result_rows(
             parts["data"], parts["prediction"], parts["concept"], F.lit(last), F.lit(first), F.lit(last), settings=settings
         )
@@ -132,7 +131,7 @@ def monitor_once(
     window is a top-k of fixed size, so it is kept between the branches.
     """
     settings = settings or Settings()
-    window = feature_columns(recent(tables.predictions(), settings.window_size), features).persist()
+    window = feature_columns(tables.recent_predictions(settings.window_size), features).persist()
     try:
         if not enough_samples(window, settings.min_samples).first()["ready"]:
             return None

@@ -22,6 +22,9 @@ from ..sources.tables import MonitorTables
 
 log = logging.getLogger(__name__)
 
+#: Newest labelled predictions that join the original rows.
+RECENT_LABELLED = 1000
+
 
 def model_path(tables: MonitorTables, version: int) -> str:
     return f"{tables.root}/models/v{version}"
@@ -86,7 +89,8 @@ def retrain(
     run = _Run(tables, reason, old_version, old_f1)
     run.mark("STARTED")
     try:
-        combined = retraining_dataset(original, tables.predictions(), features, target)
+        fresh = tables.recent_labelled(RECENT_LABELLED)
+        combined = retraining_dataset(original, fresh, features, target, RECENT_LABELLED)
         # Row ids are given once and written down, so every later pass and
         # every recomputed task sees the same ones.
         rows = materialise(
@@ -123,7 +127,7 @@ def retrain(
         if scaler is not None:
             tables.append("scaler", scaler.withColumn("version", F.lit(version)))
         tables.promote(version, now)
-        tables.save_baseline(train, features)
+        tables.save_baseline(train, features, version)
         run.mark("COMPLETED", version, new_f1)
         run.alert("RESOLVED", new_f1, f"Retraining completed: version {version} is in production. Trigger: {reason}")
         return True

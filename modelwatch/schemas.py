@@ -58,7 +58,6 @@ TABLES: dict[str, T.StructType] = {
         "event_id STRING, seq INT, timestamp TIMESTAMP, trigger_reason STRING, old_version INT, "
         "new_version INT, old_f1 DOUBLE, new_f1 DOUBLE, status STRING"
     ),
-    "baseline": _table("feature STRING, value DOUBLE"),
     "scaler": _table("version INT, column STRING, mean DOUBLE, std DOUBLE"),
 }
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def get_session(app: str = "modelwatch", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library is tested under."""
@@ -35,7 +37,21 @@ def scratch_dir(spark: SparkSession, label: str = "work") -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="modelwatch-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders of this session once their results are no
+    longer read; returns how many there were."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _made:
+        path = hadoop.Path(_made.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:

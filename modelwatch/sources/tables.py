@@ -85,8 +85,8 @@ class MonitorTables:
         missing ones are NULL."""
         out = self._shaped(name, rows)
         if name in DAILY:
-            # rows of one day meet in few files; a busy day still spreads
-            out = out.repartition("date", F.pmod(F.xxhash64("id"), F.lit(16)))
+            # rows of one day meet in few files, and AQE splits a day that is too big
+            out = out.hint("rebalance", "date")
             out.write.mode("append").partitionBy("date").parquet(self.path(name))
         else:
             out.write.mode("append").parquet(self.path(name))
@@ -136,6 +136,43 @@ class MonitorTables:
         """Predictions with their newest label."""
         return L.attach_labels(self.read("predictions"), self.read("labels"))
 
+    def _days(self) -> list[tuple[object, int]]:
+        """Days of the log, newest first, with their rows (file metadata only)."""
+        counts = self.read("predictions").groupBy("date").count()
+        return [(r["date"], r["count"]) for r in counts.orderBy(F.col("date").desc()).collect()]
+
+    def recent_predictions(self, n: int) -> DataFrame:
+        """The ``n`` newest predictions with their labels.
+
+        Only the newest days that hold ``n`` rows are read, and labels are looked
+        up for those rows alone.
+        """
+        total, cutoff = 0, None
+        for cutoff, count in self._days():
+            total += count
+            if total >= n:
+                break
+        rows = self.read("predictions")
+        if cutoff is not None:
+            rows = rows.filter(F.col("date") >= F.lit(cutoff))
+        window = L.recent(rows, n)
+        labels = self.read("labels").join(F.broadcast(window.select("id")), "id", "left_semi")
+        return L.attach_labels(window, labels)
+
+    def recent_labelled(self, n: int) -> DataFrame:
+        """The ``n`` newest labelled predictions.  The days looked at double until
+        they hold enough, so a long log is not joined as a whole."""
+        days = [day for day, _ in self._days()]
+        rows = self.read("predictions")
+        span = 1
+        while True:
+            whole = span >= len(days)
+            part = rows if whole else rows.filter(F.col("date") >= F.lit(days[span - 1]))
+            labelled = L.recent_labelled(L.attach_labels(part, self.read("labels")), n)
+            if whole or labelled.count() >= n:
+                return labelled
+            span *= 2
+
     # -- alerts ---------------------------------------------------------------
 
     def alerts(self) -> DataFrame:
@@ -170,26 +207,39 @@ class MonitorTables:
 
     # -- baseline -------------------------------------------------------------
 
-    def save_baseline(self, df: DataFrame, features: Sequence[str], bins: int = 10) -> None:
-        """Store the reference values and, once per promotion, their bin edges
-        and bin counts, which the checks read instead of the values."""
-        self.overwrite("baseline", to_long(df, features))
-        values = self.read("baseline")
-        profile = quantile_profile(values, ["feature"], bins=bins)
-        self.overwrite(_PROFILE, profile)
-        stored = self.spark.read.parquet(self.path(_PROFILE))
-        self.overwrite(_COUNTS, reference_counts(values, stored, ["feature"], bins))
-
-    def load_baseline(self) -> DataFrame:
-        values = self.read("baseline")
-        if values.isEmpty():
+    def save_baseline(self, df: DataFrame, features: Sequence[str], version: int = 0, bins: int = 10) -> None:
+        """Store the reference values of a version and, once, their bin edges and
+        bin counts, which the checks read instead of the values."""
+        at = f"version={version}"
+        self.overwrite(f"baseline/{at}", to_long(df, features))
+        values = self.spark.read.parquet(self.path(f"baseline/{at}"))
+        self.overwrite(f"{_PROFILE}/{at}", quantile_profile(values, ["feature"], bins=bins))
+        stored = self.spark.read.parquet(self.path(f"{_PROFILE}/{at}"))
+        self.overwrite(f"{_COUNTS}/{at}", reference_counts(values, stored, ["feature"], bins))
+
+    def baseline_version(self) -> int:
+        """The newest version with a baseline (its profile is written last)."""
+        try:
+            found = self.spark.read.parquet(self.path(_COUNTS)).agg(F.max("version")).first()[0]
+        except AnalysisException as err:
+            if "PATH_NOT_FOUND" not in str(err):
+                raise
+            found = None
+        if found is None:
             raise MissingBaseline(f"no reference distribution under {self.path('baseline')}")
-        return values
-
-    def load_profile(self) -> tuple[DataFrame, DataFrame]:
-        """(edges, reference counts) of the stored baseline."""
-        self.load_baseline()
-        read = self.spark.read.parquet
-        profile = read(self.path(_PROFILE))
-        bins = sum(c.startswith("e") and c[1:].isdigit() for c in profile.columns) - 1
-        return profile.select("feature", "n_ref", "n_edges", *edge_columns(bins)), read(self.path(_COUNTS))
+        return found
+
+    def load_baseline(self, version: int | None = None) -> DataFrame:
+        version = self.baseline_version() if version is None else version
+        return self.spark.read.parquet(self.path(f"baseline/version={version}"))
+
+    def load_profile(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(edges, reference counts) of a stored baseline."""
+        version = self.baseline_version() if version is None else version
+
+        def read(folder: str) -> DataFrame:
+            return self.spark.read.parquet(self.path(f"{folder}/version={version}"))
+
+        profile = read(_PROFILE)
+        bins = sum(c[0] == "e" and c[1:].isdigit() for c in profile.columns) - 1
+        return profile.select("feature", "n_ref", "n_edges", "e_last", *edge_columns(bins)), read(_COUNTS)

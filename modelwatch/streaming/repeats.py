@@ -61,7 +61,7 @@ def dispatch_stream(
     reach = minutes * 60_000_000
     at = micros(F.col(ts))
     rows = alerts.select(*keys, F.col(tie).cast("bigint").alias("first_id"), at.alias("first_at"))
-    rows = rows.withColumn("last_at", F.col("first_at")).withColumn("slot", F.floor(F.col("first_at") / reach).cast("bigint"))
+    rows = rows.withColumn("last_at", F.col("first_at")).withColumn("slot", F.col("first_at") - F.pmod("first_at", F.lit(reach)))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
