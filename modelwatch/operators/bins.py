@@ -40,7 +40,9 @@ def quantile_profile(
     Equal quantiles collapse; the freed columns are NULL.  This is the table to
     store once per promoted model, not to rebuild at every check.
     """
-    probs = [i / bins for i in range(bins + 1)]
+    # Multiples of the step, not i / bins: 3 * 0.1 lies just above 0.3, which
+    # can part two neighbouring values where the exact decile would be the lower.
+    probs = [i * (1.0 / bins) for i in range(bins)] + [1.0]
     found = quantiles(reference, keys, value, probs, method, **options)
     edges = F.array_sort(F.array_distinct("q"))
     found = found.select(*keys, F.col("n").alias("n_ref"), edges.alias("_e"))
