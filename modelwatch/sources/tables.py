@@ -54,12 +54,16 @@ class MonitorTables:
                 made.append(name)
         return made
 
+    @staticmethod
+    def schema(name: str) -> T.StructType:
+        """Schema as read: daily tables also have their partition column."""
+        fields = TABLES[name].fields
+        return T.StructType([*fields, T.StructField("date", T.DateType())] if name in DAILY else fields)
+
     def _scan(self, name: str, folder: str) -> DataFrame | None:
-        schema = TABLES[name]
-        if name in DAILY:
-            schema = T.StructType([*schema.fields, T.StructField("date", T.DateType())])
+        schema = self.schema(name)
         try:
-            return self.spark.read.schema(schema).parquet(self.path(folder))
+            return self.spark.read.schema(schema).parquet(self.path(folder)).select(*schema.names)
         except AnalysisException as err:
             if "PATH_NOT_FOUND" not in str(err):
                 raise
@@ -69,7 +73,7 @@ class MonitorTables:
         """All rows of a table, landed streams included; empty if there is none."""
         parts = [p for p in (self._scan(name, name), self._scan(name, f"{name}_stream")) if p is not None]
         if not parts:
-            return self.spark.createDataFrame([], TABLES[name])
+            return self.spark.createDataFrame([], self.schema(name))
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
