@@ -46,34 +46,30 @@ def quantile_profile(
     found = quantiles(reference, keys, value, probs, method, **options)
     edges = F.array_sort(F.array_distinct("q"))
     found = found.select(*keys, F.col("n").alias("n_ref"), edges.alias("_e"))
-    # ANSI mode raises on an index past the end, hence the guard.
-    columns = [
-        F.when(F.size("_e") > i, F.try_element_at("_e", F.lit(i + 1))).alias(name)
-        for i, name in enumerate(edge_columns(bins))
-    ]
-    last = F.try_element_at("_e", F.lit(-1)).alias("e_last")
-    return found.select(*keys, "n_ref", F.size("_e").alias("n_edges"), last, *columns)
+    # ANSI mode raises on an index past the end, hence the guards.
+    columns = [f"if(size(_e) > {i}, _e[{i}], NULL) AS {name}" for i, name in enumerate(edge_columns(bins))]
+    return found.selectExpr(*keys, "n_ref", "size(_e) AS n_edges", "try_element_at(_e, -1) AS e_last", *columns)
 
 
-def quantile_bin(value: Column, bins: int = 10, open_ends: bool = False) -> Column:
-    """Bin index of ``value`` on the profile columns of its row, -1 if none.
+def quantile_bin(value: str = "value", bins: int = 10, open_ends: bool = False) -> Column:
+    """Bin index of the column ``value`` on the profile columns of its row, -1 if none.
 
     Nested CASEs that halve the edges stay in generated code and compare four
     times for ten bins.  A NULL edge lies behind all others and is not reached.
     """
     names = edge_columns(bins)
 
-    def reached(first: int, last: int) -> Column:
+    def reached(first: int, last: int) -> str:
         if first > last:
-            return F.lit(first - 1)
+            return str(first - 1)
         middle = (first + last) // 2
-        return F.when(value >= F.col(names[middle]), reached(middle + 1, last)).otherwise(reached(first, middle - 1))
+        above, below = reached(middle + 1, last), reached(first, middle - 1)
+        return f"CASE WHEN `{value}` >= {names[middle]} THEN {above} ELSE {below} END"
 
-    index = F.least(reached(1, bins), F.col("n_edges") - 2)
-    inside = F.col("n_edges") >= 2
+    inside = "n_edges >= 2"
     if not open_ends:
-        inside = inside & (value >= F.col("e0")) & (value <= F.col("e_last"))
-    return F.when(inside, index).otherwise(F.lit(-1))
+        inside += f" AND `{value}` >= e0 AND `{value}` <= e_last"
+    return F.expr(f"CASE WHEN {inside} THEN least({reached(1, bins)}, n_edges - 2) ELSE -1 END")
 
 
 def quantile_counts(
@@ -92,7 +88,7 @@ def quantile_counts(
     """
     joined = join_small(long, profile, keys)
     binned = joined.select(
-        *keys, "n_edges", F.col(side).alias("_side"), quantile_bin(F.col(value), bins, open_ends).alias("bin")
+        *keys, "n_edges", F.col(side).alias("_side"), quantile_bin(value, bins, open_ends).alias("bin")
     )
     return binned.groupBy(*keys, "bin").agg(
         F.max("n_edges").alias("n_edges"),

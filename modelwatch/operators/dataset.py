@@ -57,9 +57,11 @@ def stratified_split(
     One order statistic per class decides; no class is gathered or sorted.
     """
     hashed = df.select(F.col(label).alias("_class"), scatter(id_col, seed).alias("_h"))
-    rank = lambda n: F.round(n * F.lit(test_fraction)).cast("bigint")
-    cuts = order_statistics(hashed, ["_class"], "_h", [Pick("_cut", test_fraction, rank)], group_limit)
-    cuts = cuts.select(F.col("_class").alias(label), "_cut", (rank(F.col("n")) >= F.col("n")).alias("_all"))
+    rank = f"bigint(round(n * {float(test_fraction)!r}D))"
+    # past the end when all rows are test rows; then the largest hash is picked
+    first_train = Pick("_cut", test_fraction, f"least({rank}, n - 1)")
+    cuts = order_statistics(hashed, ["_class"], "_h", [first_train], group_limit)
+    cuts = cuts.selectExpr(f"_class AS `{label}`", "_cut", f"{rank} >= n AS _all")
     marked = join_small(df, cuts, [label])
     test = F.col("_all") | (scatter(id_col, seed) < F.col("_cut"))
     return marked.withColumn("split", F.when(test, "test").otherwise("train")).select(*df.columns, "split")

@@ -89,7 +89,7 @@ def reference_counts(
     reference: DataFrame, profile: DataFrame, keys: Sequence[str] = ("feature",), bins: int = 10
 ) -> DataFrame:
     """Bin counts of the reference on its own edges, to be stored beside them."""
-    bin_of = B.quantile_bin(F.col("value"), bins).alias("bin")
+    bin_of = B.quantile_bin("value", bins).alias("bin")
     binned = join_small(reference, profile, keys).groupBy(*keys, bin_of)
     return binned.agg(F.count(F.lit(1)).alias("ref_count"))
 
@@ -117,7 +117,7 @@ def _against_reference(cur_long, profile, ref_counts, by, ref_keys, bins, open_e
     """Every current group beside the counts of its one reference group; after
     the binning both sides are small."""
     keys = list(dict.fromkeys([*by, *ref_keys]))
-    bin_of = B.quantile_bin(F.col("value"), bins, open_ends).alias("bin")
+    bin_of = B.quantile_bin("value", bins, open_ends).alias("bin")
     cur = join_small(cur_long, profile, ref_keys).groupBy(*keys, bin_of)
     cur = cur.agg(F.max("n_edges").alias("n_edges"), F.count(F.lit(1)).alias("cur_count"))
     groups = cur.groupBy(*keys).agg(F.max("n_edges").alias("n_edges"))

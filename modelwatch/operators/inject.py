@@ -57,10 +57,9 @@ def label_flip(
     Only the hash at that rank is looked up; the table itself is not shuffled.
     """
     hashed = df.select(scatter(id_col, seed).alias("_h"))
-    flips = lambda n: F.floor(n * F.lit(ratio))
-    cut = order_statistics(
-        hashed, [], "_h", [Pick("_cut", ratio, lambda n: F.greatest(flips(n) - 1, F.lit(0)))], group_limit
-    ).select("_cut", (flips(F.col("n")) > 0).alias("_any"))
+    flips = f"floor(n * {float(ratio)!r}D)"
+    last = Pick("_cut", ratio, f"greatest({flips} - 1, 0)")
+    cut = order_statistics(hashed, [], "_h", [last], group_limit).selectExpr("_cut", f"{flips} > 0 AS _any")
     marked = attach_row(df, cut)
     flip = F.coalesce(F.col("_any") & (scatter(id_col, seed) <= F.col("_cut")), F.lit(False))
     return marked.withColumn(label, F.when(flip, 1 - F.col(label)).otherwise(F.col(label))).select(*df.columns)
@@ -74,13 +73,11 @@ def batch_index(df: DataFrame, order_col: str, n_batches: int, group_limit: int
     """
     if n_batches < 2:
         return df.withColumn("batch", F.lit(0))
-    borders = [
-        Pick(f"_c{i}", i / n_batches, lambda n, i=i: F.floor(n / n_batches) * i) for i in range(1, n_batches)
-    ]
+    borders = [Pick(f"_c{i}", i / n_batches, f"(n div {n_batches}) * {i}") for i in range(1, n_batches)]
     cuts = order_statistics(df.select(order_col), [], order_col, borders, group_limit).drop("n")
     marked = attach_row(df, cuts)
-    batch = sum((F.when(F.col(order_col) >= F.col(p.name), 1).otherwise(0) for p in borders), F.lit(0))
-    return marked.withColumn("batch", batch).select(*df.columns, "batch")
+    batch = " + ".join(f"int(`{order_col}` >= {p.name})" for p in borders)
+    return marked.withColumn("batch", F.expr(batch)).select(*df.columns, "batch")
 
 
 def gradual_drift(

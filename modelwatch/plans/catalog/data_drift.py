@@ -30,7 +30,9 @@ def _per_feature(spark, sf_dir, name="features_shifted", **options) -> DataFrame
 
 # -- checking SQL -------------------------------------------------------------
 
-_DECILES = "[0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"
+# The fractions are ten equal steps in floating point (0.30000000000000004, not
+# 0.3), as the statistic defines them; it matters where a decile hits a value.
+_DECILES = "[" + ", ".join(f"{p!r}::DOUBLE" for p in [i * 0.1 for i in range(10)] + [1.0]) + "]"
 
 
 def _line_long(name: str, keys: list[str]) -> str:
