@@ -124,12 +124,16 @@ def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Colu
 
 
 def equal_width_counts(
-    df: DataFrame, value: str, side: str, keys: Sequence[str] = (), bins: int = 20
+    df: DataFrame, value: str, side: str, keys: Sequence[str] = (), bins: int = 20, span: DataFrame | None = None
 ) -> DataFrame:
-    """Counts of both sides on equal bins over the union of their ranges."""
+    """Counts of both sides on equal bins over the union of their ranges.
+
+    ``span`` (keys, ``_lo``, ``_hi``) saves a pass for callers that know it.
+    """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"), F.col(side).alias("_side"))
     rows = rows.filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    if span is None:
+        span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     index = equal_width_bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins)
     return (
         join_small(rows, span, keys)

@@ -14,7 +14,7 @@ from ..schemas import REQUIRED_METRICS
 from . import bins as B
 from .metrics import binary_metrics
 from .quantiles import largest_group
-from .sizing import join_small
+from .sizing import attach_row, join_small, settle
 
 #: Fixed value: added to every share, after normalising, before the logarithm.
 EPSILON = 1e-6
@@ -201,16 +201,22 @@ def prediction_drift_check(
     limits = (settings or Settings())["hellinger"]
     rows = df.select(*by, side, F.col(label).cast("int").alias("_label"), F.col(confidence).alias("_conf"))
     rows = rows.withColumn("_is_ref", ~F.col(side))
-    distance = hellinger(B.equal_width_counts(rows, "_conf", "_is_ref", by, bins), by)
     now, base = F.col(side), ~F.col(side)
+    measured = F.when(~F.isnan("_conf"), F.col("_conf"))
+    # rates and the range of the bins come from the same pass
     rates = rows.groupBy(*by).agg(
+        F.min(measured).alias("_lo"),
+        F.max(measured).alias("_hi"),
         F.avg(F.when(base, F.col("_label"))).alias("baseline_positive_rate"),
         F.avg(F.when(now, F.col("_label"))).alias("current_positive_rate"),
         F.avg(F.when(base, F.col("_conf"))).alias("baseline_mean_confidence"),
         F.avg(F.when(now, F.col("_conf"))).alias("current_mean_confidence"),
     )
-    joined = rates.join(distance, list(by)) if by else join_small(rates, distance, [])
-    joined = joined.filter(
+    rates = settle(rates, "rates")
+    span = rates.select(*by, "_lo", "_hi")
+    distance = hellinger(B.equal_width_counts(rows, "_conf", "_is_ref", by, bins, span), by)
+    joined = rates.join(distance, list(by)) if by else attach_row(rates, distance)
+    joined = joined.drop("_lo", "_hi").filter(
         F.col("baseline_mean_confidence").isNotNull() & F.col("current_mean_confidence").isNotNull()
     )
     old, new = F.col("baseline_positive_rate"), F.col("current_positive_rate")

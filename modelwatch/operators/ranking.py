@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .sizing import join_small
 
 
+#: Default of spark.sql.optimizer.windowGroupLimitThreshold.
+_GROUP_LIMIT_ROWS = 1000
+
+
 def newest(df: DataFrame, n: int, ts: str, tie: str = "id", by: Sequence[str] = ()) -> DataFrame:
     """The ``n`` newest rows, overall or per key.
 
@@ -20,6 +24,15 @@ def newest(df: DataFrame, n: int, ts: str, tie: str = "id", by: Sequence[str] =
     order = [F.col(ts).desc(), F.col(tie).desc()]
     if not by:
         return df.orderBy(*order).limit(n)
+    if n > _GROUP_LIMIT_ROWS:
+        # beyond the size up to which Spark limits groups before the shuffle, a
+        # group is first cut to n rows in each of 256 parts
+        df = df.withColumn("_part", F.pmod(F.xxhash64(tie), F.lit(256)))
+        df = _first(df, n, [*by, "_part"], order).drop("_part")
+    return _first(df, n, by, order)
+
+
+def _first(df: DataFrame, n: int, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return df.withColumn("_rn", rank).filter(F.col("_rn") <= n).drop("_rn")
 

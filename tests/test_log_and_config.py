@@ -74,6 +74,18 @@ def test_reads(spark):
     assert rows(L.recent(df, 1, by=["model_version"]), "id") == [(2,), (3,)]
 
 
+@pytest.mark.parametrize("n", [3, 1500])
+def test_newest_per_key_with_one_hot_key(spark, n):
+    df = spark.range(6000).select(
+        "id", (F.col("id") * 37 % 6000).alias("at"), F.when(F.col("id") % 20 == 0, "cold").otherwise("hot").alias("k")
+    )
+    kept = L.recent(df.repartition(5), n, "at", ["k"])
+    want = []
+    for key in ("hot", "cold"):
+        want += sorted(((r["at"], r["id"]) for r in df.collect() if r["k"] == key), reverse=True)[:n]
+    assert rows(kept, "at", "id") == sorted(want)
+
+
 def test_labels_attach_by_newest_and_unknown_ids_are_found(spark):
     labels = spark.createDataFrame([(1, T0, 0), (1, T0 + timedelta(hours=1), 1), (9, T0, 1)], "id bigint, labelled_at timestamp, true_label int")
     joined = L.attach_labels(_predictions(spark), labels)

@@ -3,7 +3,8 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
 from modelwatch.operators import metrics as M
-from modelwatch.operators.training import evaluate
+from modelwatch.config import load_settings
+from modelwatch.operators.training import evaluate, feature_importance, score, search_forest
 
 
 def labelled(spark, pairs, schema="y int, p int"):
@@ -78,3 +79,15 @@ def test_evaluate_by_key_keeps_keys_without_a_curve(spark):
     )
     got = {r["k"]: r["auc_roc"] for r in evaluate(df, "y", ["k"]).collect()}
     assert got == {"a": 1.0, "b": None}
+
+
+def test_forest_search_finds_the_feature_that_matters(spark):
+    rng = np.random.default_rng(0)
+    data = [(float(a), float(b), int(a > 0.3)) for a, b in rng.normal(size=(300, 2))]
+    df = spark.createDataFrame(data, "a double, b double, y int")
+    settings = load_settings({"num_trees": 2, "max_depth": 2}, {})
+    found = search_forest(df, ["a", "b"], "y", {"maxDepth": [1, 3]}, folds=2, parallelism=1, settings=settings)
+    assert len(found.avgMetrics) == 2 and max(found.avgMetrics) > 0.9
+    importance = {r["feature"]: r["importance"] for r in feature_importance(found.bestModel, ["a", "b"]).collect()}
+    assert importance["a"] > importance["b"]
+    assert evaluate(score(found.bestModel, df), "y").first()["auc_roc"] > 0.9
