@@ -70,7 +70,8 @@ def retraining_decision(
     def text(fmt, *args):
         return F.format_string(fmt, *args)
 
-    # (name, fires, urgency rank, reason); the first three and the last ask for a retrain
+    # Rule names, their urgency and the wording of their reasons.
+    # All but the prediction shift ask for a retrain.
     rules = [
         ("critical_data_drift", psi > psi_hi, 0,
          text("Critical data drift: PSI %.4f > %.4f", psi, F.lit(psi_hi))),

@@ -138,7 +138,9 @@ def _brackets(rows: DataFrame, keys: list[str], fractions: Sequence[float], accu
     )
     k = len(fractions)
     bounds = []
-    few = F.sum("_n") <= accuracy  # a bracket of a few rows would be too tight
+    # Every part may round by a row, 64 in all; 4 / accuracy of the group must
+    # cover that.  Smaller groups are bracketed by their whole range.
+    few = F.sum("_n") <= 20 * accuracy
     for i in range(k):
         low = F.min("_mn") if lows[i] == 0.0 else F.when(few, F.min("_mn")).otherwise(F.min(F.col("_q")[i]))
         high = F.max("_mx") if highs[i] == 1.0 else F.when(few, F.max("_mx")).otherwise(F.max(F.col("_q")[k + i]))

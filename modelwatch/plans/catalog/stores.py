@@ -106,8 +106,10 @@ def data_drift_stored(spark, sf_dir):
 
 # -- a whole monitoring cycle -----------------------------------------------------
 
+# The first half is the baseline; the newest 500 rows are the window, also where
+# a small table makes the window reach back into the first half.
 _WINDOW = f"""SELECT * FROM ({adapter_sql('predictions_shifted')}) b WHERE NOT is_current
- UNION ALL (SELECT * FROM ({adapter_sql('predictions_shifted')}) w ORDER BY pred_ts DESC, id DESC LIMIT 500)"""
+ UNION ALL (SELECT * REPLACE (true AS is_current) FROM ({adapter_sql('predictions_shifted')}) w ORDER BY pred_ts DESC, id DESC LIMIT 500)"""
 _WINDOW_LONG = " UNION ALL ".join(
     f"SELECT '{f}' AS feature, NOT is_current AS is_ref, {f} AS value FROM src" for f in _CHECKED
 )
