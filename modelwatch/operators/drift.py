@@ -114,23 +114,27 @@ def feature_drift_stored(
 
 
 def _against_reference(cur_long, profile, ref_counts, by, ref_keys, bins, open_ends):
-    """Every current group beside the counts of its one reference group; after
-    the binning both sides are small."""
+    """Every current group beside the counts of its one reference group.
+
+    Binned counts are folded to one short array per group on either side, so
+    the current rows are read once and the join is small on small.
+    """
     keys = list(dict.fromkeys([*by, *ref_keys]))
     bin_of = B.quantile_bin("value", bins, open_ends).alias("bin")
     cur = join_small(cur_long, profile, ref_keys).groupBy(*keys, bin_of)
     cur = cur.agg(F.max("n_edges").alias("n_edges"), F.count(F.lit(1)).alias("cur_count"))
-    groups = cur.groupBy(*keys).agg(F.max("n_edges").alias("n_edges"))
-    expected = groups.join(ref_counts, ref_keys).withColumn("cur_count", F.lit(0).cast("bigint"))
-    seen = cur.withColumn("ref_count", F.lit(0).cast("bigint"))
-    return (
-        expected.unionByName(seen)
-        .groupBy(*keys, "bin")
-        .agg(
-            F.max("n_edges").alias("n_edges"),
-            F.sum("ref_count").alias("ref_count"),
-            F.sum("cur_count").alias("cur_count"),
-        )
+    cur = cur.groupBy(*keys).agg(
+        F.max("n_edges").alias("n_edges"),
+        F.collect_list(F.struct("bin", F.lit(0).cast("bigint").alias("ref_count"), "cur_count")).alias("_cur"),
+    )
+    ref = ref_counts.groupBy(*ref_keys).agg(
+        F.collect_list(F.struct("bin", "ref_count", F.lit(0).cast("bigint").alias("cur_count"))).alias("_ref")
+    )
+    both = cur.join(ref, ref_keys).selectExpr(*keys, "n_edges", "inline(concat(_cur, _ref))")
+    return both.groupBy(*keys, "bin").agg(
+        F.max("n_edges").alias("n_edges"),
+        F.sum("ref_count").alias("ref_count"),
+        F.sum("cur_count").alias("cur_count"),
     )
 
 
