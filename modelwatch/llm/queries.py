@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modelwatch.llm import bpe, token_count
+from modelwatch.llm import bpe, mix, quality, token_count
 from modelwatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query()
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.document_quality(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
