@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from modelwatch.llm import bpe, fingerprint, mix, neardup, quality, token_count, toxicity, warc
+from modelwatch.llm import bpe, fingerprint, lm_score, mix, neardup, quality, token_count, toxicity, warc
 from modelwatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +63,32 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    r"""
+    WITH words AS (
+        SELECT rowid AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+        FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)
+    ), places AS (
+        SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(list_concat([NULL], w[:-2])) AS before
+        FROM words WHERE len(w) > 0
+    ), one AS (SELECT word, count(*) AS c FROM places GROUP BY word),
+    two AS (SELECT before, word, count(*) AS c FROM places WHERE before IS NOT NULL GROUP BY before, word),
+    total AS (SELECT count(*) AS n FROM places),
+    scored AS (
+        SELECT p.r,
+            CASE WHEN t.c >= 2 THEN 1 ELSE 0 END AS seen,
+            CASE WHEN t.c >= 2 THEN log10(t.c::DOUBLE / b.c)
+                 WHEN p.before IS NOT NULL THEN log10(0.4) + log10(a.c::DOUBLE / total.n)
+                 ELSE log10(a.c::DOUBLE / total.n) END AS s
+        FROM places p JOIN one a ON a.word = p.word LEFT JOIN one b ON b.word = p.before
+        LEFT JOIN two t ON t.before = p.before AND t.word = p.word CROSS JOIN total
+    ), summed AS (SELECT r, sum(seen) AS n_seen, sum(s) AS s FROM scored GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_seen, 0)::BIGINT AS n_seen, round(coalesce(s, 0.0), 4) AS score
+    FROM words LEFT JOIN summed USING (r)
+    """
+)
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score_documents(table(spark, sf_dir, "documents"))
+    return scored.withColumn("score", F.round("score", 4))
