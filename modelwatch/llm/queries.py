@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import bpe, fingerprint, lm_score, mix, neardup, quality, token_count, toxicity, warc
+from modelwatch.llm import bpe, fingerprint, license, lm_score, mix, neardup, quality, token_count, toxicity, warc
 from modelwatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm_score.score_documents(table(spark, sf_dir, "documents"))
     return scored.withColumn("score", F.round("score", 4))
+
+
+@query()
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan_documents(table(spark, sf_dir, "documents"))
