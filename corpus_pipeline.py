@@ -1,22 +1,54 @@
-"""A corpus from raw documents: what to keep, how to mix it, its tokens."""
+"""A corpus from raw documents: what to keep, how to mix it, its tokens.
+
+Every stage reads all rows that the one before it kept and does its part on the
+whole of them; the tables beside ``documents`` (``labels``) come from ``sf_dir``.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from modelwatch.llm import bpe
+from modelwatch.llm import bpe, mix, neardup, quality, toxicity
 from modelwatch.llm.common import table
 from modelwatch.session import scratch_dir
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules of the text and of its host reject go."""
+    return quality.keep_documents(docs)
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; learned from the labels of those still here."""
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the document with the least id stays."""
+    return neardup.without_near_duplicates(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: a row for each pass over a document, cut where only a part is
+    taken, so that the words of each source add up to its target."""
+    return mix.mixed_texts(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the texts of the mixture."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("bpe_encoding", encode)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", without_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("source_mix", mixed_sources),
+    ("bpe_encoding", encoded),
+]
 
-#: The stages train and draw at random, which SQL can't express.
+#: SQL can't train the classifier, so there is none; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

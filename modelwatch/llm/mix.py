@@ -40,7 +40,7 @@ SHARE = 1.5
 MOST = 2.0
 SEED = 42
 #: Rows in one range of a two-step order, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 #: Tries of a rejection draw; each one fails with a chance under one half.
 TRIES = 64
 
@@ -178,7 +178,8 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     listed = quotas.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "quota"))).alias("all"))
     spark = quotas.sparkSession
     every = spark.range(shards).withColumnRenamed("id", "shard")
-    every = every.withColumn("one", F.lit(1)).join(F.broadcast(listed.withColumn("one", F.lit(1))), "one")
+    # the list of quotas is one row
+    every = every.withColumn("list", F.pmod("shard", F.lit(1))).join(F.broadcast(listed.withColumn("list", F.lit(0).cast("long"))), "list")
     state = F.struct(F.transform("all", lambda x: x["quota"].cast("long")).alias("left"), F.lit(0).cast("long").alias("node"))
 
     def total(a: Column) -> Column:
