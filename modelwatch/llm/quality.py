@@ -27,7 +27,7 @@ SYMBOLS = "#*$%&|<>"
 #: Soft rules: name -> does a document with these counts break it?
 SOFT_RULES: dict[str, str] = {
     "symbols": "10 * n_symbols > n_words",
-    "lines": "10 * n_dup_lines > 3 * n_lines",
+    "lines": "2 * n_dup_lines > n_lines",
     "lengths": "n_words > 0 and (word_chars < 2 * n_words or word_chars > 15 * n_words)",
 }
 #: A host is known for a fault from this (shrunk) rate on.

@@ -30,17 +30,113 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-@query()
+@query(
+    r"""
+    WITH sized AS (
+        SELECT row_number() OVER () AS r, doc_id, source,
+            coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+        FROM documents
+    ), sizes AS (
+        SELECT source, sum(size)::BIGINT AS source_size,
+            [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight
+        FROM sized GROUP BY source
+    ), levelled AS (
+        SELECT *, 2.0::DOUBLE * source_size / weight AS ratio,
+            (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER w1, 0)) / sum(weight) OVER w2 AS here
+        FROM sizes
+        WINDOW w1 AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+            w2 AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+    ), level AS (SELECT min(ratio) AS first, min_by(here, ratio) AS here FROM levelled WHERE ratio > here),
+    targets AS (
+        SELECT source, source_size, CASE WHEN ratio >= level.first THEN level.here * weight ELSE 2.0::DOUBLE * source_size END AS target
+        FROM levelled, level
+    ), laid AS (
+        SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY md5('42|' || coalesce(doc_id::VARCHAR, 'null')), doc_id, size, r) - size)::BIGINT AS start
+        FROM sized WHERE size > 0
+    ), pieces AS (
+        SELECT r, source, piece * 2048 AS word, least(2048, size - piece * 2048) AS words, start + piece * 2048 AS begin_
+        FROM (SELECT *, unnest(range(0, (size - 1) // 2048 + 1)) AS piece FROM laid)
+    ), blocks AS (
+        SELECT source, begin_ // 2048 AS block, sum(words) AS words, min(begin_) AS begins FROM pieces GROUP BY ALL
+    ), placed AS (
+        SELECT *, sum(words) OVER (
+            PARTITION BY source ORDER BY md5('42|block|' || coalesce(source, 'null') || '|' || block::VARCHAR), block
+        ) - words AS before FROM blocks
+    ), drawn AS (
+        SELECT p.source, block, begins, round(target)::BIGINT // source_size AS passes,
+            greatest(0, least(words, round(target)::BIGINT % source_size - before)) AS part
+        FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+    ), taken AS (
+        SELECT r, sum(passes * words + greatest(0, least(words, part - (begin_ - begins)))) AS taken
+        FROM pieces p JOIN drawn d ON p.source IS NOT DISTINCT FROM d.source AND p.begin_ // 2048 = d.block GROUP BY r
+    )
+    SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source LEFT JOIN taken USING (r)
+    """
+)
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_documents(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    r"""
+    WITH texts AS (
+        SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
+    ), words AS (
+        SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        FROM texts
+    ), windows AS (
+        SELECT r, i, array_to_string(w[i:i + 7], ' ') AS t FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) > 7)
+    ), again AS (
+        SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, t) AS n FROM windows) WHERE n > 1
+    ), repeats AS (
+        SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM again) GROUP BY r
+    ), counted AS (
+        SELECT r, doc_id, source, len(w)::BIGINT AS n_words,
+            list_sum(list_transform(w, lambda x: length(x)))::BIGINT AS chars,
+            len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+            len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+            coalesce(n, 0)::BIGINT AS n_repeat_words
+        FROM words LEFT JOIN repeats USING (r)
+    ), ruled AS (
+        SELECT *, coalesce(chars, 0) AS word_chars, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+            (10 * n_symbols > n_words)::INT AS a, (2 * n_dup_lines > n_lines)::INT AS b,
+            (n_words > 0 AND (coalesce(chars, 0) < 2 * n_words OR coalesce(chars, 0) > 15 * n_words))::INT AS c
+        FROM counted
+    ), hosts AS (
+        SELECT source AS host, count(*) AS n, unnest(['a', 'b', 'c']) AS rule, unnest([sum(a), sum(b), sum(c)]) AS failed FROM ruled GROUP BY source
+    ), prior AS (
+        SELECT rule, sum(failed)::DOUBLE / sum(n) AS m, count(*)::DOUBLE / sum(n) AS few, sum(failed::DOUBLE * failed / n) / sum(n) AS square FROM hosts GROUP BY rule
+    ), strong AS (
+        SELECT rule, m, CASE WHEN square - m * m - m * (1 - m) * few > 0
+            THEN least(greatest(m * (1 - m) / (square - m * m - m * (1 - m) * few) - 1, 1), 1e6) ELSE 1e6 END AS s FROM prior
+    ), known AS (
+        SELECT host, max(CASE WHEN rule = 'a' THEN (failed + m * s) / (n + s) END) AS ra,
+            max(CASE WHEN rule = 'b' THEN (failed + m * s) / (n + s) END) AS rb,
+            max(CASE WHEN rule = 'c' THEN (failed + m * s) / (n + s) END) AS rc
+        FROM hosts JOIN strong USING (rule) GROUP BY host
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT (base_failed OR a + b + c >= 2 OR (a = 1 AND ra >= 0.01) OR (b = 1 AND rb >= 0.01) OR (c = 1 AND rc >= 0.01)) AS kept
+    FROM ruled JOIN known ON source IS NOT DISTINCT FROM host
+    """
+)
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.document_quality(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    r"""
+    WITH payloads AS (
+        SELECT page_id, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, ''))::BIGINT AS bytes FROM pages
+    ), leads AS (SELECT digest, max(page_id) AS lead FROM payloads WHERE bytes >= 1000 GROUP BY digest)
+    SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+        CASE WHEN lead IS NULL OR lead = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN lead <> page_id THEN lead END AS refers_to, true AS verified
+    FROM payloads LEFT JOIN leads USING (digest)
+    """
+)
 def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -55,7 +151,28 @@ def op8_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), shingles AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+    ), sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM shingles GROUP BY doc_id),
+    shared AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+    ), links AS (
+        SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+    ), reached AS (
+        SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+    ), least AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
+    SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(other, w.doc_id)) AS component_id,
+        w.doc_id <= coalesce(other, w.doc_id) AS kept
+    FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+    """
+)
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
