@@ -106,11 +106,12 @@ def _uniform(*key: Column) -> Column:
 def _log_factorial(x: Column) -> Column:
     """ln x! : listed up to 15, Stirling's series beyond."""
     listed = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
-    x = x.cast("double")
-    safe = F.greatest(x, F.lit(1.0))
-    series = (safe + 0.5) * F.log(safe) - safe + 0.5 * math.log(2 * math.pi)
-    series = series + 1 / (12 * safe) - 1 / (360 * safe * safe * safe) + 1 / (1260 * safe * safe * safe * safe * safe)
-    return F.when(x < 16, F.get(listed, F.greatest(x, F.lit(0.0)).cast("int"))).otherwise(series)
+
+    def known(x: Column) -> Column:
+        series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - (1 / 360 - 1 / 1260 / x / x) / x / x) / x
+        return F.when(x >= 16, series).otherwise(F.get(listed, F.greatest(x, F.lit(0.0)).cast("int")))
+
+    return _let(x.cast("double"), known)
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -163,7 +164,8 @@ def hypergeometric(population: Column, marked: Column, drawn: Column, *key: Colu
         return F.when(drawn * 2 > population, marked - marked_among_some).otherwise(marked_among_some)
 
     case = F.struct(population.alias("n"), few.alias("few"), some.alias("some"))
-    return F.when((few <= 0) | (some <= 0), mirrored(F.lit(0).cast("long"))).otherwise(mirrored(_let(case, known))).cast("long")
+    drawn_few = F.when((few <= 0) | (some <= 0), F.lit(0).cast("long")).otherwise(_let(case, known))
+    return _let(drawn_few, mirrored).cast("long")
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
