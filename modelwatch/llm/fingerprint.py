@@ -41,9 +41,10 @@ SPAN = 16
 SAMPLES = 32
 SPANS = 32
 PIECE = 1 << 16
-#: Text bytes that one range of ids holds, about, and the most ranges.
-RANGE_BYTES = 16 << 20
+#: Text bytes that one range of ids holds, about, the most ranges, and how many a task gets.
+RANGE_BYTES = 2 << 20
 MOST_RANGES = 20_000
+TASK_RANGES = 4
 
 
 class Powers:
@@ -241,7 +242,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         round_again = F.when(F.col("doc_id") == top, F.struct(F.lit(last).alias("range"), F.lit(True).alias("follows")))
         places += [border, round_again]
     placed = rows.select(F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())).alias("p"), "doc_id", "text")
-    dealt = placed.select("p.range", "p.follows", "doc_id", "text").repartition(last + 1, "range")
+    dealt = placed.select("p.range", "p.follows", "doc_id", "text").repartition(last // TASK_RANGES + 1, "range")
     ordered = dealt.sortWithinPartitions("range", "follows", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
