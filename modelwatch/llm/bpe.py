@@ -89,8 +89,9 @@ class MergeAutomaton:
         self.steps = {x[:i]: -1 for x in self.by_label for i in range(1, len(x))} | self.by_label
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
-        if self.born[w] >= 0 or (u, v) in self.bans or not self._open(u, v, k):
-            return  # no path spells u v any more, or w is there already
+        there = self.by_label.get
+        if there(self.labels[u]) != u or there(self.labels[v]) != v or self.born[w] >= 0 or not self._open(u, v, k):
+            return  # no path spells u v, or w is there already
         self.bans[u, v] = k
         self.born[w], self.left[w], self.right[w] = k, u, v
         self.by_label[self.labels[w]] = w

@@ -6,8 +6,8 @@ on the templates below, each in variants that lack words or stand amid words of
 the corpus, and on paragraphs of the corpus as "none". Probabilities are
 calibrated on variants and paragraphs kept out of the training: a temperature
 that makes them fit, and a least confidence that next to no plain paragraph
-reaches. What looks like a licence but stays below that confidence, or shares
-too little with every template of its family, is of the class "unknown".
+reaches. What looks like a licence but shares too little with every template of
+its family, or a little more while below that confidence, is "unknown".
 
 Texts are scanned whole. Null and empty texts have no paragraph. Rows that repeat
 are scanned each. With an empty table the templates alone train the classifier.
@@ -94,6 +94,8 @@ SAMPLE_DOCUMENTS = 1500
 VARIANTS = 30
 #: The share of a template's bigrams that a confirmed paragraph holds.
 CONFIRMED = 0.6
+#: The share that confirms a prediction below the least confidence.
+CERTAIN = 0.9
 #: The share of plain paragraphs kept out of training that may pass for a licence.
 FALSE_ALARMS = 0.001
 
@@ -228,9 +230,8 @@ def classifier(model: dict) -> Callable[[str], str]:
         if p[0] >= 0.5:
             return NONE
         best = 1 + int(p[1:].argmax())
-        if p[best] < least or vocabulary.resemblance(ids, labels[best]) < CONFIRMED:
-            return UNKNOWN
-        return labels[best]
+        alike = vocabulary.resemblance(ids, labels[best])
+        return labels[best] if alike >= (CONFIRMED if p[best] >= least else CERTAIN) else UNKNOWN
 
     return classify
 

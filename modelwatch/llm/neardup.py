@@ -43,7 +43,7 @@ BATCH = 20
 MISS = 1e-4
 TILE = 512
 TILE_BYTES = 48 << 20
-MEMO = 400_000
+MEMO = 200_000
 #: Groups beyond a tile that are broadcast, 16 bytes each; more are joined by shuffle.
 BROADCAST_GROUPS = 100_000
 
