@@ -96,6 +96,8 @@ VARIANTS = 30
 CONFIRMED = 0.6
 #: The share that confirms a prediction below the least confidence.
 CERTAIN = 0.9
+#: Below this share a paragraph is none, whatever the prediction.
+SLIGHT = 0.25
 #: The share of plain paragraphs kept out of training that may pass for a licence.
 FALSE_ALARMS = 0.001
 
@@ -231,6 +233,8 @@ def classifier(model: dict) -> Callable[[str], str]:
             return NONE
         best = 1 + int(p[1:].argmax())
         alike = vocabulary.resemblance(ids, labels[best])
+        if alike < SLIGHT:
+            return NONE
         return labels[best] if alike >= (CONFIRMED if p[best] >= least else CERTAIN) else UNKNOWN
 
     return classify
