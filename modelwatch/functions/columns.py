@@ -30,16 +30,17 @@ def severity(value: Column, warning: Column | float, critical: Column | float) -
 
 
 def severity_rank(name: Column) -> Column:
-    return F.when(name == "critical", 2).when(name == "warning", 1).otherwise(0)
+    """``unknown`` outranks ``none``: a check that saw nothing is not a good one."""
+    return F.when(name == "critical", 3).when(name == "warning", 2).when(name == "unknown", 1).otherwise(0)
 
 
 def severity_name(rank: Column) -> Column:
-    return F.when(rank == 2, "critical").when(rank == 1, "warning").otherwise("none")
+    return F.when(rank == 3, "critical").when(rank == 2, "warning").when(rank == 1, "unknown").otherwise("none")
 
 
 def overall_status(rank: Column) -> Column:
     """Worst severity as a status: nothing wrong reads ``healthy``."""
-    return F.when(rank == 2, "critical").when(rank == 1, "warning").otherwise("healthy")
+    return F.when(rank == 3, "critical").when(rank == 2, "warning").when(rank == 1, "unknown").otherwise("healthy")
 
 
 def band_below(value: Column, cuts: Sequence[float], names: Sequence[str]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quantiles import quantiles
-from .sizing import join_small
+from .sizing import join_small, match
 
 
 def to_long(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -165,7 +165,7 @@ def histogram(df: DataFrame, value: str, keys: Sequence[str] = (), bins: int = 5
     grid = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     count = F.coalesce("_c", F.lit(0)).cast("bigint")
-    return grid.join(counted, [*keys, "bin"], "left").select(
+    return match(grid, counted, [*keys, "bin"], "left").select(
         *keys,
         "bin",
         (F.col("_lo") + F.col("bin") * width).alias("bin_start"),

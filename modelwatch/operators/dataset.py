@@ -52,7 +52,8 @@ def stratified_split(
     df: DataFrame, label: str, id_col: str, test_fraction: float = 0.2, seed: int = 42, group_limit: int = GROUP_LIMIT
 ) -> DataFrame:
     """Add ``split``: in every class exactly ``round(n * test_fraction)`` rows are
-    ``test``, those with the smallest hashes of the id.
+    ``test``, those with the smallest hashes of the id.  Rows without a label
+    are neither: they are ``unlabelled``.
 
     One order statistic per class decides; no class is gathered or sorted.
     """
@@ -64,7 +65,8 @@ def stratified_split(
     cuts = cuts.selectExpr(f"_class AS `{label}`", "_cut", f"{rank} >= n AS _all")
     marked = join_small(df, cuts, [label])
     test = F.col("_all") | (scatter(id_col, seed) < F.col("_cut"))
-    return marked.withColumn("split", F.when(test, "test").otherwise("train")).select(*df.columns, "split")
+    split = F.when(F.col(label).isNull(), "unlabelled").when(test, "test").otherwise("train")
+    return marked.withColumn("split", split).select(*df.columns, "split")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

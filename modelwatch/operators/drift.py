@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from ..schemas import REQUIRED_METRICS
 from . import bins as B
 from .metrics import binary_metrics
 from .quantiles import largest_group
-from .sizing import attach_row, join_small, settle
+from .sizing import attach_row, join_small, match, settle
 
 #: Fixed value: added to every share, after normalising, before the logarithm.
 EPSILON = 1e-6
@@ -130,7 +130,7 @@ def _against_reference(cur_long, profile, ref_counts, by, ref_keys, bins, open_e
     ref = ref_counts.groupBy(*ref_keys).agg(
         F.collect_list(F.struct("bin", "ref_count", F.lit(0).cast("bigint").alias("cur_count"))).alias("_ref")
     )
-    both = cur.join(ref, ref_keys).selectExpr(*keys, "n_edges", "inline(concat(_cur, _ref))")
+    both = match(cur, ref, ref_keys).selectExpr(*keys, "n_edges", "inline(concat(_cur, _ref))")
     return both.groupBy(*keys, "bin").agg(
         F.max("n_edges").alias("n_edges"),
         F.sum("ref_count").alias("ref_count"),
@@ -155,7 +155,13 @@ def data_drift_check(
     settings: Settings | None = None,
 ) -> DataFrame:
     """Overall verdict per key: worst PSI, its severity, drifted features in
-    feature order, and the per-feature values as maps."""
+    feature order, and the per-feature values as maps.
+
+    A feature whose current values all lie outside the reference range has no
+    PSI; it is named in ``out_of_range``, the check is then never better than
+    ``unknown``, and its stored result counts as a breach.  ``skipped_features`` were asked for and have no
+    value or no reference; with nothing measured at all the verdict is ``unknown``.
+    """
     psi = (settings or Settings())["psi"]
     place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
     drifted = F.collect_list(
@@ -167,15 +173,25 @@ def data_drift_check(
         F.map_from_entries(F.collect_list(F.struct("feature", "psi"))).alias("feature_psi"),
         F.map_from_entries(F.collect_list(F.struct("feature", "kl"))).alias("feature_kl"),
         F.count_if(F.col("psi").isNull()).alias("unknown_features"),
+        F.sort_array(F.collect_list(F.when(_out_of_range(per_feature), F.col("feature")))).alias("out_of_range"),
+        F.array_except(F.array(*[F.lit(f) for f in features]), F.collect_set("feature")).alias("skipped_features"),
     )
     level = severity(F.col("overall_psi"), psi.warning, psi.critical)
     # Nothing measurable at all is not "none".
     blind = F.forall(F.map_values("feature_psi"), lambda v: v.isNull()) & (F.size("feature_psi") > 0)
-    return out.withColumn("severity", F.when(blind, "unknown").otherwise(level)).withColumn(
+    lost = F.size("out_of_range") > 0
+    unknown = blind | (lost & (level == "none"))
+    return out.withColumn("severity", F.when(unknown, "unknown").otherwise(level)).withColumn(
         "is_drifted", F.col("severity").isin("warning", "critical")
     )
 
 
+def _out_of_range(per_feature: DataFrame) -> Column:
+    if "cur_dropped" not in per_feature.columns:
+        return F.lit(False)
+    return F.col("psi").isNull() & (F.col("cur_dropped") > 0) & (F.col("cur_dropped") == F.col("cur_rows"))
+
+
 def top_drifted(per_feature: DataFrame, n: int = 5) -> DataFrame:
     return per_feature.orderBy(F.col("psi").desc(), F.col("feature")).limit(n)
 
@@ -219,7 +235,7 @@ def prediction_drift_check(
     rates = settle(rates, "rates")
     span = rates.select(*by, "_lo", "_hi")
     distance = hellinger(B.equal_width_counts(rows, "_conf", "_is_ref", by, bins, span), by)
-    joined = rates.join(distance, list(by)) if by else attach_row(rates, distance)
+    joined = match(rates, distance, by) if by else attach_row(rates, distance)
     joined = joined.drop("_lo", "_hi").filter(
         F.col("baseline_mean_confidence").isNotNull() & F.col("current_mean_confidence").isNotNull()
     )
@@ -306,7 +322,7 @@ def concept_drift_check(
     return (
         out.filter(F.col("_m") > 0)
         .withColumn("severity", severity_name(F.col("_rank")))
-        .withColumn("is_drifted", F.col("_rank") > 0)
+        .withColumn("is_drifted", F.col("severity").isin("warning", "critical"))
         .drop("_rank", "_m")
     )
 

@@ -13,6 +13,7 @@ from ..functions.columns import truncate
 from ..schemas import REQUIRED_METRICS, TABLES
 from .drift import combined_status
 from .ranking import latest_per_key, newest, oldest
+from .sizing import match
 
 _ONE = "_one"
 
@@ -29,7 +30,8 @@ def drift_summary(
     parts = []
     wanted = {
         "data": (data, {"overall_psi": "overall_psi", "drifted_features": "drifted_features",
-                        "feature_psi": "feature_psi", "feature_kl": "feature_kl"}),
+                        "feature_psi": "feature_psi", "feature_kl": "feature_kl",
+                        "out_of_range": "out_of_range", "skipped_features": "skipped_features"}),
         "prediction": (prediction, {"hellinger": "hellinger", "positive_rate_change_pct": "positive_rate_change_pct",
                                     "baseline_positive_rate": "baseline_positive_rate",
                                     "current_positive_rate": "current_positive_rate",
@@ -54,7 +56,7 @@ def drift_summary(
         return None
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part, keys, "full")
+        out = match(out, part, keys, "full")
     for name, (frame, columns) in wanted.items():
         if frame is None:
             empty = {f"{name}_severity": "string", f"{name}_drifted": "boolean"}
@@ -75,23 +77,29 @@ def drift_result_rows(
     window_end: Column | None = None,
     model_version: Column | None = None,
     settings: Settings | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame | None:
     """Rows for the result table: one for data (psi), one for prediction
     (hellinger), one per degraded metric for concept or a single ``overall``
     row at 0 when nothing degraded.
 
-    Thresholds are the warning levels and the window is the real one.
+    Thresholds are the warning levels and the window is the real one.  The keys
+    ``by`` are part of the id; those that the table has no column for are kept as
+    ``segment`` in the details.
     """
     settings = settings or Settings()
     start, end = window_start if window_start is not None else at, window_end if window_end is not None else at
     frames = []
+    others = [c for c in by if c != "model_version"]
+    segment = [F.struct(*others).alias("segment")] if others else []
+    key = [F.to_json(F.struct(*others))] if others else []
 
     def rows(frame, kind, metric, value, threshold, breached, details):
         version = model_version
         if version is None:
             version = F.col("model_version") if "model_version" in frame.columns else F.lit(None).cast("string")
         return frame.select(
-            F.xxhash64(at.cast("string"), F.lit(kind), metric, version).alias("id"),
+            F.xxhash64(at.cast("string"), F.lit(kind), metric, version, *key).alias("id"),
             at.cast("timestamp").alias("timestamp"),
             version.alias("model_version"),
             F.lit(kind).alias("drift_type"),
@@ -101,12 +109,13 @@ def drift_result_rows(
             breached.alias("is_breached"),
             start.cast("timestamp").alias("window_start"),
             end.cast("timestamp").alias("window_end"),
-            F.to_json(F.struct(*details)).alias("details_json"),
+            F.to_json(F.struct(*details, *segment)).alias("details_json"),
         )
 
     if data is not None:
+        lost = F.size("out_of_range") > 0 if "out_of_range" in data.columns else F.lit(False)
         frames.append(rows(data, "data", F.lit("psi"), F.col("overall_psi"), F.lit(settings["psi"].warning),
-                           F.col("is_drifted"), ["feature_psi", "drifted_features", "severity"]))
+                           F.col("is_drifted") | lost, ["feature_psi", "drifted_features", "severity"]))
     if prediction is not None:
         frames.append(rows(prediction, "prediction", F.lit("hellinger"), F.col("hellinger"),
                            F.lit(settings["hellinger"].warning), F.col("is_drifted"),

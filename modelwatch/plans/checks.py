@@ -15,7 +15,7 @@ from ..operators import decision as decide
 from ..operators import drift as D
 from ..operators.prediction_log import enough_samples, feature_columns
 from ..operators.results import drift_result_rows, drift_summary
-from ..operators.sizing import gather_small, settle
+from ..operators.sizing import gather_small, match, settle
 from ..sources.tables import MonitorTables
 
 log = logging.getLogger(__name__)
@@ -97,7 +97,7 @@ def run_drift_check(
     out.summary = drift_summary(parts["data"], parts["prediction"], parts["concept"], by)
     if out.summary is not None:
         out.results = drift_result_rows(
-            parts["data"], parts["prediction"], parts["concept"], F.lit(last), F.lit(first), F.lit(last), settings=settings
+            parts["data"], parts["prediction"], parts["concept"], F.lit(last), F.lit(first), F.lit(last), settings=settings, by=by
         )
     return out
 
@@ -114,10 +114,19 @@ def decision_inputs(summary: DataFrame, streak: DataFrame | None = None, by: Seq
     if streak is None:
         return inputs.withColumn("streak", F.lit(0).cast("bigint"))
     if by:
-        return inputs.join(streak, list(by), "left")
+        return match(inputs, streak, by, "left")
     return inputs.withColumn("streak", streak.scalar())
 
 
+def _append_new(tables: MonitorTables, name: str, rows: DataFrame, key: str) -> None:
+    """Append the few ``rows`` of a check that the table does not hold yet, so that
+    a cycle over the same window, or its replay, adds nothing."""
+    rows = settle(rows, name)
+    times = rows.agg(F.min("timestamp")).first()[0]
+    held = tables.read(name).filter(F.col("timestamp") >= F.lit(times)).select(key) if times is not None else None
+    tables.append(name, rows if held is None else rows.join(held, key, "left_anti"))
+
+
 def monitor_once(
     tables: MonitorTables,
     features: Sequence[str],
@@ -128,7 +137,8 @@ def monitor_once(
     """One monitoring cycle: newest window, gate, check, store, decide, record.
 
     Returns the decision (one row), or None below the minimum of samples.  The
-    window is a top-k of fixed size, so it is kept between the branches.
+    window is a top-k of fixed size, so it is kept between the branches.  A second
+    cycle over the same window decides again, but records nothing twice.
     """
     settings = settings or Settings()
     window = feature_columns(tables.recent_predictions(settings.window_size), features).persist()
@@ -146,17 +156,14 @@ def monitor_once(
         )
         if check.summary is None:
             return None
-        tables.append("drift_results", check.results)
+        _append_new(tables, "drift_results", check.results, "id")
         streak = decide.breach_streak(tables.read("drift_results"))
         inputs = decision_inputs(check.summary, streak)
         decision = gather_small(decide.retraining_decision(inputs, settings))
         last = window.agg(F.max("timestamp").alias("t"))
         events = decide.decision_events(decision.withColumn("timestamp", last.scalar()))
-        tables.append(
-            "retraining_events",
-            events.withColumn("event_id", F.concat(F.lit("check-"), F.unix_micros("timestamp").cast("string")))
-            .withColumn("seq", F.lit(0)),
-        )
+        events = events.withColumn("event_id", F.concat(F.lit("check-"), F.unix_micros("timestamp").cast("string")))
+        _append_new(tables, "retraining_events", events.withColumn("seq", F.lit(0)), "event_id")
         return decision
     finally:
         window.unpersist()

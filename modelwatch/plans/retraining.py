@@ -78,9 +78,11 @@ def retrain(
     target: str = TARGET,
     scaled: str | None = "Amount",
     settings: Settings | None = None,
+    recent: int = RECENT_LABELLED,
 ) -> bool:
     """Train a challenger and promote it if it beats the champion on the same
-    test rows, or if there is no champion.  True when it was promoted."""
+    test rows, or if there is no champion.  True when it was promoted.  ``recent``
+    newest labelled predictions join the original rows."""
     settings = settings or Settings()
     old_version = production_version(tables)
     old_f1 = None
@@ -89,8 +91,8 @@ def retrain(
     run = _Run(tables, reason, old_version, old_f1)
     run.mark("STARTED")
     try:
-        fresh = tables.recent_labelled(RECENT_LABELLED)
-        combined = retraining_dataset(original, fresh, features, target, RECENT_LABELLED)
+        fresh = tables.recent_labelled(recent)
+        combined = retraining_dataset(original, fresh, features, target, recent)
         # Row ids are given once and written down, so every later pass and
         # every recomputed task sees the same ones.
         rows = materialise(
@@ -127,7 +129,9 @@ def retrain(
         if scaler is not None:
             tables.append("scaler", scaler.withColumn("version", F.lit(version)))
         tables.promote(version, now)
-        tables.save_baseline(train, features, version)
+        # the log holds raw features, and so does the baseline that it is compared with
+        raw = rows.join(train.select("row_id"), "row_id", "left_semi")
+        tables.save_baseline(raw, features, version)
         run.mark("COMPLETED", version, new_f1)
         run.alert("RESOLVED", new_f1, f"Retraining completed: version {version} is in production. Trigger: {reason}")
         return True

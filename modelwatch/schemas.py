@@ -38,6 +38,9 @@ TABLES: dict[str, T.StructType] = {
     ),
     # Late labels, acknowledgements and promotions are events of their own:
     # files are only ever appended to, the current state is the latest row per key.
+    "quarantine": _table(
+        "id BIGINT, timestamp TIMESTAMP, model_version STRING, features_json STRING, missing STRING"
+    ),
     "labels": _table("id BIGINT, labelled_at TIMESTAMP, true_label INT"),
     "drift_results": _table(
         "id BIGINT, timestamp TIMESTAMP, model_version STRING, drift_type STRING, "
@@ -64,6 +67,7 @@ TABLES: dict[str, T.StructType] = {
 # Tables that grow with traffic are partitioned by day.
 DAILY: dict[str, str] = {
     "predictions": "timestamp",
+    "quarantine": "timestamp",
     "drift_results": "timestamp",
     "alerts": "timestamp",
 }

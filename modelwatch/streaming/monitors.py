@@ -48,25 +48,41 @@ def land_predictions(
     transform: Callable[[DataFrame], DataFrame] | None = None, every: str | None = None,
 ) -> StreamingQuery:
     """Append a stream to the prediction table.  Each micro-batch owns its
-    folder and replaces it when it is run again, so a restart adds no row twice."""
+    folder and replaces it when it is run again, so a restart adds no row twice.
+    Rows that ``transform`` turns away (its ``rejected``) go to the table
+    ``quarantine`` with the names they lack."""
 
     def land(batch: DataFrame, batch_id: int) -> None:
+        if hasattr(transform, "rejected"):
+            tables.land_batch(transform.rejected(batch), name, batch_id, "quarantine")
         tables.land_batch(transform(batch) if transform else batch, name, batch_id)
 
     return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 
 def valid_rows(required: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
-    """Transform for :func:`land_predictions`: rows with every required feature."""
+    """Transform for :func:`land_predictions`: rows with every required feature;
+    the others are its ``rejected`` rows."""
 
     def keep(batch: DataFrame) -> DataFrame:
-        if "features" not in batch.columns:
-            batch = batch.withColumn("features", feature_map(F.col("features_json")))
-        return split_valid(batch, required)[0]
+        return split_valid(_with_features(batch), required)[0]
 
+    keep.rejected = lambda batch: _quarantined(batch, required)
     return keep
 
 
+def _with_features(batch: DataFrame) -> DataFrame:
+    return batch if "features" in batch.columns else batch.withColumn("features", feature_map(F.col("features_json")))
+
+
+def _quarantined(batch: DataFrame, required: Sequence[str]) -> DataFrame:
+    """The rows that lack a required feature, with the names (``missing``)."""
+    bad = split_valid(_with_features(batch), required)[1]
+    if "features_json" not in bad.columns:
+        bad = bad.withColumn("features_json", F.to_json("features"))
+    return bad.withColumn("missing", F.concat_ws(",", "missing_features"))
+
+
 def champion_scorer(tables: MonitorTables, features: Sequence[str], scaled: str | None = None) -> Callable[[DataFrame], DataFrame]:
     """Transform that scores a micro-batch with the model that is in production
     when the batch starts; a promotion takes effect at the next batch."""
@@ -83,6 +99,7 @@ def champion_scorer(tables: MonitorTables, features: Sequence[str], scaled: str
         scored, _ = score_transactions(loaded[version], batch, features, scaler, scaled)
         return scored.withColumn("model_version", F.lit(str(version)))
 
+    score.rejected = lambda batch: _quarantined(batch, features)
     return score
 
 
