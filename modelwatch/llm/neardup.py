@@ -40,7 +40,7 @@ PERCENT = 85
 BANDS = 20
 ROWS = 5
 BATCH = 20
-MISS = 1e-4
+MISS = 1e-6
 TILE = 512
 TILE_BYTES = 48 << 20
 MEMO = 200_000

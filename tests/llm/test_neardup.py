@@ -72,9 +72,9 @@ def test_odd_rows(odd, none):
 
 def test_bounds_are_posterior_quantiles():
     bounds = N.least_matches([20, 40, 60, 80, 100], 0.85)
-    assert bounds == sorted(bounds) and 60 <= bounds[-1] < 85
+    assert bounds == sorted(bounds) and 55 <= bounds[-1] < 85
     rng = np.random.default_rng(1)
-    assert (rng.binomial(100, 0.85, 100_000) < bounds[-1]).mean() < 1e-3
+    assert (rng.binomial(100, 0.85, 100_000) < bounds[-1]).mean() < 1e-4
 
 
 def test_components_of_a_chain_and_a_star(spark):
