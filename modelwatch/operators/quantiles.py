@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .ranking import running_totals
-from .sizing import join_small, settle
+from .sizing import join_small, match, settle
 
 #: Rows per group up to which a group may be ranked in one task.
 GROUP_LIMIT = 2_000_000
-_SKETCH_PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -124,28 +123,24 @@ def _brackets(rows: DataFrame, keys: list[str], fractions: Sequence[float], accu
     lows = [max(f - margin, 0.0) for f in fractions]
     highs = [min(f + margin, 1.0) for f in fractions]
     probs = ", ".join(f"{x!r}D" for x in lows + highs)
-    # Sketches of up to 64 parts are made side by side.  The smallest of their
-    # lower and the largest of their upper brackets still bracket the whole.
-    sketches = (
-        rows.withColumn("_part", F.spark_partition_id() % _SKETCH_PARTS)
-        .groupBy(*keys, "_part")
-        .agg(
-            F.expr(f"percentile_approx(_v, array({probs}), {accuracy})").alias("_q"),
-            F.min("_v").alias("_mn"),
-            F.max("_v").alias("_mx"),
-            F.count(F.lit(1)).alias("_n"),
-        )
+    # Spark makes a sketch per task and merges them, so the order of the rows
+    # does not matter.
+    sketches = rows.groupBy(*keys).agg(
+        F.expr(f"percentile_approx(_v, array({probs}), {accuracy})").alias("_q"),
+        F.min("_v").alias("_mn"),
+        F.max("_v").alias("_mx"),
+        F.count(F.lit(1)).alias("_n"),
     )
     k = len(fractions)
     bounds = []
-    # Every part may round by a row, 64 in all; 4 / accuracy of the group must
-    # cover that.  Smaller groups are bracketed by their whole range.
-    few = F.sum("_n") <= 20 * accuracy
+    # The margin covers the sketch's error (1 / accuracy) and rounding by a few
+    # rows; groups too small for that are bracketed by their whole range.
+    few = F.col("_n") <= 20 * accuracy
     for i in range(k):
-        low = F.min("_mn") if lows[i] == 0.0 else F.when(few, F.min("_mn")).otherwise(F.min(F.col("_q")[i]))
-        high = F.max("_mx") if highs[i] == 1.0 else F.when(few, F.max("_mx")).otherwise(F.max(F.col("_q")[k + i]))
+        low = F.col("_mn") if lows[i] == 0.0 else F.when(few, F.col("_mn")).otherwise(F.col("_q")[i])
+        high = F.col("_mx") if highs[i] == 1.0 else F.when(few, F.col("_mx")).otherwise(F.col("_q")[k + i])
         bounds += [low.alias(f"_lo{i}"), high.alias(f"_hi{i}")]
-    return settle(sketches.groupBy(*keys).agg(*bounds), "brackets")
+    return settle(sketches.select(*keys, *bounds), "brackets")
 
 
 def _tagged(rows: DataFrame, keys: list[str], fractions: Sequence[float], brackets: DataFrame) -> DataFrame:
@@ -217,7 +212,7 @@ def _placed_narrow(tagged: DataFrame, keys: list[str], group_limit: int) -> Data
         so_far = W.partitionBy(*keys, "_seg").orderBy("_cell").rowsBetween(W.unboundedPreceding, 0)
         upto = inside.withColumn("_upto", F.sum("_c").over(so_far))
     return (
-        upto.join(segments, [*keys, "_seg"])
+        match(upto, segments, [*keys, "_seg"])
         .withColumn("_to", F.col("_base") + F.col("_upto"))
         .withColumn("_from", F.col("_to") - F.col("_c"))
     )

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ...config import DEFAULT_BASELINE_METRICS, Settings
 from ...operators import alerts as A
+from ...operators import bins as B
 from ...operators import dataset as S
 from ...operators import drift as D
+from ...operators import inject as J
 from ...operators.results import drift_result_rows
 from ...operators.sizing import match
 from ...sources.fixtures import LINE_FEATURES, adapter, adapter_sql
@@ -16,7 +18,7 @@ from ...streaming import monitors as M
 from ..checks import monitor_once
 from ..retraining import retrain
 from .data_drift import _cut
-from .registry import query
+from .registry import ORACLES, query, r6
 from .stores import _CHECKED, _CYCLE, _P, _log, _store
 from .streams import _instants, _stream
 
@@ -132,3 +134,27 @@ def retrain_then_monitor(spark, sf_dir):
     )
     decision = monitor_once(tables, LINE_FEATURES, settings=settings)
     return decision.select(F.lit(promoted).alias("promoted"), "action")
+
+
+# -- the way of groups that are too large for one task --------------------------
+
+@query("quantile_edges_narrow", ORACLES["quantile_edges"])
+def quantile_edges_narrow(spark, sf_dir):
+    """Deciles by sketches first, exact inside the brackets."""
+    reference, _ = _cut(adapter(spark, sf_dir, "features"))
+    profile = B.quantile_profile(B.to_long(reference, LINE_FEATURES), group_limit=500, accuracy=200)
+    edges = profile.select("feature", F.posexplode(F.array(*B.edge_columns(10))).alias("edge_no", "edge"))
+    return edges.filter("edge is not null").select("feature", "edge_no", r6("edge").alias("edge"))
+
+
+@query("gradual_drift_narrow", ORACLES["gradual_drift"])
+def gradual_drift_narrow(spark, sf_dir):
+    rows = adapter(spark, sf_dir, "order_features").select("id", F.col("price").cast("double").alias("price"), F.col("cust").cast("double").alias("cust"))
+    moved = J.gradual_drift(rows, ["price", "cust"], "id", group_limit=500)
+    return moved.select("id", "batch", r6("price").alias("price"), r6("cust").alias("cust"))
+
+
+@query("stratified_split_counts_narrow", ORACLES["stratified_split_counts"])
+def stratified_split_counts_narrow(spark, sf_dir):
+    parts = S.stratified_split(adapter(spark, sf_dir, "order_features"), "label", "id", group_limit=500)
+    return parts.groupBy("label", "split").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from modelwatch.operators import dataset as S
 from modelwatch.operators import drift as D
 from modelwatch.operators.bins import histogram
 from modelwatch.operators.results import drift_result_rows, drift_summary
+from modelwatch.operators.quantiles import _brackets, _tagged
 from modelwatch.operators.sizing import join_small, match
 from modelwatch.streaming import monitors as M
 
@@ -73,3 +74,10 @@ def test_rejected_rows_carry_the_missing_names(spark):
     keep = M.valid_rows(["a", "b"])
     assert [r.id for r in keep(batch).collect()] == [1]
     assert sorted((r.id, r.missing) for r in keep.rejected(batch).collect()) == [(2, "b"), (3, "a,b")]
+
+
+def test_brackets_stay_narrow_on_ordered_rows(spark):
+    rows = spark.range(400_000, numPartitions=16).select(F.col("id").cast("double").alias("_v"))
+    ranks = [i / 10 for i in range(1, 10)]
+    kept = _tagged(rows, [], ranks, _brackets(rows, [], ranks, 10_000)).filter("_cell is not null").count()
+    assert 0 < kept < 0.02 * 400_000
