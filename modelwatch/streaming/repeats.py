@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.columns import micros
 
+# Executors need no copy of the package: what they run is sent by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -20,24 +25,44 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _Gate(StatefulProcessor):
-    """Per key: the time of the last alert seen.  A span opens the gate when its
-    first alert lies further than the reach behind it."""
+    """Per key: the stretches of time with alerts, gaps up to the reach included.
+
+    An alert is sent if no stretch reaches up to it, whether newer alerts were
+    seen before or not.  Stretches older than ``lateness`` are forgotten, so the
+    state of a key holds at most lateness / reach of them.
+    """
 
-    def __init__(self, reach: int) -> None:
-        self.reach = reach
+    def __init__(self, reach: int, lateness: int) -> None:
+        self.reach, self.lateness = reach, lateness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at bigint")
+        self.seen = handle.getValueState("seen", "stretches string")
+
+    def joined(self, stretches: list[tuple]) -> list[tuple]:
+        """Sorted (first, id, last) with neighbours within reach made one."""
+        out: list[tuple] = []
+        for first, first_id, last in sorted(stretches, key=lambda s: s[:2]):
+            if out and first - out[-1][2] <= self.reach:
+                out[-1] = (*out[-1][:2], max(out[-1][2], last))
+            else:
+                out.append((first, first_id, last))
+        return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spans = pd.concat(list(rows)).sort_values(["first_at", "first_id"])
-        last = self.last.get()[0] if self.last.exists() else None
-        sent = []
-        for first_at, first_id, last_at in zip(spans["first_at"], spans["first_id"], spans["last_at"]):
-            if last is None or first_at - last > self.reach:
-                sent.append((*key, int(first_id), int(first_at)))
-            last = int(last_at) if last is None else max(last, int(last_at))
-        self.last.update((last,))
+        new: list[tuple] = []
+        for spans in rows:
+            columns = (spans["first_at"], spans["first_id"], spans["last_at"])
+            new = self.joined([*new, *((int(a), int(i), int(z)) for a, i, z in zip(*columns))])
+        text = self.seen.get()[0] if self.seen.exists() else ""
+        seen = [tuple(map(int, s.split(":"))) for s in text.split(",") if s]
+        sent = [
+            (*key, first_id, first)
+            for first, first_id, _ in new
+            if not any(a <= first and first - z <= self.reach for a, z in seen)
+        ]
+        kept = self.joined([(a, 0, z) for a, z in seen] + [(a, 0, z) for a, _, z in new])
+        oldest = kept[-1][2] - self.lateness if kept else 0
+        self.seen.update((",".join(f"{a}:{z}" for a, _, z in kept if z >= oldest),))
         columns = [f"k{i}" for i in range(len(key))] + ["id", "at"]
         yield pd.DataFrame(sent, columns=columns)
 
@@ -47,10 +72,11 @@ class _Gate(StatefulProcessor):
 
 def dispatch_stream(
     alerts: DataFrame, ts: str = "timestamp", tie: str = "id",
-    keys: Sequence[str] = ("drift_type", "metric_name"), minutes: int = 30,
+    keys: Sequence[str] = ("drift_type", "metric_name"), minutes: int = 30, lateness_hours: int = 24,
 ) -> DataFrame:
     """Ids and times of the alerts to send: those without another of their key
-    in the ``minutes`` before.
+    in the ``minutes`` before.  Alerts may be up to ``lateness_hours`` late; a
+    NULL key is a key like others, alerts without a time are left out.
 
     Before the shuffle every task folds its alerts to one span (first, last)
     per key and slot of that length; inside a slot all gaps are shorter than
@@ -60,13 +86,13 @@ def dispatch_stream(
     keys = list(keys)
     reach = minutes * 60_000_000
     at = micros(F.col(ts))
-    rows = alerts.select(*keys, F.col(tie).cast("bigint").alias("first_id"), at.alias("first_at"))
+    rows = alerts.filter(F.col(ts).isNotNull()).select(*keys, F.col(tie).cast("bigint").alias("first_id"), at.alias("first_at"))
     rows = rows.withColumn("last_at", F.col("first_at")).withColumn("slot", F.col("first_at") - F.pmod("first_at", F.lit(reach)))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ordered = batch.sort_values(["first_at", "first_id"])
-            grouped = ordered.groupby([*keys, "slot"], sort=False, as_index=False)
+            grouped = ordered.groupby([*keys, "slot"], sort=False, as_index=False, dropna=False)
             yield grouped.agg(first_id=("first_id", "first"), first_at=("first_at", "first"), last_at=("last_at", "max"))[
                 [*keys, "first_id", "first_at", "last_at"]
             ]
@@ -76,6 +102,6 @@ def dispatch_stream(
     spans = rows.mapInPandas(fold, f"{kept}, first_id bigint, first_at bigint, last_at bigint")
     out = ", ".join(f"k{i} {types[k]}" for i, k in enumerate(keys))
     sent = spans.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Gate(reach), outputStructType=f"{out}, id bigint, at bigint", outputMode="append", timeMode="none"
+        statefulProcessor=_Gate(reach, lateness_hours * 3_600_000_000), outputStructType=f"{out}, id bigint, at bigint", outputMode="append", timeMode="none"
     )
     return sent.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("id").alias(tie), F.timestamp_micros("at").alias(ts))

@@ -46,6 +46,17 @@ def test_dispatch_over_many_batches_equals_the_batch_form(spark, tmp_path):
     assert 0 < len(got) < 200
 
 
+def test_dispatch_of_late_alerts(spark, tmp_path):
+    S.use_rocksdb(spark)
+    schema = "id bigint, timestamp timestamp, drift_type string, metric_name string"
+    make = lambda *rs: spark.createDataFrame([(i, T0 + timedelta(minutes=m), "data", k) for i, m, k in rs], schema)
+    batches = [make((1, 0, "psi"), (2, 300, "psi"), (3, 300, None)), make((4, 120, "psi"), (5, 310, "psi"), (6, 20, "psi"), (7, 320, None))]
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    run(M.write_append(S.dispatch_stream(file_stream(spark, str(tmp_path / "in"), *batches)), out, checkpoint))
+    got = sorted(r["id"] for r in spark.read.parquet(out).collect())
+    assert got == [1, 2, 3, 4] == sorted(r["id"] for r in A.dispatched(batches[0].union(batches[1])).collect())
+
+
 def test_late_labels_join_and_unlabelled_rows_leave_with_null(spark, tmp_path):
     at = lambda h: T0 + timedelta(hours=h)
     schema, label_schema = "id bigint, timestamp timestamp", "id bigint, labelled_at timestamp, true_label int"
