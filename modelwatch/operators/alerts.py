@@ -45,7 +45,7 @@ def alerts_from_drift(results: DataFrame, ts: str = "timestamp") -> DataFrame:
 def with_acknowledgements(alerts: DataFrame, acks: DataFrame) -> DataFrame:
     """Current state: acknowledged in the row itself or by a later event."""
     seen = acks.select("id").distinct().withColumn("_ack", F.lit(True))
-    state = F.col("acknowledged") | F.coalesce("_ack", F.lit(False))
+    state = F.coalesce("acknowledged", F.lit(False)) | F.coalesce("_ack", F.lit(False))
     return alerts.join(seen, "id", "left").withColumn("acknowledged", state).drop("_ack")
 
 
@@ -56,7 +56,7 @@ def unmatched_acknowledgements(alerts: DataFrame, acks: DataFrame) -> DataFrame:
 # -- listings ---------------------------------------------------------------
 
 def active_alerts(alerts: DataFrame, limit: int = 20, ts: str = "timestamp") -> DataFrame:
-    return newest(alerts.filter(~F.col("acknowledged")), limit, ts)
+    return newest(alerts.filter(~F.coalesce("acknowledged", F.lit(False))), limit, ts)
 
 
 def alert_history(
@@ -73,16 +73,18 @@ def alert_history(
 # -- counts -----------------------------------------------------------------
 
 def alert_stats(alerts: DataFrame) -> DataFrame:
-    """Totals overall, by severity and by type: one scan, grouping sets."""
+    """Totals overall, by severity and by type: one scan, grouping sets.  An
+    alert without acknowledgement state is active; a missing severity or type
+    is counted under a NULL name."""
     sets = alerts.groupingSets([[], ["severity"], ["drift_type"]], "severity", "drift_type")
     out = sets.agg(
         F.grouping_id("severity", "drift_type").alias("_g"),
         F.count(F.lit(1)).alias("total"),
-        F.count_if(~F.col("acknowledged")).alias("active"),
+        F.count_if(~F.coalesce("acknowledged", F.lit(False))).alias("active"),
     )
     return out.select(
         F.when(F.col("_g") == 3, "all").when(F.col("_g") == 1, "severity").otherwise("drift_type").alias("dimension"),
-        F.coalesce("severity", "drift_type", F.lit("all")).alias("name"),
+        F.when(F.col("_g") == 3, "all").otherwise(F.coalesce("severity", "drift_type")).alias("name"),
         "total",
         "active",
     )

@@ -81,3 +81,13 @@ def test_brackets_stay_narrow_on_ordered_rows(spark):
     ranks = [i / 10 for i in range(1, 10)]
     kept = _tagged(rows, [], ranks, _brackets(rows, [], ranks, 10_000)).filter("_cell is not null").count()
     assert 0 < kept < 0.02 * 400_000
+
+
+def test_missing_names_and_states_in_alert_counts(spark):
+    raised = [(1, None, "data", None), (2, "WARNING", None, True), (3, "WARNING", "data", False)]
+    alerts = spark.createDataFrame(raised, "id long, severity string, drift_type string, acknowledged boolean")
+    got = {(r.dimension, r.name): (r.total, r.active) for r in A.alert_stats(alerts).collect()}
+    assert got == {
+        ("all", "all"): (3, 2), ("severity", None): (1, 1), ("severity", "WARNING"): (2, 1),
+        ("drift_type", None): (1, 0), ("drift_type", "data"): (2, 2),
+    }
