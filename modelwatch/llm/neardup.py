@@ -380,14 +380,14 @@ def group_rows(numbered: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def number_rows(docs: DataFrame, *more: object) -> DataFrame:
-    """A stored copy with a number for each row: row, doc_id, text and ``more``."""
-    return materialise(
-        docs.select(
-            F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more
-        ),
-        "numbered",
-    )
+def number_rows(docs: DataFrame) -> DataFrame:
+    """A stored copy with a number for each row: row, and the columns of ``docs``
+    in one struct, ``all``."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")), "numbered")
+
+
+def _texts(numbered: DataFrame) -> DataFrame:
+    return numbered.select("row", F.col("all.doc_id").cast("long").alias("doc_id"), F.col("all.text").cast("string").alias("text"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -398,12 +398,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     without id belongs to its component, but doesn't name it; a component of such
     rows only has a null id, and its rows are kept.
     """
-    grouped = group_rows(number_rows(docs.select("doc_id", "text")), percent)
+    grouped = group_rows(_texts(number_rows(docs.select("doc_id", "text"))), percent)
     return grouped.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each component, with the columns of ``docs`` as they are."""
-    numbered = number_rows(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"))
-    firsts = group_rows(numbered.select("row", "doc_id", "text"), percent).filter("first").select(F.col("row").alias("__row"))
-    return numbered.join(firsts, F.col("row") == F.col("__row"), "left_semi").select("__all.*")
+    numbered = number_rows(docs)
+    firsts = group_rows(_texts(numbered), percent).filter("first").select(F.col("row").alias("__row"))
+    return numbered.join(firsts, F.col("row") == F.col("__row"), "left_semi").select("all.*")
