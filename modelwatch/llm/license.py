@@ -1,6 +1,11 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are lines with a word. A multinomial logistic regression over sparse
+A paragraph is a line that isn't blank, or several neighbouring ones without a blank
+line between them that only together hold a notice, as one that is hard-wrapped: where
+the template pairs of a stretch of words run over several lines, these lines are
+joined by a blank and judged as one, and count as one paragraph when that is a
+licence or unknown. A line that is a licence by itself is never joined to another
+family. A multinomial logistic regression over sparse
 word uni- and bigrams tells the licence families and "none" apart. It is trained
 on the templates below, each in variants that lack words or stand amid words of
 the corpus, and on paragraphs of the corpus as "none". Probabilities are
@@ -126,6 +131,15 @@ class Vocabulary:
             for pair in sorted(set().union(*self.templates[family])):
                 self.grams.setdefault(pair, n + len(self.grams))
         self.size = n + len(self.grams)
+        #: per template with pairs: family, number of pairs, words; and the templates of each pair
+        self.whole: list[tuple[str, int, int]] = []
+        self.held: dict[tuple[int, int], list[int]] = {}
+        for family, texts in templates.items():
+            for text, pairs in zip(texts, self.templates[family], strict=True):
+                if pairs:
+                    for pair in pairs:
+                        self.held.setdefault(pair, []).append(len(self.whole))
+                    self.whole.append((family, len(pairs), len(tokens(text))))
 
     def ids(self, paragraph: str) -> list[int]:
         get = self.words.get
@@ -220,10 +234,14 @@ def train(spark: SparkSession, docs: DataFrame, templates: dict[str, list[str]]
 
 def classifier(model: dict) -> Callable[[str], str]:
     """The function from paragraph to family, "unknown" or "none"."""
+    judge, ids = _judge(model), model["vocabulary"].ids
+    return lambda paragraph: judge(ids(paragraph))
+
+
+def _judge(model: dict) -> Callable[[list[int]], str]:
     vocabulary, labels, weights, offset, least = (model[k] for k in ("vocabulary", "labels", "weights", "offset", "least"))
 
-    def classify(paragraph: str) -> str:
-        ids = vocabulary.ids(paragraph)
+    def judge(ids: list[int]) -> str:
         if sum(map(bool, ids)) < 2:
             return NONE
         z = offset + weights[:, vocabulary.features(ids)].sum(axis=1)
@@ -237,7 +255,90 @@ def classifier(model: dict) -> Callable[[str], str]:
             return NONE
         return labels[best] if alike >= (CONFIRMED if p[best] >= least else CERTAIN) else UNKNOWN
 
-    return classify
+    return judge
+
+
+def stretches(vocabulary: Vocabulary, lines: list[list[int]]) -> list[tuple[int, int]]:
+    """First and last line of the stretches of words that hold SLIGHT or more of a
+    template's pairs, those with most pairs first, then the shortest.
+
+    A stretch is at most twice as long as its template, so the work grows with the
+    words, however long the lines and however many."""
+    ids = [i for line in lines for i in line]
+    met: dict[int, list[tuple[int, tuple[int, int]]]] = {}
+    for at, pair in enumerate(zip(ids, ids[1:], strict=False)):
+        for t in vocabulary.held.get(pair, ()):
+            met.setdefault(t, []).append((at, pair))
+    met = {t: hits for t, hits in met.items() if len(hits) >= SLIGHT * vocabulary.whole[t][1]}
+    if not met:
+        return []
+    line_of = [n for n, line in enumerate(lines) for _ in line]
+    out = set()
+    for t, hits in met.items():
+        _, size, words = vocabulary.whole[t]
+        for k, (start, _) in enumerate(hits):
+            seen, last = set(), start
+            for at, pair in hits[k:]:
+                if at >= start + 2 * words:
+                    break
+                if pair not in seen:
+                    seen.add(pair)
+                    last = at
+            if len(seen) >= SLIGHT * size:
+                out.add((-len(seen), last - start, line_of[start], line_of[last + 1]))
+    return list(dict.fromkeys((first, last) for _, _, first, last in sorted(out)))
+
+
+def scanner(model: dict) -> Callable[[str | None], tuple[int, list[str], int]]:
+    """The function from text to its number of paragraphs, the families of the
+    confirmed ones and the number of unknown ones."""
+    judge, vocabulary = _judge(model), model["vocabulary"]
+    known: dict[str, tuple[list[int], str]] = {}
+
+    def of_line(line: str) -> tuple[list[int], str]:
+        found = known.get(line)
+        if found is None:
+            ids = vocabulary.ids(line)
+            found = ids, judge(ids)
+            if len(known) < 50_000 and len(line) < 200:
+                known[line] = found
+        return found
+
+    def of_block(lines: list[str]) -> list[str]:
+        judged = [of_line(line) for line in lines]
+        if len(lines) < 2:
+            return [family for _, family in judged]
+        taken = [False] * len(lines)
+        out, wide = [], []
+        for first, last in stretches(vocabulary, [ids for ids, _ in judged]):
+            if last == first:
+                wide.append((first, last, judged[first][1]))
+            else:
+                wide.append((first, last, judge([i for ids, _ in judged[first : last + 1] for i in ids])))
+        # confirmed ones before unknown ones
+        for first, last, family in sorted(wide, key=lambda w: w[2] == UNKNOWN):
+            if family == NONE or any(taken[first : last + 1]):
+                continue
+            if any(f not in (NONE, UNKNOWN, family) for _, f in judged[first : last + 1]):
+                continue
+            taken[first : last + 1] = [True] * (last + 1 - first)
+            out.append(family)
+        return out + [family for (_, family), done in zip(judged, taken, strict=True) if not done]
+
+    def scan(text: str | None) -> tuple[int, list[str], int]:
+        families: list[str] = []
+        block: list[str] = []
+        for line in (text or "").split("\n"):
+            if line.strip(" \t\x0b\f\r"):
+                block.append(line)
+            elif block:
+                families += of_block(block)
+                block = []
+        if block:
+            families += of_block(block)
+        return len(families), [f for f in families if f not in (NONE, UNKNOWN)], families.count(UNKNOWN)
+
+    return scan
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
@@ -248,24 +349,10 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     model = train(docs.sparkSession, rows)
 
     def start() -> Callable[..., tuple]:
-        classify = classifier(model)
-        known: dict[str, str] = {}
+        scan = scanner(model)
 
         def run(doc_id: int | None, text: str | None) -> tuple:
-            n, found, unknown = 0, [], 0
-            for line in (text or "").split("\n"):
-                if not line or not line.strip(" \t\x0b\f\r"):
-                    continue
-                n += 1
-                family = known.get(line)
-                if family is None:
-                    family = classify(line)
-                    if len(known) < 50_000 and len(line) < 200:
-                        known[line] = family
-                if family == UNKNOWN:
-                    unknown += 1
-                elif family != NONE:
-                    found.append(family)
+            n, found, unknown = scan(text)
             return doc_id, n, len(found), unknown, ",".join(sorted(set(found)))
 
         return run
