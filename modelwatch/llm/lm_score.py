@@ -42,13 +42,13 @@ from modelwatch.session import materialise
 
 runs_on_workers(__name__)
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 #: How often an n-gram of two words or more must be seen to be used.
 LEAST = 2
 BLOCK_BYTES = 8 << 20
 #: Text bytes per bucket: about two million n-grams of the default order.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def pack(numbers: np.ndarray) -> bytes:

@@ -188,19 +188,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT rowid AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
         FROM (SELECT row_number() OVER () AS rowid, doc_id, text FROM documents)
     ), places AS (
-        SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(list_concat([NULL], w[:-2])) AS before
+        SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(list_concat([NULL], w[:-2])) AS before,
+            unnest(list_concat([NULL, NULL], w[:-3])[:len(w)]) AS first
         FROM words WHERE len(w) > 0
     ), one AS (SELECT word, count(*) AS c FROM places GROUP BY word),
     two AS (SELECT before, word, count(*) AS c FROM places WHERE before IS NOT NULL GROUP BY before, word),
+    three AS (SELECT first, before, word, count(*) AS c FROM places WHERE first IS NOT NULL GROUP BY first, before, word),
     total AS (SELECT count(*) AS n FROM places),
     scored AS (
         SELECT p.r,
-            CASE WHEN t.c >= 2 THEN 1 ELSE 0 END AS seen,
-            CASE WHEN t.c >= 2 THEN log10(t.c::DOUBLE / b.c)
-                 WHEN p.before IS NOT NULL THEN log10(0.4) + log10(a.c::DOUBLE / total.n)
-                 ELSE log10(a.c::DOUBLE / total.n) END AS s
+            CASE WHEN p.first IS NOT NULL THEN (h.c >= 2)::INT WHEN p.before IS NOT NULL THEN (t.c >= 2)::INT ELSE 0 END AS seen,
+            CASE WHEN h.c >= 2 THEN log10(h.c::DOUBLE / f.c)
+                 WHEN t.c >= 2 THEN log10(t.c::DOUBLE / b.c) + CASE WHEN p.first IS NOT NULL THEN log10(0.4) ELSE 0 END
+                 ELSE log10(a.c::DOUBLE / total.n) + log10(0.4) * ((p.before IS NOT NULL)::INT + (p.first IS NOT NULL)::INT) END AS s
         FROM places p JOIN one a ON a.word = p.word LEFT JOIN one b ON b.word = p.before
-        LEFT JOIN two t ON t.before = p.before AND t.word = p.word CROSS JOIN total
+        LEFT JOIN two t ON t.before = p.before AND t.word = p.word LEFT JOIN two f ON f.before = p.first AND f.word = p.before
+        LEFT JOIN three h ON h.first = p.first AND h.before = p.before AND h.word = p.word CROSS JOIN total
     ), summed AS (SELECT r, sum(seen) AS n_seen, sum(s) AS s FROM scored GROUP BY r)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_seen, 0)::BIGINT AS n_seen, round(coalesce(s, 0.0), 4) AS score
     FROM words LEFT JOIN summed USING (r)

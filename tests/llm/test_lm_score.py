@@ -44,3 +44,19 @@ def test_against_counting(spark, odd, none, monkeypatch, order):
 def test_packing():
     for numbers in ([], [0], [1, 255], [256, 0, 2**63 + 5], [2**40]):
         assert L.unpack(L.pack(np.array(numbers, np.uint64))).tolist() == numbers
+
+
+def test_registered_model_counts_trigrams(spark, tmp_path):
+    import duckdb
+
+    from modelwatch.llm.queries import ORACLES, QUERIES
+
+    texts = ["a b c d a b c", "a b c", "b c d", "x b c", "a", "", None, "a b", "c d a b c d\ne  f", "a b c d a b c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["op2_lm_scores"](spark, str(tmp_path)).collect())
+    wanted = [(i, n, seen, round(score, 4)) for i, (n, seen, score) in enumerate(slow_scores(texts, 3, 0.4, 2))]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for rows in (got, sorted(con.execute(ORACLES["op2_lm_scores"]).fetchall())):
+        assert [r[:3] for r in rows] == [w[:3] for w in wanted]
+        assert [r[3] for r in rows] == pytest.approx([w[3] for w in wanted], abs=1e-4)
