@@ -25,8 +25,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates the document with the least id stays."""
-    return neardup.without_near_duplicates(docs)
+    """Of near duplicates (five-word shingles, Jaccard of 0.8 or more) the document
+    with the least id stays."""
+    return neardup.without_near_duplicates(docs, percent=80)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 1. Every text becomes the set of its five-word shingles (64-bit hashes) and a
    signature of 100 minima. Documents with equal sets are one class from here on.
-2. Signatures are cut into 20 bands of 5. Classes that agree in a band meet in
-   its bucket with a one-byte-a-minimum sketch. There all pairs are compared
+2. Signatures are cut into 20 bands of 5, for thresholds below 0.85 into more and
+   shorter ones (25 of 4 at 0.8). Classes that agree in a band meet in its bucket with a one-byte-a-minimum sketch. There all pairs are compared
    batch by batch: after each batch a pair goes if the posterior probability that
    its similarity reaches the threshold is below MISS (uniform prior, so a beta
    posterior). Only which classes hang together by surviving pairs leaves the
@@ -15,7 +15,7 @@
 
 A bucket or family beyond TILE members is cut into tiles by a hash, and each
 pair of tiles is a task's work of its own, so no task holds a large group. A
-pair at the threshold is in no common bucket with probability 8e-6.
+pair at the threshold is in no common bucket with probability 8e-6 (0.85), 2e-6 (0.8).
 """
 
 from __future__ import annotations
@@ -50,6 +50,13 @@ BROADCAST_GROUPS = 100_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def rows_of_band(percent: int) -> int:
+    """The longest bands, up to ROWS, in which a pair at the threshold agrees
+    nowhere with a probability of 1e-5 or less."""
+    fit = [r for r in (5, 4, 2, 1) if r <= ROWS and (1 - (percent / 100) ** r) ** (BANDS * ROWS // r) <= 1e-5]
+    return max(fit, default=1)
+
+
 class Shingler:
     """Texts to sets of shingles, as sorted 64-bit hashes."""
 
@@ -191,13 +198,16 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Stored: row, doc_id, n (shingles), s1 and s2 (the set's 128-bit digest),
     sketch and keys (of the bands)."""
+    length = rows_of_band(percent)
+    bands = BANDS * ROWS // length
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler()
-        seeds = np.random.default_rng(7).integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
-        salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        seeds = np.random.default_rng(7).integers(1, 1 << 63, length, dtype=np.uint64) | np.uint64(1)
+        salt = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -206,7 +216,7 @@ def sign(docs: DataFrame) -> DataFrame:
                     s = make.shingles(text)
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     signature = make.signature(s)
-                    keys = (signature.reshape(BANDS, ROWS).astype(np.uint64) * seeds).sum(axis=1, dtype=np.uint64) + salt
+                    keys = (signature.reshape(bands, length).astype(np.uint64) * seeds).sum(axis=1, dtype=np.uint64) + salt
                     keys ^= keys >> np.uint64(31)
                     keys *= np.uint64(0xD6E8FEB86659FD93)
                     for column, value in zip(
@@ -360,7 +370,7 @@ def group_rows(numbered: DataFrame, percent: int = PERCENT) -> DataFrame:
     """row, doc_id, n, component_id, first (is it the row of its component with
     the least doc_id, then row, null ids last?) for the rows of a stored table
     (row, doc_id, text)."""
-    signed = sign(numbered)
+    signed = sign(numbered, percent)
     linked = components(verified_links(numbered, families(signed, percent), percent))
     signed = signed.select("row", "doc_id", "n", "s1", "s2")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
