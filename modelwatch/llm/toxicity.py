@@ -73,6 +73,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     """text and toxic of up to ``rows`` labelled documents that aren't held out."""
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("__toxic"))
+    # labels of documents that aren't there must not use up the sample
+    here = docs.select(F.col("doc_id").cast("long").alias("__here"))
+    marked = marked.join(here, F.col("__id") == F.col("__here"), "left_semi")
     # rows of two numbers, at most ``rows`` of them
     chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(rows)
     joined = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("__id"))

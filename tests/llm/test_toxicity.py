@@ -58,3 +58,10 @@ def test_one_kind_of_labels(spark, none, toxic, score):
     assert {r.score for r in X.score_documents(docs, labels).collect()} == {score}
     if not toxic:
         assert X.score_documents(none, labels).count() == 0
+
+
+def test_labels_without_documents_do_not_use_up_the_sample(spark, tables):
+    docs, labels = tables
+    others = spark.range(100_000, 105_000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic")
+    wanted = X.labelled_sample(docs, labels, 100).count()
+    assert wanted >= 100 and X.labelled_sample(docs, labels.unionByName(others), 100).count() == wanted
