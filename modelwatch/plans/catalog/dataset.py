@@ -73,7 +73,7 @@ def retraining_dataset(spark, sf_dir):
 
 # -- training ---------------------------------------------------------------------
 
-_SMALL_FOREST = Settings(num_trees=10, max_depth=5)
+_FOREST = Settings()
 
 
 def _training_rows(spark, sf_dir):
@@ -87,7 +87,7 @@ def _training_rows(spark, sf_dir):
 def forest_evaluation(spark, sf_dir):
     """Train on the early rows, score the late ones, evaluate them."""
     rows = _training_rows(spark, sf_dir)
-    model = T.train_forest(rows.filter("side = 'ref'"), LINE_FEATURES, "label", _SMALL_FOREST)
+    model = T.train_forest(rows.filter("side = 'ref'"), LINE_FEATURES, "label", _FOREST)
     return T.evaluate(T.score(model, rows.filter("side = 'cur'")), "label")
 
 
@@ -97,7 +97,7 @@ def score_transactions(spark, sf_dir):
     rows = _training_rows(spark, sf_dir)
     scaler_row = S.fit_scaler(rows, "l_extendedprice")
     prepared = S.apply_scaler(rows, scaler_row, "l_extendedprice")
-    model = T.train_forest(prepared.filter("side = 'ref'"), LINE_FEATURES, "label", _SMALL_FOREST)
+    model = T.train_forest(prepared.filter("side = 'ref'"), LINE_FEATURES, "label", _FOREST)
     pairs = [x for f in LINE_FEATURES for x in (F.lit(f), F.col(f))]
     scored, _ = T.score_transactions(
         model, rows.select("l_orderkey", F.create_map(*pairs).alias("features")), LINE_FEATURES, scaler_row, "l_extendedprice"
@@ -107,5 +107,5 @@ def score_transactions(spark, sf_dir):
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    model = T.train_forest(_training_rows(spark, sf_dir), LINE_FEATURES, "label", _SMALL_FOREST)
+    model = T.train_forest(_training_rows(spark, sf_dir), LINE_FEATURES, "label", _FOREST)
     return T.feature_importance(model, LINE_FEATURES)

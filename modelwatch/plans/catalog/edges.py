@@ -122,7 +122,7 @@ def retrain_then_monitor(spark, sf_dir):
         (F.col("l_extendedprice") * (1 - F.col("l_discount")) > 40000).cast("int").alias("label"),
         F.xxhash64("l_orderkey", "l_linenumber").alias("id"),
     )
-    settings = Settings(num_trees=10, max_depth=5)
+    settings = Settings()
     promoted = retrain(tables, rows.drop("id"), "first", LINE_FEATURES, "label", "l_extendedprice", settings)
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("id", F.lit(2_592_000)))
     tables.log_predictions(

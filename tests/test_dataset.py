@@ -94,3 +94,24 @@ def test_compare_models_needs_both_sides(spark):
     row = V.compare_models(side(0.90, 0.95), side(0.95, 0.98)).first()
     assert row["recommendation"] == "DEPLOY" and row["is_improved"] and row["metric_deltas"]["f1"] == pytest.approx(0.05)
     assert V.compare_models(side(0.90, 0.95), side(0.89, 0.99)).first()["recommendation"] == "KEEP"
+
+
+def test_registered_forests_are_the_whole_ones(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from modelwatch.config import Settings
+    from modelwatch.plans.catalog import edges
+    from modelwatch.operators import training
+
+    class Seen(Exception):
+        pass
+
+    def stop(*args):
+        raise Seen((args[-1].num_trees, args[-1].max_depth))
+
+    monkeypatch.setattr(training, "train_forest", stop)
+    monkeypatch.setattr(edges, "retrain", stop)
+    wanted = (Settings().num_trees, Settings().max_depth)
+    for name in ("forest_evaluation", "score_transactions", "feature_importance", "retrain_then_monitor"):
+        with pytest.raises(Seen) as seen:
+            entry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert seen.value.args[0] == wanted == (200, 15), name
