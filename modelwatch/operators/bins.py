@@ -80,13 +80,15 @@ def quantile_counts(
     side: str = "is_ref",
     bins: int = 10,
     open_ends: bool = False,
+    how: str = "inner",
 ) -> DataFrame:
     """Counts per key and bin for both sides of ``long`` in one pass:
     ``bin``, ``ref_count``, ``cur_count`` (and ``n_edges``).
 
-    Features without a profile drop out; see :func:`unprofiled_features`.
+    Features without a profile drop out; see :func:`unprofiled_features`.  With
+    ``how="left"`` they stay, in bin -1 and without ``n_edges``.
     """
-    joined = join_small(long, profile, keys)
+    joined = join_small(long, profile, keys, how)
     binned = joined.select(
         *keys, "n_edges", F.col(side).alias("_side"), quantile_bin(value, bins, open_ends).alias("bin")
     )

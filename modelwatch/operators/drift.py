@@ -27,7 +27,8 @@ def divergences(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Bins that are empty on both sides add ln(1) = 0, so no grid is needed.  A
     key with a single edge has no bins: both values are 0.  A side that lies
-    wholly outside the edges has no shares: both values are NULL.
+    wholly outside the edges has no shares: both values are NULL, as they are
+    for a key without edges or reference (``ref_rows`` is 0).
     """
     whole = W.partitionBy(*keys)
     used = F.col("bin") >= 0
@@ -40,7 +41,7 @@ def divergences(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return shares.groupBy(*keys).agg(
         F.when(flat, F.lit(0.0)).otherwise(F.sum(F.when(used, (q - p) * F.ln(q / p)))).alias("psi"),
         F.when(flat, F.lit(0.0)).otherwise(F.sum(F.when(used, p * F.ln(p / q)))).alias("kl"),
-        F.sum("ref_count").alias("ref_rows"),
+        F.sum(F.when(F.col("n_edges").isNotNull(), F.col("ref_count")).otherwise(0)).alias("ref_rows"),
         F.sum("cur_count").alias("cur_rows"),
         F.coalesce(F.sum(F.when(~used, F.col("cur_count"))), F.lit(0)).alias("cur_dropped"),
     )
@@ -58,7 +59,8 @@ def feature_drift(
     reference_by: Sequence[str] | None = None,
     method: str = "exact",
 ) -> DataFrame:
-    """PSI and KL per (key, feature).
+    """PSI and KL per (key, feature) of the current rows; one without a reference
+    has NULL values and severity ``unknown``.
 
     Give a stored ``profile`` to skip finding the edges.  ``reference_by`` names
     the keys the reference is split by when it is coarser than ``by`` (such as
@@ -78,7 +80,7 @@ def feature_drift(
         both = ref_long.withColumn("is_ref", F.lit(True)).unionByName(
             cur_long.withColumn("is_ref", F.lit(False))
         )
-        counts = B.quantile_counts(both, profile, [*by, "feature"], bins=bins, open_ends=open_ends)
+        counts = B.quantile_counts(both, profile, [*by, "feature"], bins=bins, open_ends=open_ends, how="left")
     else:
         ref_counts = reference_counts(ref_long, profile, ref_keys, bins)
         counts = _against_reference(cur_long, profile, ref_counts, by, ref_keys, bins, open_ends)
@@ -114,14 +116,14 @@ def feature_drift_stored(
 
 
 def _against_reference(cur_long, profile, ref_counts, by, ref_keys, bins, open_ends):
-    """Every current group beside the counts of its one reference group.
+    """Every current group beside the counts of its one reference group, if any.
 
     Binned counts are folded to one short array per group on either side, so
     the current rows are read once and the join is small on small.
     """
     keys = list(dict.fromkeys([*by, *ref_keys]))
     bin_of = B.quantile_bin("value", bins, open_ends).alias("bin")
-    cur = join_small(cur_long, profile, ref_keys).groupBy(*keys, bin_of)
+    cur = join_small(cur_long, profile, ref_keys, "left").groupBy(*keys, bin_of)
     cur = cur.agg(F.max("n_edges").alias("n_edges"), F.count(F.lit(1)).alias("cur_count"))
     cur = cur.groupBy(*keys).agg(
         F.max("n_edges").alias("n_edges"),
@@ -130,7 +132,7 @@ def _against_reference(cur_long, profile, ref_counts, by, ref_keys, bins, open_e
     ref = ref_counts.groupBy(*ref_keys).agg(
         F.collect_list(F.struct("bin", "ref_count", F.lit(0).cast("bigint").alias("cur_count"))).alias("_ref")
     )
-    both = match(cur, ref, ref_keys).selectExpr(*keys, "n_edges", "inline(concat(_cur, _ref))")
+    both = match(cur, ref, ref_keys, "left").selectExpr(*keys, "n_edges", "inline(if(_ref IS NULL, _cur, concat(_cur, _ref)))")
     return both.groupBy(*keys, "bin").agg(
         F.max("n_edges").alias("n_edges"),
         F.sum("ref_count").alias("ref_count"),
@@ -161,21 +163,28 @@ def data_drift_check(
     PSI; it is named in ``out_of_range``, the check is then never better than
     ``unknown``, and its stored result counts as a breach.  ``skipped_features`` were asked for and have no
     value or no reference; with nothing measured at all the verdict is ``unknown``.
+    A key without any reference has no overall PSI.
     """
     psi = (settings or Settings())["psi"]
     place = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature"))
     drifted = F.collect_list(
         F.when(F.col("psi") >= psi.warning, F.struct(place.alias("at"), F.col("feature").alias("name")))
     )
+    known = F.col("ref_rows") > 0 if "ref_rows" in per_feature.columns else F.lit(True)
     out = per_feature.groupBy(*by).agg(
-        F.coalesce(F.max("psi"), F.lit(0.0)).alias("overall_psi"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if(known).alias("_known"),
+        F.max("psi").alias("_psi"),
         F.sort_array(drifted).getField("name").alias("drifted_features"),
-        F.map_from_entries(F.collect_list(F.struct("feature", "psi"))).alias("feature_psi"),
-        F.map_from_entries(F.collect_list(F.struct("feature", "kl"))).alias("feature_kl"),
-        F.count_if(F.col("psi").isNull()).alias("unknown_features"),
-        F.sort_array(F.collect_list(F.when(_out_of_range(per_feature), F.col("feature")))).alias("out_of_range"),
-        F.array_except(F.array(*[F.lit(f) for f in features]), F.collect_set("feature")).alias("skipped_features"),
+        F.map_from_entries(F.collect_list(F.when(known, F.struct("feature", "psi")))).alias("feature_psi"),
+        F.map_from_entries(F.collect_list(F.when(known, F.struct("feature", "kl")))).alias("feature_kl"),
+        F.count_if(known & F.col("psi").isNull()).alias("unknown_features"),
+        F.sort_array(F.collect_list(F.when(known & _out_of_range(per_feature), F.col("feature")))).alias("out_of_range"),
+        F.array_except(F.array(*[F.lit(f) for f in features]), F.collect_set(F.when(known, F.col("feature")))).alias("skipped_features"),
     )
+    strange = (F.col("_rows") > 0) & (F.col("_known") == 0)
+    overall = F.when(~strange, F.coalesce("_psi", F.lit(0.0))).alias("overall_psi")
+    out = out.select(*by, overall, *[c for c in out.columns if c not in (*by, "_rows", "_known", "_psi")])
     level = severity(F.col("overall_psi"), psi.warning, psi.critical)
     # Nothing measurable at all is not "none".
     blind = F.forall(F.map_values("feature_psi"), lambda v: v.isNull()) & (F.size("feature_psi") > 0)
@@ -217,7 +226,9 @@ def prediction_drift_check(
     settings: Settings | None = None,
 ) -> DataFrame:
     """Confidence shift and rate shift of the current against the baseline rows
-    of ``df``; ``side`` is true for current rows.  One row per key that has both."""
+    of ``df``; ``side`` is true for current rows.  One row per key with current rows; without
+    baseline rows or without confidences the distance is NULL and the severity
+    ``unknown``."""
     limits = (settings or Settings())["hellinger"]
     rows = df.select(*by, side, F.col(label).cast("int").alias("_label"), F.col(confidence).alias("_conf"))
     rows = rows.withColumn("_is_ref", ~F.col(side))
@@ -225,6 +236,7 @@ def prediction_drift_check(
     measured = F.when(~F.isnan("_conf"), F.col("_conf"))
     # rates and the range of the bins come from the same pass
     rates = rows.groupBy(*by).agg(
+        F.count_if(now).alias("_now"),
         F.min(measured).alias("_lo"),
         F.max(measured).alias("_hi"),
         F.avg(F.when(base, F.col("_label"))).alias("baseline_positive_rate"),
@@ -235,14 +247,14 @@ def prediction_drift_check(
     rates = settle(rates, "rates")
     span = rates.select(*by, "_lo", "_hi")
     distance = hellinger(B.equal_width_counts(rows, "_conf", "_is_ref", by, bins, span), by)
-    joined = match(rates, distance, by) if by else attach_row(rates, distance)
-    joined = joined.drop("_lo", "_hi").filter(
-        F.col("baseline_mean_confidence").isNotNull() & F.col("current_mean_confidence").isNotNull()
-    )
+    joined = match(rates, distance, by, "left") if by else attach_row(rates, distance)
+    joined = joined.filter("_now > 0").drop("_lo", "_hi", "_now")
+    both = F.col("baseline_mean_confidence").isNotNull() & F.col("current_mean_confidence").isNotNull()
+    joined = joined.withColumn("hellinger", F.when(both, F.col("hellinger")))
     old, new = F.col("baseline_positive_rate"), F.col("current_positive_rate")
     return (
         joined.withColumn("severity", severity(F.col("hellinger"), limits.warning, limits.critical))
-        .withColumn("is_drifted", F.col("severity") != "none")
+        .withColumn("is_drifted", F.col("severity").isin("warning", "critical"))
         .withColumn("positive_rate_change_pct", F.when(old == 0, 0.0).otherwise(F.try_divide(new - old, old) * 100))
     )
 
@@ -274,12 +286,13 @@ def metric_deltas(current: DataFrame, baseline: Mapping[str, float] | DataFrame,
                   settings: Settings | None = None) -> DataFrame:
     """Long form: one row per (key, metric) with current, baseline, delta, drop
     and severity.  ``current`` is wide (one row per key); ``baseline`` is a
-    mapping or a long frame (by.., metric, value)."""
+    mapping or a long frame (by.., metric, value).  Without a baseline value the
+    delta is NULL and the severity ``unknown``."""
     settings = settings or Settings()
     by = list(by)
     long = current.unpivot(by, REQUIRED_METRICS, "metric", "current")
     if isinstance(baseline, DataFrame):
-        long = join_small(long, baseline.select(*by, "metric", F.col("value").alias("baseline")), [*by, "metric"])
+        long = join_small(long, baseline.select(*by, "metric", F.col("value").alias("baseline")), [*by, "metric"], "left")
     else:
         lacking = set(REQUIRED_METRICS) - set(baseline)
         if lacking:

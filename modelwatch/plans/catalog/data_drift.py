@@ -169,6 +169,20 @@ def data_drift_check_by_group(spark, sf_dir):
     return _verdict(_per_feature(spark, sf_dir, by=by), by)
 
 
+@query("data_drift_new_group", f"""SELECT l_returnflag, l_returnflag = 'R' AS unmeasured, CASE WHEN l_returnflag = 'R' THEN 4 ELSE 0 END AS skipped,
+ l_returnflag = 'R' AS unknown FROM ({adapter_sql('features')}) x WHERE side = 'cur' GROUP BY 1""")
+def data_drift_new_group(spark, sf_dir):
+    """A group that only the current side has is there, as unknown."""
+    by = ["l_returnflag"]
+    reference, current = _cut(adapter(spark, sf_dir, "features"))
+    found = D.feature_drift(reference.filter("l_returnflag <> 'R'"), current, LINE_FEATURES, by)
+    checked = D.data_drift_check(found, LINE_FEATURES, by)
+    return checked.select(
+        *by, F.col("overall_psi").isNull().alias("unmeasured"), F.size("skipped_features").alias("skipped"),
+        (F.col("severity") == "unknown").alias("unknown"),
+    )
+
+
 @query("drifted_feature_card", _SHIFTED + """SELECT count(*) FILTER (psi >= 0.10) AS drifted_count,
  CASE WHEN count(*) FILTER (psi >= 0.10) = 0 THEN 'good' WHEN count(*) FILTER (psi >= 0.10) < 5 THEN 'warning' ELSE 'bad' END AS band,
  count(*) AS feature_count FROM psi""")

@@ -285,3 +285,32 @@ def test_histogram_matches_numpy(spark):
 
 def test_histogram_of_nothing_is_empty(spark):
     assert B.histogram(spark.createDataFrame([], "x double"), "x").count() == 0
+
+
+def test_a_group_without_reference_is_unknown(spark):
+    ref = spark.createDataFrame([("a", float(i), 2.0 * i) for i in range(40)], "g string, x double, y double")
+    cur = spark.createDataFrame([(g, float(i), 2.0 * i) for g in ("a", "new", None) for i in range(40)], "g string, x double, y double")
+    profile = B.quantile_profile(B.to_long(ref, ["x", "y"], ["g"]), ["g", "feature"])
+    counts = D.reference_counts(B.to_long(ref, ["x", "y"], ["g"]), profile, ["g", "feature"])
+    for found in (
+        D.feature_drift(ref, cur, ["x", "y"], ["g"]),
+        D.feature_drift_stored(cur, ["x", "y"], profile, counts, ["g"], ["g"]),
+    ):
+        got = {r.g: r for r in D.data_drift_check(found, ["x", "y"], ["g"]).collect()}
+        assert set(got) == {"a", "new", None} and got["a"].severity == "none" and got["a"].skipped_features == []
+        for g in ("new", None):
+            assert (got[g].overall_psi, got[g].severity, got[g].is_drifted) == (None, "unknown", False)
+            assert got[g].skipped_features == ["x", "y"] and got[g].out_of_range == []
+
+    sides = [(g, now, i % 2, i / 10) for g in ("a", "new") for now in (True, False) for i in range(8) if g == "a" or now]
+    rows = spark.createDataFrame(sides, "g string, is_current boolean, predicted_label int, confidence double")
+    got = {r.g: r for r in D.prediction_drift_check(rows, by=["g"]).collect()}
+    assert got["a"].severity == "none"
+    assert (got["new"].hellinger, got["new"].severity, got["new"].is_drifted) == (None, "unknown", False)
+    assert got["new"].current_positive_rate == 0.5 and got["new"].baseline_positive_rate is None
+
+    labelled = rows.withColumn("true_label", rows.predicted_label)
+    base = spark.createDataFrame([("a", m, 1.0) for m in ("accuracy", "f1", "precision", "recall")], "g string, metric string, value double")
+    got = {r.g: r for r in D.concept_drift_check(labelled, base, by=["g"]).collect()}
+    assert got["a"].severity == "none" and got["new"].severity == "unknown" and not got["new"].is_drifted
+    assert got["new"].current_metrics["accuracy"] == 1.0 and got["new"].metric_deltas["accuracy"] is None
