@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import bpe, fingerprint, license, lm_score, mix, neardup, quality, token_count, toxicity, warc
+from modelwatch.llm import bpe, fingerprint, license, lm_score, mix, neardup, quality, spelling, token_count, toxicity, warc
 from modelwatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +217,51 @@ def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def _crc_entries() -> list[int]:
+    """The remainders of all bytes by the reflected CRC-32 polynomial."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+@query(
+    r"""
+    WITH RECURSIVE runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run
+        FROM documents
+    ), per_document AS (SELECT id, run, count(*) AS c, hex(encode(id || ':' || run)) AS code FROM runs GROUP BY id, run
+    ), coded AS (
+        SELECT run, c, xor(4294967295::BIGINT, list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(range(1, length(code) // 2 + 1), lambda i: ('0x' || code[2 * i - 1:2 * i])::BIGINT)),
+            lambda a, b: xor(a >> 8, entries[(xor(a, b) & 255) + 1]))) AS h
+        FROM per_document, (SELECT ENTRIES::BIGINT[] AS entries)
+    ), words AS (
+        SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(c)::BIGINT AS n
+        FROM coded GROUP BY 1 HAVING sum(c) >= 3 AND length(word) >= 5
+    ), shorter AS (
+        SELECT DISTINCT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), near AS (
+        SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, a.n, b.word, b.n FROM words a JOIN shorter b ON a.word = b.rest
+        UNION SELECT b.word, b.n, a.word, a.n FROM words a JOIN shorter b ON a.word = b.rest
+    ), ranked AS (
+        SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place FROM near
+    ), formed AS (
+        SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near,
+            CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+        FROM words w LEFT JOIN ranked r ON w.word = r.word AND place = 1
+    ), steps AS (
+        SELECT word, word AS root FROM formed WHERE form IS NULL
+        UNION ALL SELECT f.word, s.root FROM steps s JOIN formed f ON f.form = s.word
+    )
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN steps USING (word)
+    """.replace("ENTRIES", str(_crc_entries()))
+)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
