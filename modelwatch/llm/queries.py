@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import bpe, fingerprint, license, lm_score, mix, neardup, quality, spelling, token_count, toxicity, warc
+from modelwatch.llm import bpe, fingerprint, license, lm_score, mix, neardup, phrases, quality, spelling, token_count, toxicity, warc
 from modelwatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,3 +265,36 @@ def _crc_entries() -> list[int]:
 )
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents
+    ), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    grams AS (
+        SELECT lang, k, g, count(*)::BIGINT AS f
+        FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM words, range(1, 4) t(k))
+        GROUP BY ALL
+    ), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+    longer AS (
+        SELECT lang, g, max(f) AS most FROM (
+            SELECT lang, g[:2] AS g, f FROM grams WHERE k = 3 UNION ALL SELECT lang, g[2:] AS g, f FROM grams WHERE k = 3) GROUP BY lang, g
+    ), candidates AS (
+        SELECT c.lang, c.k, c.g, c.f FROM grams c LEFT JOIN longer x ON c.lang = x.lang AND c.k = 2 AND c.g = x.g
+        WHERE c.k > 1 AND c.f >= 10 AND NOT coalesce(100 * most >= 50 * c.f, false)
+    ), cuts AS (
+        SELECT c.lang, c.g, c.f AS a, cut, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+        FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c
+        JOIN grams x ON x.lang = c.lang AND x.g = c.g[:cut] JOIN grams y ON y.lang = c.lang AND y.g = c.g[cut + 1:]
+    ), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+    ranked AS (
+        SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM lowest
+    )
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """
+)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
