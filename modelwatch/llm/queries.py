@@ -281,7 +281,8 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
     longer AS (
         SELECT lang, g, max(f) AS most FROM (
-            SELECT lang, g[:2] AS g, f FROM grams WHERE k = 3 UNION ALL SELECT lang, g[2:] AS g, f FROM grams WHERE k = 3) GROUP BY lang, g
+            SELECT lang, g[:2] AS g, f FROM grams WHERE k = 3 AND f >= 10 UNION ALL SELECT lang, g[2:], f FROM grams WHERE k = 3 AND f >= 10
+        ) GROUP BY lang, g
     ), candidates AS (
         SELECT c.lang, c.k, c.g, c.f FROM grams c LEFT JOIN longer x ON c.lang = x.lang AND c.k = 2 AND c.g = x.g
         WHERE c.k > 1 AND c.f >= 10 AND NOT coalesce(100 * most >= 50 * c.f, false)
