@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelwatch.llm import bpe, fingerprint, license, lm_score, mix, neardup, phrases, quality, spelling, token_count, toxicity, warc
+from modelwatch.llm import bpe, fingerprint, groupjoin, license, lm_score, mix, neardup, phrases, quality, spelling, token_count, toxicity, warc
 from modelwatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -299,3 +299,29 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), shingles AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+    ), sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM shingles GROUP BY doc_id),
+    shared AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+    ), links AS (
+        SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+    ), reached AS (
+        SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+    ), least AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id),
+    partners AS (SELECT a AS doc_id, count(*)::BIGINT AS n_links FROM links GROUP BY a)
+    SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(other, w.doc_id)) AS component_id, coalesce(n_links, 0) AS n_links
+    FROM words w LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id) LEFT JOIN partners USING (doc_id)
+    """
+)
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groupjoin.jaccard_join(table(spark, sf_dir, "documents"))
