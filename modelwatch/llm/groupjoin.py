@@ -135,26 +135,42 @@ class PartKeys:
         return np.concatenate(out).view(np.int64)
 
 
+def pack(text: str | None) -> bytes:
+    """A compressed text, led by its length."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> str:
+    size = int.from_bytes(data[:8], "little")
+    return pa.decompress(data[8:], size, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass") if size else ""
+
+
 def sign(texts: DataFrame, percent: int) -> DataFrame:
-    """Stored: row, doc_id, n (shingles), s1 and s2 (a 128-bit digest of the set), keys."""
+    """Stored: row, doc_id, n (shingles), s1 and s2 (a 128-bit digest of the set),
+    keys, packed (the text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, part_keys = Shingles(), PartKeys(percent)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [shingles.of(t) for t in part.column(2).to_pylist()]
+                texts = part.column(2).to_pylist()
+                sets = [shingles.of(t) for t in texts]
                 digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
                 columns = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(digests[:, i]) for i in (0, 1))]
                 columns.append(pa.array([part_keys.of(s) for s in sets], pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "s1", "s2", "keys"])
+                columns.append(pa.array([pack(t) for t in texts], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "s1", "s2", "keys", "packed"])
 
-    return materialise(texts.mapInArrow(run, "row long, doc_id long, n long, s1 long, s2 long, keys array<long>"), "signed")
+    return materialise(texts.mapInArrow(run, "row long, doc_id long, n long, s1 long, s2 long, keys array<long>, packed binary"), "signed")
 
 
 def shared_keys(signed: DataFrame, classes: DataFrame) -> DataFrame:
     """Stored: row, key, leader for the keys of a class that others have too."""
-    keyed = signed.join(classes.select(F.col("f").alias("row")), "row").select("row", F.explode("keys").alias("key"))
+    several = classes.filter("size > 1").select("s1", "s2", "f")
+    copies = materialise(signed.select("row", "s1", "s2").join(several, ["s1", "s2"]).filter("row <> f").select("row"), "copies")
+    keyed = signed.select("row", "keys").join(copies, "row", "left_anti").select("row", F.explode("keys").alias("key"))
     sample = signed.filter((F.size("keys") > 0) & (F.pmod("s1", F.lit(SAMPLE)) == 0)).dropDuplicates(["s1", "s2"])
     sample = sample.select("row", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("hits"), F.min("row").alias("leader"))
     frequent = materialise(sample.filter(F.col("hits") >= FREQUENT).select("key", "leader"), "frequent")
@@ -182,14 +198,14 @@ _GROUP = "group long, rows array<long>, sizes array<long>, lengths array<int>, t
 _LINKED = "row long, head long, linked long"
 
 
-def build_groups(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def build_groups(signed: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Stored: a row of the matrix for each group. tokens is the union, cells are
     the places in it of each set's tokens, lengths their numbers; heads and
     linked hold what came of comparing the sets with each other."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         shingles = Shingles()
-        sets = [shingles.of(t) for t in rows.column("text").to_pylist()]
+        sets = [shingles.of(unpack(t)) for t in rows.column("packed").to_pylist()]
         union, cells = np.unique(np.concatenate(sets), return_inverse=True)
         names, sizes = rows.column("row").to_numpy(), rows.column("size").to_numpy()
         lengths = np.array([len(s) for s in sets], np.int32)
@@ -198,7 +214,8 @@ def build_groups(texts: DataFrame, members: DataFrame, percent: int) -> DataFram
         out = [key[0].as_py(), names, sizes, lengths, union.tobytes(), cells.astype(np.uint32).tobytes(), names[heads(links)], links @ sizes]
         return pa.table([pa.array([x], kind) for x, kind in zip(out, _KINDS, strict=True)], names=_NAMES)
 
-    found = members.select("row", "group", "size").join(texts.select("row", "text"), "row").select("group", "row", "size", "text")
+    # a side that grows with the table is not broadcast at any size
+    found = signed.select("row", "packed").join(members.select("row", "group", "size").hint("merge"), "row")
     return materialise(found.groupBy("group").applyInArrow(run, _GROUP), "groups")
 
 
@@ -297,6 +314,8 @@ def cells(shared: DataFrame, members: DataFrame) -> DataFrame:
 def cross_links(groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """row, head, linked from every cell that is opened."""
     columns = ["rows", "sizes", "lengths", "tokens", "cells"]
+    used = pairs.select(F.explode(F.array("g1", "g2")).alias("group")).distinct()
+    groups = groups.join(used, "group", "left_semi")
     one = groups.select(F.col("group").alias("g1"), *[F.col(c).alias(f"{c}1") for c in columns])
     two = groups.select(F.col("group").alias("g2"), *[F.col(c).alias(f"{c}2") for c in columns])
 
@@ -308,7 +327,7 @@ def cross_links(groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["row", "head", "linked"])
 
-    met = pairs.join(one, "g1").join(two, "g2")
+    met = pairs.join(one.hint("merge"), "g1").join(two.hint("merge"), "g2")
     return met.select(*[f"{c}1" for c in columns], *[f"{c}2" for c in columns]).mapInArrow(run, _LINKED)
 
 
@@ -321,17 +340,14 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     has a null id. Rows that repeat are linked with each other.
     """
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    texts = materialise(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "texts")
-    signed = sign(texts, percent)
-    classes = signed.filter("n > 0").groupBy("s1", "s2").agg(
-        F.min("row").alias("f"), F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least"), F.min("n").alias("n")
-    )
-    classes = materialise(classes, "classes")
+    signed = sign(docs.select(F.monotonically_increasing_id().alias("row"), *columns), percent)
+    about = [F.min("row").alias("f"), F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least"), F.min("n").alias("n")]
+    classes = materialise(signed.filter("n > 0").groupBy("s1", "s2").agg(*about), "classes")
     shared = shared_keys(signed, classes)
     members = assign_groups(shared, classes)
-    groups = build_groups(texts, members, percent)
+    groups = build_groups(signed, members, percent)
     inner = groups.select(F.explode(F.arrays_zip("rows", "heads", "linked")).alias("m")).select(F.col("m.rows").alias("row"), F.col("m.heads").alias("head"), "m.linked")
-    links = materialise(inner.filter("linked > 0").union(cross_links(groups, cells(shared, members), percent)), "links")
+    links = materialise(inner.filter("linked > 0").union(cross_links(groups, materialise(cells(shared, members), "cells"), percent)), "links")
 
     linked = links.groupBy(F.col("row").alias("r1")).agg(F.sum("linked").alias("linked"))
     rooted = components(links.select(F.col("row").alias("a"), F.col("head").alias("b")))
