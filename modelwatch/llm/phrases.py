@@ -43,6 +43,8 @@ TOP = 2000
 COVERED = 50
 SCALE = 1_000_000
 CHUNK_BYTES = 8 << 20
+#: A chunk also ends at so many distinct words, so that nearly all have numbers of 16 bits.
+CHUNK_WORDS = 60_000
 #: Shards merged at once, and the slices that each of them is cut into: 2 ** CUT_BITS.
 CUT_BITS = 8
 FAN = 256
@@ -69,8 +71,8 @@ class _Numbers(dict):
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """Stored: chunk, sequence (32-bit local numbers, 0 between pieces), words
-    (lang, word, n) in the order of their numbers from 1."""
+    """Stored: chunk, sequence (local numbers, 0 between pieces, led by a byte for
+    their width), words (lang, word, n) in the order of their numbers from 1."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     schema = "sequence binary, words array<struct<lang:string,word:string,n:bigint>>"
     kind = pa.list_(pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
@@ -85,7 +87,9 @@ def encode(docs: DataFrame) -> DataFrame:
             numbers = np.frombuffer(sequence, np.uint32)
             n = np.bincount(numbers, minlength=len(words) + 1)[1:].tolist()
             listed = [{"lang": lang, "word": word.decode(), "n": c} for (lang, word), c in zip(words, n, strict=True)]
-            return pa.RecordBatch.from_pydict({"sequence": pa.array([numbers.tobytes()], pa.binary()), "words": pa.array([listed], kind)})
+            width = 2 if len(words) < 1 << 16 else 4
+            data = bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+            return pa.RecordBatch.from_pydict({"sequence": pa.array([data], pa.binary()), "words": pa.array([listed], kind)})
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -97,7 +101,7 @@ def encode(docs: DataFrame) -> DataFrame:
                 sequence.extend(map(by_lang[lang].__getitem__, data.replace(b"\n", b" " + END + b" ").split()))
                 sequence.append(0)
                 size += len(data)
-                if size > CHUNK_BYTES:
+                if size > CHUNK_BYTES or len(words) >= CHUNK_WORDS:
                     yield chunk()
                     words, by_lang, sequence, size = [], {}, array("I", [0]), 0
         if size:
@@ -253,7 +257,7 @@ def count_grams(chunks: DataFrame, numbers: DataFrame, bits: int, least: int) ->
     def fill(key: tuple, sequence: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in _SLICES.names}
         for data in sequence.column("sequence").to_pylist():
-            local = np.frombuffer(data, np.uint32)
+            local = np.frombuffer(data, f"<u{data[0]}", offset=1)
             known = np.zeros(int(local.max()) + 1, np.uint64)
             known[answers.column("pos").to_numpy()] = answers.column("id").to_numpy().astype(np.uint64)
             ids = known[local]

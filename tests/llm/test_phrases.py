@@ -81,6 +81,13 @@ def test_filter_round_trip():
         assert got == wanted
 
 
+def test_wide_chunks(spark):
+    """More words in one text than 16 bits can number."""
+    rows = [("en", " ".join(f"w{i} the big" for i in range(70_000)))]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert {tuple(r) for r in P.collocations(docs).collect()} == slow(rows, 10, 2000)
+
+
 def test_products_beyond_64_bits(spark):
     rows = spark.createDataFrame([(3_000_000_000_000, 3_000_000_000_001, 3_000_000_000_007)], "a long, l long, r long")
     assert rows.select(P._score("a", "l", "r").alias("s")).first().s == 10**6 * 9 * 10**24 // (3_000_000_000_001 * 3_000_000_000_007)
