@@ -194,7 +194,7 @@ class Filter:
         head = (self.q >> np.uint64(width)).astype(np.int64)
         starts = np.flatnonzero(np.diff(head, prepend=-1))
         low = np.uint64((1 << width) - 1)
-        for at, end in zip(starts, [*starts[1:], len(head)], strict=True):
+        for at, end in zip(starts, np.append(starts[1:], len(head))[: len(starts)], strict=True):
             yield int(head[at]), Filter(self.q[at:end] & low, self.r[at:end], self.counts[at:end], width, self.rest)
 
     def write(self) -> bytes:
