@@ -40,10 +40,17 @@ def quantile_profile(
     Equal quantiles collapse; the freed columns are NULL.  This is the table to
     store once per promoted model, not to rebuild at every check.
     """
+    return as_profile(quantiles(reference, keys, value, profile_fractions(bins), method, **options), keys, bins)
+
+
+def profile_fractions(bins: int) -> list[float]:
     # Multiples of the step, not i / bins: 3 * 0.1 lies just above 0.3, which
     # can part two neighbouring values where the exact decile would be the lower.
-    probs = [i * (1.0 / bins) for i in range(bins)] + [1.0]
-    found = quantiles(reference, keys, value, probs, method, **options)
+    return [i * (1.0 / bins) for i in range(bins)] + [1.0]
+
+
+def as_profile(found: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+    """Profile columns from keys, ``n`` and the quantiles ``q``."""
     edges = F.array_sort(F.array_distinct("q"))
     found = found.select(*keys, F.col("n").alias("n_ref"), edges.alias("_e"))
     # ANSI mode raises on an index past the end, hence the guards.

@@ -84,7 +84,7 @@ def feature_drift(
     else:
         ref_counts = reference_counts(ref_long, profile, ref_keys, bins)
         counts = _against_reference(cur_long, profile, ref_counts, by, ref_keys, bins, open_ends)
-    return _judged(counts, [*by, "feature"], settings)
+    return judged(counts, [*by, "feature"], settings)
 
 
 def reference_counts(
@@ -112,7 +112,7 @@ def feature_drift_stored(
     ref_keys = [*reference_by, "feature"]
     cur_long = B.to_long(current, features, by)
     counts = _against_reference(cur_long, profile, ref_counts, list(by), ref_keys, bins, open_ends)
-    return _judged(counts, [*by, "feature"], settings or Settings())
+    return judged(counts, [*by, "feature"], settings or Settings())
 
 
 def _against_reference(cur_long, profile, ref_counts, by, ref_keys, bins, open_ends):
@@ -140,7 +140,7 @@ def _against_reference(cur_long, profile, ref_counts, by, ref_keys, bins, open_e
     )
 
 
-def _judged(counts: DataFrame, keys: Sequence[str], settings: Settings) -> DataFrame:
+def judged(counts: DataFrame, keys: Sequence[str], settings: Settings) -> DataFrame:
     psi, kl = settings["psi"], settings["kl_divergence"]
     return (
         divergences(counts, keys)

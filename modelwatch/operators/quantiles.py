@@ -88,7 +88,13 @@ def quantiles(
         biggest = largest_group(rows, keys)
     brackets = _brackets(rows, keys, probs, accuracy) if biggest > group_limit else None
     ranks = [(f"floor({p!r}D * (n - 1))", f"ceil({p!r}D * (n - 1))") for p in probs]
-    found = _hit_cells(rows, keys, ranks, probs, brackets, group_limit)
+    return interpolate(_hit_cells(rows, keys, ranks, probs, brackets, group_limit), keys, probs)
+
+
+def interpolate(found: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """keys, ``n`` and the array ``q`` of linear-interpolated quantiles from the
+    values (``_cells``) that cover the ranks next to each of them."""
+    wanted = f"array({', '.join(f'{p!r}D' for p in probs)})"
     # From the nearer neighbour, so that a fraction just above a rank cannot fall
     # below its value (the built-in percentile can).
     neighbours = (

@@ -12,7 +12,7 @@ from ...operators import dataset as S
 from ...operators import drift as D
 from ...operators import inject as J
 from ...operators.results import drift_result_rows
-from ...operators.sizing import match
+from ...operators.sizing import attach_row
 from ...sources.fixtures import LINE_FEATURES, adapter, adapter_sql
 from ...streaming import monitors as M
 from ..checks import monitor_once
@@ -75,11 +75,8 @@ def out_of_range_check(spark, sf_dir):
     reference, current = _cut(rows)
     check = D.data_drift_check(D.feature_drift(reference, current, LINE_FEATURES), LINE_FEATURES)
     stored = drift_result_rows(check, None, None, F.lit("2024-01-01 00:00:00")).select("is_breached")
-    return match(
-        check.select(F.lit(1).alias("one"), F.concat_ws(",", "out_of_range").alias("out_of_range"), (F.col("severity") != "none").alias("noticed")),
-        stored.withColumn("one", F.lit(1)),
-        ["one"],
-    ).drop("one")
+    named = check.select(F.concat_ws(",", "out_of_range").alias("out_of_range"), (F.col("severity") != "none").alias("noticed"))
+    return attach_row(named, stored)
 
 
 @query("monitoring_cycle_twice", f"SELECT count(*) AS results, count(*) AS ids FROM ({_CYCLE}) c")
