@@ -179,9 +179,8 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     levels = shards.bit_length() - 1
     listed = quotas.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", "quota"))).alias("all"))
     spark = quotas.sparkSession
-    every = spark.range(shards).withColumnRenamed("id", "shard")
     # the list of quotas is one row
-    every = every.withColumn("list", F.pmod("shard", F.lit(1))).join(F.broadcast(listed.withColumn("list", F.lit(0).cast("long"))), "list")
+    every = spark.range(shards).withColumnRenamed("id", "shard").withColumn("all", listed.scalar())
     state = F.struct(F.transform("all", lambda x: x["quota"].cast("long")).alias("left"), F.lit(0).cast("long").alias("node"))
 
     def total(a: Column) -> Column:
