@@ -52,6 +52,23 @@ def logged_predictions(spark, sf_dir):
     )
 
 
+@query("logged_ids_in_order", _P + """, d AS (SELECT CAST(pred_ts AS DATE) > DATE '2024-01-15' AS later, pred_ts, model_version, predicted_label, confidence FROM p, range(2))
+ SELECT row_number() OVER (ORDER BY later, pred_ts, model_version, predicted_label, confidence) AS id, pred_ts, model_version, predicted_label, confidence FROM d""")
+def logged_ids_in_order(spark, sf_dir):
+    """Every prediction twice, in two batches of which the first comes again: ids
+    without gaps in the order of time, and equal rows keep one each."""
+    tables = _store(spark)
+    rows = adapter(spark, sf_dir, "predictions").select(
+        "pred_ts", F.col("pred_ts").cast("timestamp").alias("timestamp"), "model_version", "predicted_label", "confidence"
+    )
+    rows = rows.union(rows)
+    later = F.col("pred_ts").cast("date") > F.lit("2024-01-15").cast("date")
+    order = ["timestamp", "model_version", "predicted_label", "confidence"]
+    for batch, part in (("first", ~later), ("second", later), ("first", ~later)):
+        tables.log_in_order(rows.filter(part).drop("pred_ts"), batch, order)
+    return tables.read("predictions").select("id", F.col("timestamp").cast("timestamp_ntz").alias("pred_ts"), "model_version", "predicted_label", "confidence")
+
+
 @query("logged_alerts", f"WITH a AS ({adapter_sql('alerts')}) SELECT id, severity, drift_type, acknowledged OR id IN (SELECT o_custkey FROM orders) AS acknowledged FROM a")
 def logged_alerts(spark, sf_dir):
     """Alerts and acknowledgements as tables; the state is their join."""

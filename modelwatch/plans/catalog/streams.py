@@ -12,6 +12,7 @@ from ...session import scratch_dir
 from ...sources.fixtures import ADAPTERS, adapter_sql
 from ...streaming import monitors as M
 from ...streaming import repeats as S
+from ...streaming import streaks as K
 from .registry import query
 
 
@@ -73,3 +74,15 @@ def stream_dispatch(spark, sf_dir):
     S.use_rocksdb(spark)
     sent = S.dispatch_stream(_instants(_stream(spark, sf_dir, "alerts"), "alert_ts"), "alert_ts")
     return _finish(spark, M.write_append, sent).select("drift_type", "metric_name", "id")
+
+
+@query("stream_streak", f"""WITH a AS (SELECT *, severity <> 'RESOLVED' AS breached FROM ({adapter_sql('alerts')}) x),
+ n AS (SELECT *, row_number() OVER w AS place, sum((NOT breached)::INT) OVER w AS misses FROM a WINDOW w AS (PARTITION BY metric_name, user ORDER BY alert_ts DESC, id DESC))
+ SELECT metric_name, user, count(*) FILTER (misses = 0) AS streak FROM n WHERE place <= 50 GROUP BY ALL""".replace("SELECT *, severity", "SELECT *, id % 40 AS user, severity"))
+def stream_streak(spark, sf_dir):
+    """Consecutive breaches per key, kept while the results stream in."""
+    S.use_rocksdb(spark)
+    results = _instants(_stream(spark, sf_dir, "alerts"), "alert_ts")
+    results = results.withColumns({"user": F.col("id") % 40, "is_breached": F.col("severity") != "RESOLVED"})
+    updates = _finish(spark, M.write_append, K.streak_stream(results, "alert_ts", by=["metric_name", "user"]))
+    return K.latest_streaks(updates, ["metric_name", "user"])

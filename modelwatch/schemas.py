@@ -41,6 +41,8 @@ TABLES: dict[str, T.StructType] = {
     "quarantine": _table(
         "id BIGINT, timestamp TIMESTAMP, model_version STRING, features_json STRING, missing STRING"
     ),
+    # per logged batch: its first id and its number of ids
+    "id_marks": _table("batch STRING, first_id BIGINT, n BIGINT"),
     "labels": _table("id BIGINT, labelled_at TIMESTAMP, true_label INT"),
     "drift_results": _table(
         "id BIGINT, timestamp TIMESTAMP, model_version STRING, drift_type STRING, "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -16,6 +17,7 @@ from ..operators import versions as V
 from ..operators.bins import edge_columns, quantile_profile, to_long
 from ..operators.drift import reference_counts
 from ..schemas import DAILY, TABLES
+from ..session import materialise
 
 _PROFILE = "baseline_profile"
 _COUNTS = "baseline_counts"
@@ -95,7 +97,7 @@ class MonitorTables:
         else:
             out.write.mode("append").parquet(self.path(name))
 
-    def land_batch(self, rows: DataFrame, stream: str, batch_id: int, name: str = "predictions") -> None:
+    def land_batch(self, rows: DataFrame, stream: str, batch_id: int | str, name: str = "predictions") -> None:
         """Write one micro-batch to a folder of its own, replacing an earlier try."""
         folder = f"{self.path(name)}_stream/stream={stream}/batch={batch_id}"
         self._shaped(name, rows).write.mode("overwrite").partitionBy("date").parquet(folder)
@@ -116,6 +118,44 @@ class MonitorTables:
         self.append("predictions", rows)
         return rows.select("id")
 
+    def log_in_order(self, rows: DataFrame, batch: str, order: Sequence[str] = ("timestamp",)) -> DataFrame:
+        """Append the predictions of a batch under ids without gaps, in the given
+        order (and that of the other columns), and return the ids.
+
+        The batch's first id is one above the highest mark, and is recorded
+        before its rows are written.  A batch that comes again keeps its ids and
+        replaces its rows, so a retry adds nothing; equal rows keep an id each.
+        Rows are ranged over the tasks by the order, each task numbers its own,
+        and only the row counts of the tasks reach the driver.  Batches are
+        logged one after the other.
+        """
+        if "features" not in rows.columns and "features_json" in rows.columns:
+            rows = rows.withColumn("features", feature_map(F.col("features_json")))
+        features = F.to_json("features") if "features" in rows.columns else F.lit(None)
+        ties = [c for c in rows.columns if c not in (*order, "features", "id")]
+        ranged = [*order, *ties]
+        placed = rows.withColumn("_f", features).repartitionByRange(*ranged, "_f").sortWithinPartitions(*ranged, "_f")
+        placed = materialise(placed.drop("_f").withColumn("_at", F.monotonically_increasing_id()), "ordered")
+        part = F.shiftright("_at", 33).cast("int").alias("_part")
+        counts = sorted((r["_part"], r["n"]) for r in placed.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect())
+        n = sum(c for _, c in counts)
+        marks = self.read("id_marks")
+        known = marks.filter(F.col("batch") == batch).first()
+        if known is not None and known["n"] != n:
+            raise ValueError(f"batch {batch} had {known['n']} rows before, now {n}")
+        first = known["first_id"] if known is not None else (marks.agg(F.max(F.col("first_id") + F.col("n"))).first()[0] or 1)
+        if known is None:
+            self.append("id_marks", self.spark.createDataFrame([(batch, first, n)], "batch string, first_id bigint, n bigint"))
+        starts, total = [], first
+        for at, c in counts:
+            starts.append((at, total))
+            total += c
+        before = F.broadcast(self.spark.createDataFrame(starts, "_part int, _first bigint"))
+        offset = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+        numbered = placed.withColumn("_part", part).join(before, "_part").withColumn("id", F.col("_first") + offset)
+        self.land_batch(numbered, "log", hashlib.sha1(batch.encode()).hexdigest())
+        return self.spark.range(first, first + n)
+
     def log_prediction(
         self, features: Mapping[str, float], predicted_label: int, confidence: float, model_version: str,
         latency_ms: float, at, prediction_id: int | None = None,

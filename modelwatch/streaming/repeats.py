@@ -29,14 +29,17 @@ class _Gate(StatefulProcessor):
 
     An alert is sent if no stretch reaches up to it, whether newer alerts were
     seen before or not.  Stretches older than ``lateness`` are forgotten, so the
-    state of a key holds at most lateness / reach of them.
+    state of a key holds at most lateness / reach of them.  Once the watermark
+    has passed the reach of the last one, no alert that may still come can
+    repeat any, and the timer of the key clears its state.
     """
 
     def __init__(self, reach: int, lateness: int) -> None:
         self.reach, self.lateness = reach, lateness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "stretches string")
+        self.handle = handle
+        self.seen = handle.getListState("stretches", "first bigint, last bigint")
 
     def joined(self, stretches: list[tuple]) -> list[tuple]:
         """Sorted (first, id, last) with neighbours within reach made one."""
@@ -53,19 +56,26 @@ class _Gate(StatefulProcessor):
         for spans in rows:
             columns = (spans["first_at"], spans["first_id"], spans["last_at"])
             new = self.joined([*new, *((int(a), int(i), int(z)) for a, i, z in zip(*columns))])
-        text = self.seen.get()[0] if self.seen.exists() else ""
-        seen = [tuple(map(int, s.split(":"))) for s in text.split(",") if s]
+        seen = [tuple(s) for s in self.seen.get()]
         sent = [
             (*key, first_id, first)
             for first, first_id, _ in new
             if not any(a <= first and first - z <= self.reach for a, z in seen)
         ]
         kept = self.joined([(a, 0, z) for a, z in seen] + [(a, 0, z) for a, _, z in new])
-        oldest = kept[-1][2] - self.lateness if kept else 0
-        self.seen.update((",".join(f"{a}:{z}" for a, _, z in kept if z >= oldest),))
+        if kept:
+            oldest = kept[-1][2] - self.lateness
+            self.seen.put([(a, z) for a, _, z in kept if z >= oldest])
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer((kept[-1][2] + self.reach) // 1000 + 1)
         columns = [f"k{i}" for i in range(len(key))] + ["id", "at"]
         yield pd.DataFrame(sent, columns=columns)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.seen.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -75,8 +85,9 @@ def dispatch_stream(
     keys: Sequence[str] = ("drift_type", "metric_name"), minutes: int = 30, lateness_hours: int = 24,
 ) -> DataFrame:
     """Ids and times of the alerts to send: those without another of their key
-    in the ``minutes`` before.  Alerts may be up to ``lateness_hours`` late; a
-    NULL key is a key like others, alerts without a time are left out.
+    in the ``minutes`` before.  Alerts may be up to ``lateness_hours`` behind the
+    newest one, which is the watermark: older ones are dropped, and keys without
+    newer alerts lose their state.  A NULL key is a key like others; alerts without a time are left out.
 
     Before the shuffle every task folds its alerts to one span (first, last)
     per key and slot of that length; inside a slot all gaps are shorter than
@@ -100,8 +111,9 @@ def dispatch_stream(
     types = dict(rows.dtypes)
     kept = ", ".join(f"{k} {types[k]}" for k in keys)
     spans = rows.mapInPandas(fold, f"{kept}, first_id bigint, first_at bigint, last_at bigint")
+    spans = spans.withColumn("seen_at", F.timestamp_micros("last_at")).withWatermark("seen_at", f"{lateness_hours} hours")
     out = ", ".join(f"k{i} {types[k]}" for i, k in enumerate(keys))
     sent = spans.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Gate(reach, lateness_hours * 3_600_000_000), outputStructType=f"{out}, id bigint, at bigint", outputMode="append", timeMode="none"
+        statefulProcessor=_Gate(reach, lateness_hours * 3_600_000_000), outputStructType=f"{out}, id bigint, at bigint", outputMode="append", timeMode="EventTime"
     )
     return sent.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("id").alias(tie), F.timestamp_micros("at").alias(ts))

@@ -9,7 +9,9 @@ from modelwatch.operators import alerts as A
 from modelwatch.plans.retraining import retrain
 from modelwatch.sources.tables import MonitorTables
 from modelwatch.streaming import monitors as M
+from modelwatch.operators.decision import breach_streak
 from modelwatch.streaming import repeats as S
+from modelwatch.streaming import streaks as K
 from tests.conftest import rows
 from tests.test_tables_and_plans import NAMES, log_rows
 
@@ -57,6 +59,36 @@ def test_dispatch_of_late_alerts(spark, tmp_path):
     assert got == [1, 2, 3, 4] == sorted(r["id"] for r in A.dispatched(batches[0].union(batches[1])).collect())
 
 
+def test_idle_keys_lose_their_state(spark, tmp_path):
+    """Three keys alert once; when the watermark has passed, only the busy one is held."""
+    S.use_rocksdb(spark)
+    schema = "id bigint, timestamp timestamp, drift_type string, metric_name string"
+    make = lambda *rs: spark.createDataFrame([(i, T0 + timedelta(hours=h), k, "psi") for i, h, k in rs], schema)
+    batches = [make((1, 0, "a"), (2, 0, "b"), (3, 1, "c")), make((4, 100, "busy")), make((5, 200, "busy")), make((6, 300, "busy"), (7, 1, "late"))]
+    stream = S.dispatch_stream(file_stream(spark, str(tmp_path / "in"), *batches))
+    query = M.write_append(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    run(query)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held[:1]) > held[-1] > 0
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_streak_of_disordered_results_equals_the_batch_form(spark, tmp_path):
+    S.use_rocksdb(spark)
+    rng = np.random.default_rng(3)
+    data = [(i, T0 + timedelta(minutes=int(rng.integers(0, 90))), ["a", "b", None][i % 3], bool(rng.random() < 0.9)) for i in range(240)]
+    frame = spark.createDataFrame(data, "id bigint, timestamp timestamp, model_version string, is_breached boolean")
+    batches = [frame.filter((F.xxhash64("id") % 4).cast("int") == i) for i in range(-3, 4)]  # any order
+    for last in (50, 5):
+        out = str(tmp_path / f"out{last}")
+        stream = file_stream(spark, str(tmp_path / f"in{last}"), *batches)
+        run(M.write_append(K.streak_stream(stream, last=last), out, str(tmp_path / f"cp{last}")))
+        updates = spark.read.parquet(out)
+        wanted = {r["model_version"]: r["streak"] for r in breach_streak(frame, by=["model_version"], last=last).collect()}
+        assert {r["model_version"]: r["streak"] for r in K.latest_streaks(updates).collect()} == wanted
+        assert updates.count() > 10
+
+
 def test_late_labels_join_and_unlabelled_rows_leave_with_null(spark, tmp_path):
     at = lambda h: T0 + timedelta(hours=h)
     schema, label_schema = "id bigint, timestamp timestamp", "id bigint, labelled_at timestamp, true_label int"

@@ -218,3 +218,20 @@ def test_retraining_promotes_then_rejects_then_fails(spark, tables):
     version = tables.versions().first()
     assert 0 < version["f1_score"] <= 1 and 0 < version["auc_roc"] <= 1
     assert tables.read("scaler").count() == 1
+
+
+def test_ids_in_order(spark, tmp_path):
+    tables = MonitorTables(spark, str(tmp_path / "ids"))
+    log = log_rows(spark, 60).drop("id")
+    first, second = log.union(log), log.limit(7)
+    assert rows(tables.log_in_order(first, "a")) == [(i,) for i in range(1, 121)]
+    assert rows(tables.log_in_order(second, "b")) == [(i,) for i in range(121, 128)]
+    for _ in range(2):  # a retry changes nothing
+        assert tables.log_in_order(first.repartition(5), "a").count() == 120
+    held = [(r["id"], r["timestamp"]) for r in tables.read("predictions").orderBy("id").collect()]
+    assert [i for i, _ in held] == list(range(1, 128))
+    assert [t for _, t in held[:120]] == sorted(t for _, t in held[:120])
+    with pytest.raises(ValueError, match="had 120 rows"):
+        tables.log_in_order(second, "a")
+    assert tables.log_in_order(log.limit(0), "none").count() == 0
+    assert rows(tables.log_in_order(second, "c")) == [(i,) for i in range(128, 135)]
