@@ -43,8 +43,8 @@ TOP = 2000
 COVERED = 50
 SCALE = 1_000_000
 CHUNK_BYTES = 8 << 20
-#: A chunk also ends at so many distinct words, so that nearly all have numbers of 16 bits.
-CHUNK_WORDS = 60_000
+#: Places whose n-grams a task collects at once, before it merges them to the filter of its chunk.
+PLACES = 1 << 18
 #: Shards merged at once, and the slices that each of them is cut into: 2 ** CUT_BITS.
 CUT_BITS = 8
 FAN = 256
@@ -75,7 +75,6 @@ def encode(docs: DataFrame) -> DataFrame:
     their width), words (lang, word, n) in the order of their numbers from 1."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     schema = "sequence binary, words array<struct<lang:string,word:string,n:bigint>>"
-    kind = pa.list_(pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[tuple[str, bytes]] = []
@@ -85,25 +84,31 @@ def encode(docs: DataFrame) -> DataFrame:
 
         def chunk() -> pa.RecordBatch:
             numbers = np.frombuffer(sequence, np.uint32)
-            n = np.bincount(numbers, minlength=len(words) + 1)[1:].tolist()
-            listed = [{"lang": lang, "word": word.decode(), "n": c} for (lang, word), c in zip(words, n, strict=True)]
             width = 2 if len(words) < 1 << 16 else 4
             data = bytes([width]) + numbers.astype(f"<u{width}").tobytes()
-            return pa.RecordBatch.from_pydict({"sequence": pa.array([data], pa.binary()), "words": pa.array([listed], kind)})
+            columns = [
+                pa.array([lang for lang, _ in words], pa.string()),
+                pa.array([word for _, word in words], pa.binary()).cast(pa.string()),
+                pa.array(np.bincount(numbers, minlength=len(words) + 1)[1:], pa.int64()),
+            ]
+            listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.StructArray.from_arrays(columns, ["lang", "word", "n"]))
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), listed], ["sequence", "words"])
 
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                if lang not in by_lang:
-                    by_lang[lang] = _Numbers(words, lang)
-                data = text.encode().translate(TABLE)
-                sequence.extend(map(by_lang[lang].__getitem__, data.replace(b"\n", b" " + END + b" ").split()))
-                sequence.append(0)
-                size += len(data)
-                if size > CHUNK_BYTES or len(words) >= CHUNK_WORDS:
-                    yield chunk()
-                    words, by_lang, sequence, size = [], {}, array("I", [0]), 0
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if not text:
+                        continue
+                    if lang not in by_lang:
+                        by_lang[lang] = _Numbers(words, lang)
+                    data = text.encode().translate(TABLE)
+                    sequence.extend(map(by_lang[lang].__getitem__, data.replace(b"\n", b" " + END + b" ").split()))
+                    sequence.append(0)
+                    size += len(data)
+                    if size > CHUNK_BYTES:
+                        yield chunk()
+                        words, by_lang, sequence, size = [], {}, array("I", [0]), 0
         if size:
             yield chunk()
 
@@ -248,11 +253,11 @@ def count_grams(chunks: DataFrame, numbers: DataFrame, bits: int, least: int) ->
     """words, w1, w2, w3 (null in pairs), f of the pairs and triples of numbered
     words with ``least`` occurrences or more in the stored ``chunks``."""
     shards = chunks.count()
-    parts = -(-shards // FAN)
+    n_parts = -(-shards // FAN)
     cut = min(CUT_BITS, bits)
 
     def part_of(chunk: int) -> int:
-        return ((chunk >> 33) + 7919 * (chunk & (1 << 33) - 1)) % max(1, parts)
+        return ((chunk >> 33) + 7919 * (chunk & (1 << 33) - 1)) % max(1, n_parts)
 
     def fill(key: tuple, sequence: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {c: [] for c in _SLICES.names}
@@ -263,11 +268,14 @@ def count_grams(chunks: DataFrame, numbers: DataFrame, bits: int, least: int) ->
             ids = known[local]
             for words in (2, 3):
                 layout = Layout(words, bits)
-                run = [ids[k : len(ids) - words + 1 + k] for k in range(words)]
-                whole = np.flatnonzero(np.logical_and.reduce([x > 0 for x in run]))
-                q, r = layout.permute([x[whole] for x in run])
-                filled = Filter.collect(q, r, np.ones(len(q), np.uint64), bits, layout.rest)
-                for head, part in filled.slices(cut):
+                parts = []
+                for at in range(0, len(ids), PLACES):
+                    near = ids[at : at + PLACES + words - 1]
+                    run = [near[k : max(0, len(near) - words + 1) + k] for k in range(words)]
+                    whole = np.flatnonzero(np.logical_and.reduce([x > 0 for x in run]))
+                    q, r = layout.permute([x[whole] for x in run])
+                    parts.append(Filter.collect(q, r, np.ones(len(q), np.uint64), bits, layout.rest))
+                for head, part in Filter.merge(parts).slices(cut):
                     out["words"].append(words)
                     out["part"].append(part_of(key[0].as_py()))
                     out["slice"].append(head)
@@ -277,7 +285,7 @@ def count_grams(chunks: DataFrame, numbers: DataFrame, bits: int, least: int) ->
     name = ", ".join(f"{f.name} {'binary' if f.name == 'filter' else 'int' if f.name == 'words' else 'long'}" for f in _SLICES)
     answers = numbers.select(F.col("chunk").alias("of"), "pos", "id")
     filled = chunks.select("chunk", "sequence").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(fill, name)
-    width, left = bits - cut, parts
+    width, left = bits - cut, n_parts
     while left > 1:
         fewer, cut = -(-left // FAN), min(CUT_BITS, width)
         filled = materialise(filled.groupBy("words", "part", "slice").applyInArrow(_merging(bits, width, cut, fewer), name), "filters")

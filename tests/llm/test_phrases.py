@@ -51,6 +51,7 @@ def test_against_plain_counts(spark, monkeypatch, fan):
     monkeypatch.setattr(P, "FAN", fan)
     monkeypatch.setattr(P, "CUT_BITS", 8 if fan > 2 else 2)
     monkeypatch.setattr(P, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(P, "PLACES", 100)
     rows = corpus()
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     for top in (2000, 7):
