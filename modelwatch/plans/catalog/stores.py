@@ -10,6 +10,7 @@ from ...config import DEFAULT_BASELINE_METRICS, Settings
 from ...functions.columns import feature_map
 from ...operators import alerts as A
 from ...operators import drift as D
+from ...operators.sizing import attach_row
 from ...session import scratch_dir
 from ...sources.fixtures import LINE_FEATURES, adapter, adapter_sql, table
 from ...sources.tables import MonitorTables
@@ -154,6 +155,26 @@ def monitoring_cycle(spark, sf_dir):
     return stored.select("drift_type", "metric_name", r6("metric_value").alias("metric_value"), "is_breached")
 
 
+@query("failed_detector", f"""WITH w AS (SELECT min(pred_ts) AS first, max(pred_ts) AS last FROM (SELECT * FROM ({adapter_sql('predictions_shifted')}) b ORDER BY pred_ts DESC, id DESC LIMIT 500) x),
+ c AS ({_CYCLE})
+ SELECT 'prediction' AS drift_type, first AS window_start, last AS window_end, (SELECT count(*) FROM c WHERE drift_type <> 'prediction') AS stored FROM w""")
+def failed_detector(spark, sf_dir):
+    """A cycle, run twice, in which one detector fails: it is on record, and the
+    results of the others are stored."""
+    tables = _store(spark)
+    rows = adapter(spark, sf_dir, "predictions_shifted")
+    logged = _log(rows, F.create_map(*[x for f in _CHECKED for x in (F.lit(f), F.col(f))]))
+    tables.log_predictions(logged)
+    tables.log_labels(logged.filter(F.col("true_label").isNotNull()).select("id", F.col("timestamp").alias("labelled_at"), "true_label"))
+    first_half = rows.filter(~F.col("is_current"))
+    tables.save_baseline(first_half, _CHECKED)
+    for _ in range(2):
+        monitor_once(tables, _CHECKED, DEFAULT_BASELINE_METRICS, first_half.drop("confidence"), Settings())
+    stored = tables.read("drift_results").agg(F.count(F.lit(1)).alias("stored"))
+    failures = tables.read("detector_failures").select("drift_type", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")])
+    return attach_row(failures, stored)
+
+
 @query("stream_ingest", _P + """SELECT id, pred_ts, model_version, predicted_label FROM p WHERE json_extract_string(features_json, '$.k') IS NOT NULL""")
 def stream_ingest(spark, sf_dir):
     """The event stream landed in the prediction table, complete rows only."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...session import scratch_dir
-from ...sources.fixtures import ADAPTERS, adapter_sql
+from ...sources.fixtures import ADAPTERS, adapter, adapter_sql
 from ...streaming import monitors as M
 from ...streaming import repeats as S
 from ...streaming import streaks as K
@@ -41,7 +41,8 @@ def _finish(spark, start, stream: DataFrame) -> DataFrame:
 def stream_volume(spark, sf_dir):
     """Predictions per minute."""
     counted = M.volume(_instants(_stream(spark, sf_dir, "predictions"), "pred_ts"), "pred_ts")
-    done = _finish(spark, M.write_complete, counted)
+    closed = _finish(spark, M.write_append, counted)
+    done = M.with_open_windows(closed, _instants(adapter(spark, sf_dir, "predictions"), "pred_ts"), "pred_ts")
     return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -49,10 +50,23 @@ def stream_volume(spark, sf_dir):
 def stream_alert_hours(spark, sf_dir):
     """Alerts per hour and severity."""
     alerts = _instants(_stream(spark, sf_dir, "alerts"), "alert_ts")
-    done = _finish(spark, M.write_complete, M.volume(alerts, "alert_ts", "1 hour", by=["severity"]))
+    closed = _finish(spark, M.write_append, M.volume(alerts, "alert_ts", "1 hour", by=["severity"]))
+    done = M.with_open_windows(closed, _instants(adapter(spark, sf_dir, "alerts"), "alert_ts"), "alert_ts", "1 hour", ["severity"])
     return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query("stream_sessions", f"""WITH p AS ({adapter_sql('predictions')}),
+ s AS (SELECT *, coalesce(pred_ts - lag(pred_ts) OVER w >= INTERVAL 20 MINUTE, true)::INT AS fresh FROM p WINDOW w AS (PARTITION BY model_version ORDER BY pred_ts, id)),
+ n AS (SELECT *, sum(fresh) OVER (PARTITION BY model_version ORDER BY pred_ts, id ROWS UNBOUNDED PRECEDING) AS session FROM s)
+ SELECT model_version, min(pred_ts) AS session_start, max(pred_ts) + INTERVAL 20 MINUTE AS session_end, count(*) AS count FROM n GROUP BY model_version, session""")
+def stream_sessions(spark, sf_dir):
+    """Runs of predictions per model without a pause of twenty minutes."""
+    rows = _instants(adapter(spark, sf_dir, "predictions"), "pred_ts")
+    found = M.sessions(_instants(_stream(spark, sf_dir, "predictions"), "pred_ts"), "pred_ts", "20 minutes", by=["model_version"])
+    done = M.with_open_sessions(_finish(spark, M.write_append, found), rows, "pred_ts", "20 minutes", ["model_version"])
+    return done.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
 @query("stream_labels", f"""WITH p AS ({adapter_sql('predictions')})
  SELECT id, predicted_label, true_label, pred_ts + to_minutes(user_id) AS labelled_at FROM p WHERE true_label IS NOT NULL AND user_id <= 120""")
 def stream_labels(spark, sf_dir):

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -20,6 +20,8 @@ from ..sources.tables import MonitorTables
 
 log = logging.getLogger(__name__)
 
+_FAILURE = "drift_type string, message string, window_start timestamp, window_end timestamp"
+
 
 @dataclass
 class DriftCheck:
@@ -29,12 +31,14 @@ class DriftCheck:
     summary: DataFrame | None = None
     results: DataFrame | None = None
     failed: dict[str, str] = field(default_factory=dict)
+    failures: DataFrame | None = None
 
     @property
     def status(self) -> str:
-        """Overall status of an unkeyed check; healthy when nothing ran."""
+        """Overall status of an unkeyed check; healthy when nothing was to run,
+        unknown when everything that ran failed."""
         row = self.summary.select("overall_status").first() if self.summary is not None else None
-        return row[0] if row else "healthy"
+        return row[0] if row else "unknown" if self.failed else "healthy"
 
 
 def _isolated(name: str, build: Callable[[], DataFrame], failed: dict[str, str]) -> DataFrame | None:
@@ -95,6 +99,10 @@ def run_drift_check(
         }
         first, last = span.result()
     out.summary = drift_summary(parts["data"], parts["prediction"], parts["concept"], by)
+    if out.failed:
+        spark = window.sparkSession
+        found = spark.createDataFrame([(n, m, first, last) for n, m in sorted(out.failed.items())], _FAILURE)
+        out.failures = found.withColumn("timestamp", F.col("window_end")).withColumn("id", F.xxhash64("timestamp", "drift_type"))
     if out.summary is not None:
         out.results = drift_result_rows(
             parts["data"], parts["prediction"], parts["concept"], F.lit(last), F.lit(first), F.lit(last), settings=settings, by=by
@@ -127,6 +135,12 @@ def _append_new(tables: MonitorTables, name: str, rows: DataFrame, key: str) ->
     tables.append(name, rows if held is None else rows.join(held, key, "left_anti"))
 
 
+def _undecided(spark: SparkSession, failed: Mapping[str, str]) -> DataFrame:
+    reason = "No detector gave a result: " + " | ".join(f"{n}: {m}" for n, m in sorted(failed.items()))
+    columns = "should_retrain boolean, action string, urgency string, reason string, triggered_rules array<string>"
+    return spark.createDataFrame([(False, "UNKNOWN", "NONE", reason, [])], columns)
+
+
 def monitor_once(
     tables: MonitorTables,
     features: Sequence[str],
@@ -136,7 +150,8 @@ def monitor_once(
 ) -> DataFrame | None:
     """One monitoring cycle: newest window, gate, check, store, decide, record.
 
-    Returns the decision (one row), or None below the minimum of samples.  The
+    Returns the decision (one row), or None below the minimum of samples.  Failed
+    detectors are stored; when all failed, the action is UNKNOWN.  The
     window is a top-k of fixed size, so it is kept between the branches.  A second
     cycle over the same window decides again, but records nothing twice.
     """
@@ -154,8 +169,10 @@ def monitor_once(
             metric_baseline=metric_baseline,
             settings=settings,
         )
+        if check.failures is not None:
+            _append_new(tables, "detector_failures", check.failures, "id")
         if check.summary is None:
-            return None
+            return _undecided(window.sparkSession, check.failed) if check.failed else None
         _append_new(tables, "drift_results", check.results, "id")
         streak = decide.breach_streak(tables.read("drift_results"))
         inputs = decision_inputs(check.summary, streak)

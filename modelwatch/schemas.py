@@ -49,6 +49,9 @@ TABLES: dict[str, T.StructType] = {
         "metric_name STRING, metric_value DOUBLE, threshold DOUBLE, is_breached BOOLEAN, "
         "window_start TIMESTAMP, window_end TIMESTAMP, details_json STRING"
     ),
+    "detector_failures": _table(
+        "id BIGINT, timestamp TIMESTAMP, drift_type STRING, message STRING, window_start TIMESTAMP, window_end TIMESTAMP"
+    ),
     "alerts": _table(
         "id BIGINT, timestamp TIMESTAMP, severity STRING, drift_type STRING, metric_name STRING, "
         "message STRING, channel STRING, acknowledged BOOLEAN"
@@ -71,5 +74,6 @@ DAILY: dict[str, str] = {
     "predictions": "timestamp",
     "quarantine": "timestamp",
     "drift_results": "timestamp",
+    "detector_failures": "timestamp",
     "alerts": "timestamp",
 }

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import feature_map
 from ..operators.prediction_log import split_valid
+from ..operators.sizing import match
 from ..operators.training import score_transactions
 from ..plans.checks import monitor_once
 from ..plans.retraining import load_model, production_version
@@ -30,17 +31,6 @@ def write_append(stream: DataFrame, path: str, checkpoint: str, every: str | Non
     return writer.option("path", path).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 
-def write_complete(stream: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep the whole current result of an aggregation at ``path``."""
-    return (
-        stream.writeStream.outputMode("complete")
-        .foreachBatch(lambda df, _id: df.write.mode("overwrite").parquet(path))
-        .option("checkpointLocation", checkpoint)
-        .trigger(**_trigger(every))
-        .start()
-    )
-
-
 # -- ingest and scoring -----------------------------------------------------------
 
 def land_predictions(
@@ -131,6 +121,34 @@ def volume(stream: DataFrame, ts: str = "timestamp", width: str = "1 minute", la
     return counted.select(F.col("w.start").alias("window_start"), *by, "count")
 
 
+def sessions(stream: DataFrame, ts: str = "timestamp", gap: str = "30 minutes", lateness: str = "10 minutes",
+             by: Sequence[str] = ()) -> DataFrame:
+    """Runs of rows per key without a pause of ``gap``: their first time, the end
+    of the pause after the last, their number."""
+    counted = stream.withWatermark(ts, lateness).groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("count"))
+    return counted.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *by, "count")
+
+
+def with_open_windows(closed: DataFrame, rows: DataFrame, ts: str = "timestamp", width: str = "1 minute", by: Sequence[str] = ()) -> DataFrame:
+    """The windows that a :func:`volume` stream has closed and appended, and those
+    still open, counted from the ``rows`` behind the last closed one.  So no
+    result is rewritten, and the state holds open windows only."""
+    end = closed.agg(F.max(F.col("window_start") + F.expr(f"INTERVAL {width}")).alias("e")).scalar()
+    later = rows.filter(F.coalesce(F.col(ts) >= end, F.lit(True)) & F.col(ts).isNotNull())
+    counted = later.groupBy(F.window(ts, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("count"))
+    return closed.select("window_start", *by, "count").unionByName(counted.select(F.col("w.start").alias("window_start"), *by, "count"))
+
+
+def with_open_sessions(closed: DataFrame, rows: DataFrame, ts: str = "timestamp", gap: str = "30 minutes", by: Sequence[str] = ()) -> DataFrame:
+    """Closed sessions and the open one of each key, as :func:`with_open_windows`."""
+    ends = closed.groupBy(*by).agg(F.max("session_end").alias("_end"))
+    later = match(rows.filter(F.col(ts).isNotNull()), ends, list(by), "left") if by else rows.withColumn("_end", ends.scalar())
+    later = later.filter(F.col("_end").isNull() | (F.col(ts) >= F.col("_end")))
+    counted = later.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count(F.lit(1)).alias("count"))
+    counted = counted.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *by, "count")
+    return closed.select("session_start", "session_end", *by, "count").unionByName(counted)
+
+
 # -- scheduled checks ---------------------------------------------------------------
 
 def drift_monitor(

@@ -107,8 +107,25 @@ def test_windows_slide_and_close_behind_the_watermark(spark, tmp_path):
     stream = file_stream(spark, str(tmp_path / "in"), spark.createDataFrame(data, "timestamp timestamp"))
     run(M.write_append(M.volume(stream, width="10 minutes"), str(tmp_path / "o1"), str(tmp_path / "c1")))
     assert rows(spark.read.parquet(str(tmp_path / "o1")), "count") == [(1,), (3,)]  # the last window is open
-    run(M.write_complete(M.volume(stream, width="10 minutes", slide="5 minutes"), str(tmp_path / "o2"), str(tmp_path / "c2")))
-    assert spark.read.parquet(str(tmp_path / "o2")).agg(F.sum("count")).first()[0] == 10
+    run(M.write_append(M.volume(stream, width="10 minutes", slide="5 minutes"), str(tmp_path / "o2"), str(tmp_path / "c2")))
+    assert spark.read.parquet(str(tmp_path / "o2")).agg(F.sum("count")).first()[0] == 8
+    whole = spark.createDataFrame(data, "timestamp timestamp")
+    assert rows(M.with_open_windows(spark.read.parquet(str(tmp_path / "o1")), whole, width="10 minutes"), "count") == [(1,), (1,), (3,)]
+    none = spark.read.parquet(str(tmp_path / "o1")).limit(0)
+    assert rows(M.with_open_windows(none, whole, width="10 minutes"), "count") == [(1,), (1,), (3,)]
+
+
+def test_sessions_close_and_the_open_ones_are_read_beside_them(spark, tmp_path):
+    data = [(T0 + timedelta(minutes=m), k) for k, ms in (("a", (0, 5, 14, 40, 400, 405)), (None, (0, 9, 18, 390))) for m in ms]
+    schema = "timestamp timestamp, k string"
+    early, late = spark.createDataFrame(data[::-1], schema), spark.createDataFrame([(T0 + timedelta(minutes=406), "a")], schema)
+    stream = file_stream(spark, str(tmp_path / "in"), early, late)
+    run(M.write_append(M.sessions(stream, gap="10 minutes", by=["k"]), str(tmp_path / "out"), str(tmp_path / "cp")))
+    closed = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(closed, "count") == [(1,), (3,), (3,)]
+    whole = M.with_open_sessions(closed, early.union(late), gap="10 minutes", by=["k"])
+    got = sorted(((r["k"] or "", (r["session_start"] - T0).total_seconds() / 60, r["count"]) for r in whole.collect()))
+    assert got == [("", 0, 3), ("", 390, 1), ("a", 0, 3), ("a", 40, 1), ("a", 400, 3)]
 
 
 def test_ingest_keeps_valid_rows_once(spark, tmp_path):

@@ -235,3 +235,16 @@ def test_ids_in_order(spark, tmp_path):
         tables.log_in_order(second, "a")
     assert tables.log_in_order(log.limit(0), "none").count() == 0
     assert rows(tables.log_in_order(second, "c")) == [(i,) for i in range(128, 135)]
+
+
+def test_a_check_whose_detectors_all_failed_is_unknown(spark, tmp_path):
+    tables = MonitorTables(spark, str(tmp_path / "failing"))
+    log = log_rows(spark, 150)
+    tables.save_baseline(log.select(*[F.col("features")[x].alias(x) for x in NAMES]), NAMES)
+    tables.log_predictions(log)
+    broken = lambda _w: 1 / 0
+    window = log.select("*", *[F.col("features")[x].alias(x) for x in NAMES])
+    check = run_drift_check(window, NAMES, data=broken)
+    assert check.status == "unknown" and check.summary is None and set(check.failed) == {"data"}
+    assert [(r["drift_type"], r["message"]) for r in check.failures.collect()] == [("data", "division by zero")]
+    assert run_drift_check(window.limit(0), NAMES, data=broken).status == "healthy"
