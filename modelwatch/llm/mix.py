@@ -320,20 +320,21 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     """The mixture as documents: a row for each pass over a document, with the
     columns of ``docs``. A document that is taken in part keeps the words taken,
     one blank apart; ``n_chars`` follows if there is such a column."""
-    stored = number_rows(docs, *[F.col(f"`{c}`") for c in docs.columns])
+    # in one struct, so that no column of theirs meets one of ours
+    stored = number_rows(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"))
     sized = stored.select(
-        F.col("__row").alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), word_count("text").alias("size")
+        F.col("__row").alias("row"), F.col("all.doc_id").cast("long").alias("doc_id"), F.col("all.source").cast("string").alias("source"), word_count("all.text").alias("size")
     )
     pieces, _ = mixture(materialise(sized, "sizes"))
     by_pass = pieces.groupBy(F.col("row").alias("__r"), "epoch").agg(
         F.sum("words").alias("__taken"), F.sort_array(F.collect_list(F.struct("word", "words"))).alias("__parts")
     )
     named = stored.join(by_pass, F.col("__row") == F.col("__r"))
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col("all.text"), F.lit(WORD), F.lit(0))
     cut = _let(words, lambda w: F.array_join(F.flatten(F.transform("__parts", lambda p: F.slice(w, p["word"].cast("int") + 1, p["words"].cast("int")))), " "))
-    whole = F.col("__taken") == word_count("text")
-    out = {c: F.col(f"`{c}`") for c in docs.columns}
-    out["text"] = F.when(whole, F.col("text")).otherwise(cut)
+    whole = F.col("__taken") == word_count("all.text")
+    out = {c: F.col(f"all.`{c}`") for c in docs.columns}
+    out["text"] = F.when(whole, F.col("all.text")).otherwise(cut)
     if "n_chars" in out:
-        out["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(whole, F.col("all.n_chars")).otherwise(F.length(cut)).cast(docs.schema["n_chars"].dataType)
     return named.select(*[v.alias(c) for c, v in out.items()])

@@ -71,6 +71,7 @@ def held_out(doc_id: Column) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """text and toxic of up to ``rows`` labelled documents that aren't held out."""
+    docs = docs.select("doc_id", "text")
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("__toxic"))
     # labels of documents that aren't there must not use up the sample

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, row string, score int, n_tokens int, size int, a int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, row string, score int, n_tokens int, size int, a int, epoch int, all int, __r int, __row int, __host int, __id int"
 
 
 def odd_rows():
@@ -18,7 +18,7 @@ def odd_rows():
         (None, prose(40), None), (None, copy, None), (8, " \t\n\x0b ", "s3"), (9, long, "s3"), (10, prose(30) + "\n\n" + prose(30), None),
         (11, "word", "s1"), (12, "👍🏽 naïve\x00text <|endoftext|> 中文  end ", "s3"), (13, ("same eight words again and again and again\n") * 20, "s3"),
     ]
-    return [(i, t, "en", s, len(t or ""), "x", "r", 7, 7, 7, 7) for i, t, s in texts]
+    return [(i, t, "en", s, len(t or ""), "x", "r", *[7] * 10) for i, t, s in texts]
 
 
 @pytest.fixture(scope="session")

@@ -17,7 +17,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11)) and len(QUERIES) == 10
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14)) and len(QUERIES) == 13
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "near_duplicates", "source_mix", "bpe_encoding"]
 
