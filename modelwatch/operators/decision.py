@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from .ranking import newest
+from .sizing import attach_row
 
 #: Fixed values of the rules that are not thresholds.
 PERF_DROP = 0.02
@@ -104,10 +105,14 @@ def retraining_decision(
     )
 
 
-def decision_events(decisions: DataFrame, ts: str = "timestamp") -> DataFrame:
+def decision_events(decisions: DataFrame, ts: str = "timestamp", champion: DataFrame | None = None) -> DataFrame:
     """Audit rows: RETRAIN opens as STARTED, a flag is REJECTED, the rest is
-    not recorded."""
+    not recorded.  ``champion`` (version, f1_score; one row or none) gives the
+    version that was in production then, as ``old_version`` and ``old_f1``."""
     acted = decisions.filter(F.col("action") != "NO_ACTION")
+    if champion is not None:
+        held = champion.agg(F.max("version").alias("old_version"), F.max("f1_score").alias("old_f1"))
+        acted = attach_row(acted, held)
     return acted.withColumn("status", F.when(F.col("should_retrain"), "STARTED").otherwise("REJECTED")).withColumnRenamed(
         "reason", "trigger_reason"
     )

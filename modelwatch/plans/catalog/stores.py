@@ -155,6 +155,81 @@ def monitoring_cycle(spark, sf_dir):
     return stored.select("drift_type", "metric_name", r6("metric_value").alias("metric_value"), "is_breached")
 
 
+# -- every model with a window of its own -------------------------------------------
+
+_BY = ["model_version"]
+_WINDOW_BY = f"""SELECT * FROM ({adapter_sql('predictions_shifted')}) b WHERE NOT is_current
+ UNION ALL (SELECT * REPLACE (true AS is_current) FROM ({adapter_sql('predictions_shifted')}) w QUALIFY row_number() OVER (PARTITION BY model_version ORDER BY pred_ts DESC, id DESC) <= 500)"""
+_LONG_BY = " UNION ALL ".join(f"SELECT model_version, '{f}' AS feature, NOT is_current AS is_ref, {f} AS value FROM src" for f in _CHECKED)
+_PSI_BY = f"""({divergence_sql(f"src AS ({_WINDOW_BY}), long AS ({_LONG_BY})", _BY, [])} SELECT model_version, max(psi) AS psi FROM psi GROUP BY 1)"""
+_HEL_BY = f"({hellinger_sql(_WINDOW_BY, _BY)} SELECT * FROM hel)"
+_DROP_BY = f"""({metric_sql(f"p AS (SELECT * FROM ({_WINDOW_BY}) z WHERE is_current)", keys=_BY)}, {_BASE}
+ SELECT model_version, metric, warn, b - CASE metric WHEN 'accuracy' THEN accuracy WHEN 'f1' THEN f1 WHEN 'precision' THEN precision ELSE recall END AS fall FROM m, base)"""
+
+
+def _watched(spark, sf_dir):
+    """A store with the log, its labels and a baseline, and the baseline's rows."""
+    tables = _store(spark)
+    rows = adapter(spark, sf_dir, "predictions_shifted")
+    logged = _log(rows, F.create_map(*[x for f in _CHECKED for x in (F.lit(f), F.col(f))]))
+    tables.log_predictions(logged)
+    tables.log_labels(logged.filter(F.col("true_label").isNotNull()).select("id", F.col("timestamp").alias("labelled_at"), "true_label"))
+    first_half = rows.filter(~F.col("is_current"))
+    tables.save_baseline(first_half, _CHECKED)
+    return tables, first_half
+
+
+@query("monitoring_cycle_by_model", f"""SELECT model_version, 'data' AS drift_type, 'psi' AS metric_name, round(psi, 6) AS metric_value, psi >= 0.1 AS is_breached FROM {_PSI_BY} d
+UNION ALL SELECT model_version, 'prediction', 'hellinger', round(hellinger, 6), hellinger >= 0.1 FROM {_HEL_BY} h
+UNION ALL SELECT model_version, 'concept', metric || '_drop', round(fall, 6), true FROM {_DROP_BY} c WHERE fall >= warn""")
+def monitoring_cycle_by_model(spark, sf_dir):
+    """One cycle, run twice, over the newest 500 rows of every model: what it stores."""
+    tables, first_half = _watched(spark, sf_dir)
+    for _ in range(2):
+        monitor_once(tables, _CHECKED, DEFAULT_BASELINE_METRICS, first_half, Settings(), _BY)
+    stored = tables.read("drift_results")
+    return stored.select("model_version", "drift_type", "metric_name", r6("metric_value").alias("metric_value"), "is_breached")
+
+
+@query("decision_history", f"""WITH v AS ({adapter_sql('model_versions')}), pr AS (SELECT * FROM ({adapter_sql('promotions')}) x WHERE version IN (SELECT version FROM v)),
+ champion AS (SELECT version, f1_score FROM v WHERE version = (SELECT version FROM pr ORDER BY promoted_at DESC, version DESC LIMIT 1)),
+ ends AS (SELECT model_version, max(pred_ts) AS check_ts FROM ({adapter_sql('predictions_shifted')}) w GROUP BY 1),
+ f1 AS (SELECT model_version, abs(fall) AS fall FROM {_DROP_BY} c WHERE metric = 'f1'),
+ dec AS (SELECT * FROM {_PSI_BY} d JOIN {_HEL_BY} h USING (model_version) JOIN f1 USING (model_version) JOIN ends USING (model_version))
+ SELECT 'check-' || epoch_us(check_ts) || '-' || model_version AS event_id, check_ts, CASE WHEN psi > 0.25 OR fall > 0.05 OR psi > 0.1 AND fall > 0.02 THEN 'STARTED' ELSE 'REJECTED' END AS status,
+ psi > 0.25 AS names_psi, version AS old_version, CAST(NULL AS INT) AS new_version, round(f1_score, 6) AS old_f1, CAST(NULL AS DOUBLE) AS new_f1
+ FROM dec, champion WHERE psi > 0.25 OR fall > 0.05 OR psi > 0.1 AND fall > 0.02 OR hellinger > 0.2""")
+def decision_history(spark, sf_dir):
+    """The decisions of a cycle by model as recorded, with the version that was in
+    production when they were taken."""
+    tables, first_half = _watched(spark, sf_dir)
+    tables.append("model_versions", adapter(spark, sf_dir, "model_versions"))
+    tables.append("promotions", adapter(spark, sf_dir, "promotions").withColumn("promoted_at", F.col("promoted_at").cast("timestamp")))
+    monitor_once(tables, _CHECKED, DEFAULT_BASELINE_METRICS, first_half, Settings(), _BY)
+    return tables.retraining_events().select(
+        "event_id", F.col("timestamp").cast("timestamp_ntz").alias("check_ts"), "status",
+        F.col("trigger_reason").contains("Critical data drift: PSI").alias("names_psi"),
+        "old_version", "new_version", r6("old_f1").alias("old_f1"), "new_f1",
+    )
+
+
+@query("recent_by_model_stored", f"""SELECT model_version, id, pred_ts, true_label FROM ({adapter_sql('predictions_shifted')}) w
+ QUALIFY row_number() OVER (PARTITION BY model_version ORDER BY pred_ts DESC, id DESC) <= 500""")
+def recent_by_model_stored(spark, sf_dir):
+    """The newest 500 rows of every model with their labels, from the tables: only
+    the days that the index names are read."""
+    window = _watched(spark, sf_dir)[0].recent_by_model(500)
+    return window.select("model_version", "id", F.col("timestamp").cast("timestamp_ntz").alias("pred_ts"), "true_label")
+
+
+@query("labelled_recent_stored", f"""SELECT id, pred_ts, true_label, predicted_label FROM ({adapter_sql('predictions_shifted')}) w
+ WHERE true_label IS NOT NULL ORDER BY pred_ts DESC, id DESC LIMIT 500""")
+def labelled_recent_stored(spark, sf_dir):
+    """The newest 500 labelled rows from the tables."""
+    found = _watched(spark, sf_dir)[0].recent_labelled(500)
+    return found.select("id", F.col("timestamp").cast("timestamp_ntz").alias("pred_ts"), "true_label", "predicted_label")
+
+
 @query("failed_detector", f"""WITH w AS (SELECT min(pred_ts) AS first, max(pred_ts) AS last FROM (SELECT * FROM ({adapter_sql('predictions_shifted')}) b ORDER BY pred_ts DESC, id DESC LIMIT 500) x),
  c AS ({_CYCLE})
  SELECT 'prediction' AS drift_type, first AS window_start, last AS window_end, (SELECT count(*) FROM c WHERE drift_type <> 'prediction') AS stored FROM w""")

@@ -15,7 +15,7 @@ from ..operators import decision as decide
 from ..operators import drift as D
 from ..operators.prediction_log import enough_samples, feature_columns
 from ..operators.results import drift_result_rows, drift_summary
-from ..operators.sizing import gather_small, match, settle
+from ..operators.sizing import attach_row, join_small, match, settle
 from ..sources.tables import MonitorTables
 
 log = logging.getLogger(__name__)
@@ -104,8 +104,13 @@ def run_drift_check(
         found = spark.createDataFrame([(n, m, first, last) for n, m in sorted(out.failed.items())], _FAILURE)
         out.failures = found.withColumn("timestamp", F.col("window_end")).withColumn("id", F.xxhash64("timestamp", "drift_type"))
     if out.summary is not None:
+        start, end = F.lit(first), F.lit(last)
+        if by:  # every key has a window of its own
+            spans = settle(window.groupBy(*by).agg(F.min(ts).alias("_start"), F.max(ts).alias("_end")), "spans")
+            parts = {name: part if part is None else match(part, spans, by, "left") for name, part in parts.items()}
+            start, end = F.col("_start"), F.col("_end")
         out.results = drift_result_rows(
-            parts["data"], parts["prediction"], parts["concept"], F.lit(last), F.lit(first), F.lit(last), settings=settings, by=by
+            parts["data"], parts["prediction"], parts["concept"], end, start, end, settings=settings, by=by
         )
     return out
 
@@ -135,10 +140,10 @@ def _append_new(tables: MonitorTables, name: str, rows: DataFrame, key: str) ->
     tables.append(name, rows if held is None else rows.join(held, key, "left_anti"))
 
 
-def _undecided(spark: SparkSession, failed: Mapping[str, str]) -> DataFrame:
+def _undecided(keys: DataFrame, failed: Mapping[str, str]) -> DataFrame:
     reason = "No detector gave a result: " + " | ".join(f"{n}: {m}" for n, m in sorted(failed.items()))
-    columns = "should_retrain boolean, action string, urgency string, reason string, triggered_rules array<string>"
-    return spark.createDataFrame([(False, "UNKNOWN", "NONE", reason, [])], columns)
+    verdict = {"should_retrain": False, "action": "UNKNOWN", "urgency": "NONE", "reason": reason}
+    return keys.withColumns({c: F.lit(v) for c, v in verdict.items()}).withColumn("triggered_rules", F.array().cast("array<string>"))
 
 
 def monitor_once(
@@ -147,6 +152,7 @@ def monitor_once(
     metric_baseline: Mapping[str, float] | DataFrame | None = None,
     prediction_baseline: DataFrame | None = None,
     settings: Settings | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame | None:
     """One monitoring cycle: newest window, gate, check, store, decide, record.
 
@@ -154,33 +160,48 @@ def monitor_once(
     detectors are stored; when all failed, the action is UNKNOWN.  The
     window is a top-k of fixed size, so it is kept between the branches.  A second
     cycle over the same window decides again, but records nothing twice.
+
+    With ``by=["model_version"]`` every model has a window, a gate, a streak and a
+    decision of its own, all from one run; models below the minimum are left
+    out.  ``prediction_baseline`` and a frame of metrics then have the key too;
+    the stored profile of the features is the same for all.
     """
     settings = settings or Settings()
-    window = feature_columns(tables.recent_predictions(settings.window_size), features).persist()
+    by = list(by)
+    if by not in ([], ["model_version"]):
+        raise ValueError(f"a cycle runs over the whole log or by model_version, not by {by}")
+    rows = tables.recent_by_model(settings.window_size) if by else tables.recent_predictions(settings.window_size)
+    whole = feature_columns(rows, features).persist()
     try:
-        if not enough_samples(window, settings.min_samples).first()["ready"]:
+        gate = settle(enough_samples(whole, settings.min_samples, by).filter("ready"), "gate")
+        if gate.isEmpty():
             return None
+        window = join_small(whole, gate.select(*by), by) if by else whole
         profile, counts = tables.load_profile()
         check = run_drift_check(
             window,
             features,
-            data=lambda w: D.feature_drift_stored(w, features, profile, counts, settings=settings),
+            data=lambda w: D.feature_drift_stored(w, features, profile, counts, by, settings=settings),
             prediction_baseline=prediction_baseline,
             metric_baseline=metric_baseline,
+            by=by,
             settings=settings,
         )
         if check.failures is not None:
             _append_new(tables, "detector_failures", check.failures, "id")
         if check.summary is None:
-            return _undecided(window.sparkSession, check.failed) if check.failed else None
+            return _undecided(gate.select(*by), check.failed) if check.failed else None
         _append_new(tables, "drift_results", check.results, "id")
-        streak = decide.breach_streak(tables.read("drift_results"))
-        inputs = decision_inputs(check.summary, streak)
-        decision = gather_small(decide.retraining_decision(inputs, settings))
-        last = window.agg(F.max("timestamp").alias("t"))
-        events = decide.decision_events(decision.withColumn("timestamp", last.scalar()))
-        events = events.withColumn("event_id", F.concat(F.lit("check-"), F.unix_micros("timestamp").cast("string")))
-        _append_new(tables, "retraining_events", events.withColumn("seq", F.lit(0)), "event_id")
+        streak = decide.breach_streak(tables.read("drift_results"), by=by)
+        # a baseline may have more keys than the windows
+        summary = join_small(check.summary, gate.select(*by), by) if by else check.summary
+        inputs = decision_inputs(summary, streak, by)
+        decision = settle(decide.retraining_decision(inputs, settings), "decision")
+        last = window.groupBy(*by).agg(F.max("timestamp").alias("timestamp"))
+        timed = match(decision, last, by) if by else attach_row(decision, last)
+        events = decide.decision_events(timed, champion=tables.versions().filter("is_production"))
+        name = F.concat_ws("-", F.lit("check"), F.unix_micros("timestamp").cast("string"), *by)
+        _append_new(tables, "retraining_events", events.withColumn("event_id", name).withColumn("seq", F.lit(0)), "event_id")
         return decision
     finally:
-        window.unpersist()
+        whole.unpersist()

@@ -17,6 +17,7 @@ _TYPES: dict[str, T.DataType] = {
     "string": T.StringType(),
     "boolean": T.BooleanType(),
     "timestamp": T.TimestampType(),
+    "date": T.DateType(),
     "features": T.MapType(T.StringType(), T.DoubleType()),
 }
 
@@ -43,6 +44,8 @@ TABLES: dict[str, T.StructType] = {
     ),
     # per logged batch: its first id and its number of ids
     "id_marks": _table("batch STRING, first_id BIGINT, n BIGINT"),
+    # which days hold how many rows of a model; never fewer rows or days than the log has
+    "prediction_days": _table("model_version STRING, day DATE, n BIGINT"),
     "labels": _table("id BIGINT, labelled_at TIMESTAMP, true_label INT"),
     "drift_results": _table(
         "id BIGINT, timestamp TIMESTAMP, model_version STRING, drift_type STRING, "

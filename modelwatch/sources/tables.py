@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +17,7 @@ from ..operators import prediction_log as L
 from ..operators import versions as V
 from ..operators.bins import edge_columns, quantile_profile, to_long
 from ..operators.drift import reference_counts
+from ..operators.sizing import SMALL_SIDE_ROWS, join_small, match, settle
 from ..schemas import DAILY, TABLES
 from ..session import materialise
 
@@ -90,6 +92,10 @@ class MonitorTables:
         """Append rows; columns the table does not know are left out and
         missing ones are NULL."""
         out = self._shaped(name, rows)
+        if name == "predictions":
+            self._note_days(out)
+        if name == "labels":
+            out = out.sortWithinPartitions("id")  # row groups of few ids, which a window's range of ids skips
         if name in DAILY:
             # rows of one day meet in few files, and AQE splits a day that is too big
             out = out.hint("rebalance", "date")
@@ -99,8 +105,11 @@ class MonitorTables:
 
     def land_batch(self, rows: DataFrame, stream: str, batch_id: int | str, name: str = "predictions") -> None:
         """Write one micro-batch to a folder of its own, replacing an earlier try."""
-        folder = f"{self.path(name)}_stream/stream={stream}/batch={batch_id}"
-        self._shaped(name, rows).write.mode("overwrite").partitionBy("date").parquet(folder)
+        part = f"stream={stream}/batch={batch_id}"
+        out = self._shaped(name, rows)
+        if name == "predictions":
+            self._note_days(out, part)
+        out.write.mode("overwrite").partitionBy("date").parquet(f"{self.path(name)}_stream/{part}")
 
     def overwrite(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(self.path(name))
@@ -180,10 +189,37 @@ class MonitorTables:
         """Predictions with their newest label."""
         return L.attach_labels(self.read("predictions"), self.read("labels"))
 
+    # -- which days to read ---------------------------------------------------
+
+    def _note_days(self, rows: DataFrame, part: str | None = None) -> None:
+        """Index rows that are about to be written: model, day, number of rows.
+
+        The index is written before the rows, so it lists every day that holds
+        rows of a model; after a failed write it lists more, which readers notice.
+        Only times and versions of ``rows`` are read for it.
+        """
+        self._day_index()
+        counts = rows.groupBy("model_version", F.col("date").alias("day")).agg(F.count(F.lit(1)).alias("n")).coalesce(1)
+        if part is None:
+            self.append("prediction_days", counts)
+        else:
+            counts.write.mode("overwrite").parquet(f"{self.path('prediction_days')}_stream/{part}")
+
+    def _day_index(self) -> DataFrame:
+        """model_version, day, n.  A log from before the index is indexed first."""
+        index = self.read("prediction_days")
+        if index.isEmpty():
+            held = self.read("predictions").groupBy("model_version", F.col("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+            held = settle(held, "days")
+            if not held.isEmpty():
+                self.append("prediction_days", held.coalesce(1))
+                index = self.read("prediction_days")
+        return index.groupBy("model_version", "day").agg(F.sum("n").alias("n"))
+
     def _days(self) -> list[tuple[object, int]]:
-        """Days of the log, newest first, with their rows (file metadata only)."""
-        counts = self.read("predictions").groupBy("date").count()
-        return [(r["date"], r["count"]) for r in counts.orderBy(F.col("date").desc()).collect()]
+        """Days of the log, newest first, with at least as many rows as they hold."""
+        counts = self._day_index().groupBy("day").agg(F.sum("n").alias("n"))
+        return [(r["day"], r["n"]) for r in counts.orderBy(F.col("day").desc()).collect()]
 
     def recent_predictions(self, n: int) -> DataFrame:
         """The ``n`` newest predictions with their labels.
@@ -191,28 +227,72 @@ class MonitorTables:
         Only the newest days that hold ``n`` rows are read, and labels are looked
         up for those rows alone.
         """
-        total, cutoff = 0, None
-        for cutoff, count in self._days():
-            total += count
-            if total >= n:
+        rows, days, first = self.read("predictions"), self._days(), 0
+        part = rows
+        while first < len(days):
+            total = 0
+            for first, (_, count) in enumerate(days[first:], first):
+                total += count
+                if total >= n:
+                    break
+            cutoff, first = days[first][0], first + 1
+            part = rows.filter(F.col("date") >= F.lit(cutoff)) if cutoff is not None else rows
+            if first == len(days) or part.count() >= n:  # a count of footers
                 break
-        rows = self.read("predictions")
-        if cutoff is not None:
-            rows = rows.filter(F.col("date") >= F.lit(cutoff))
-        window = L.recent(rows, n)
-        labels = self.read("labels").join(F.broadcast(window.select("id")), "id", "left_semi")
+        window = L.recent(part, n)
+        ids = window.select("id")
+        labels = self.read("labels").join(F.broadcast(ids) if n <= SMALL_SIDE_ROWS else ids, "id", "left_semi")
         return L.attach_labels(window, labels)
 
+    def recent_by_model(self, n: int) -> DataFrame:
+        """The ``n`` newest predictions of every model version with their labels.
+
+        The index names the days that each model needs, so a model that has been
+        idle for a year adds its own last days to the scan and no others.  Its
+        counts are only a first guess: where a window comes out shorter than
+        expected, the next days of those models are read too.  Labels are looked
+        up within the range of the windows' ids.
+        """
+        key = "model_version"
+        newest_first = W.partitionBy(key).orderBy(F.col("day").desc_nulls_last())
+        index = self._day_index().withColumn("_before", F.coalesce(F.sum("n").over(newest_first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        index = settle(index.drop("n"), "days")
+        needed = n
+        while True:
+            wanted = index.filter(F.col("_before") < needed).select(key, F.col("day").alias("date"))
+            window = settle(L.recent(self._on_days(wanted), n, by=[key]), "window")
+            cut = index.filter(F.col("_before") >= needed).select(key).distinct()  # models with unread days
+            got = window.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+            if match(cut, got, [key], "left").filter(F.coalesce("_n", F.lit(0)) < n).isEmpty():
+                break
+            needed *= 2
+        low, high = window.agg(F.min("id"), F.max("id")).first()
+        labels = self.read("labels").filter(F.col("id").between(low, high))
+        return L.attach_labels(window, join_small(labels, window.select("id").distinct(), ["id"]))
+
+    def _on_days(self, wanted: DataFrame) -> DataFrame:
+        """The predictions of the models and days in ``wanted`` (unique rows)."""
+        rows = self.read("predictions")
+        days = [r["date"] for r in wanted.select("date").distinct().collect()]  # no more than the log has days
+        dated = F.col("date").isin([d for d in days if d is not None])
+        rows = rows.filter(dated | F.col("date").isNull() if None in days else dated)
+        return join_small(rows, wanted, ["model_version", "date"]).select(*rows.columns)
+
     def recent_labelled(self, n: int) -> DataFrame:
         """The ``n`` newest labelled predictions.  The days looked at double until
-        they hold enough, so a long log is not joined as a whole."""
+        they hold enough, so a long log is not joined as a whole, and labels are
+        read within the range of the ids on those days."""
         days = [day for day, _ in self._days()]
         rows = self.read("predictions")
         span = 1
         while True:
             whole = span >= len(days)
             part = rows if whole else rows.filter(F.col("date") >= F.lit(days[span - 1]))
-            labelled = L.recent_labelled(L.attach_labels(part, self.read("labels")), n)
+            labels = self.read("labels")
+            if not whole:
+                low, high = part.agg(F.min("id"), F.max("id")).first()
+                labels = labels.filter(F.col("id").between(low, high))
+            labelled = L.recent_labelled(L.attach_labels(part, labels), n)
             if whole or labelled.count() >= n:
                 return labelled
             span *= 2

@@ -248,3 +248,75 @@ def test_a_check_whose_detectors_all_failed_is_unknown(spark, tmp_path):
     assert check.status == "unknown" and check.summary is None and set(check.failed) == {"data"}
     assert [(r["drift_type"], r["message"]) for r in check.failures.collect()] == [("data", "division by zero")]
     assert run_drift_check(window.limit(0), NAMES, data=broken).status == "healthy"
+
+
+# -- windows and cycles by model ---------------------------------------------------
+
+def test_windows_by_model_read_only_the_days_they_need(spark, tables):
+    busy, idle = log_rows(spark, 200, start=1000, every=60, version="busy"), log_rows(spark, 12, every=60, version="idle", seed=2)
+    tables.log_predictions(idle)
+    tables.log_predictions(busy)
+    tables.log_labels(labels_for(spark, busy.union(idle).filter("id % 2 = 0")))
+    window = tables.recent_by_model(5)
+    assert rows(window, "model_version", "id") == [("busy", i) for i in range(1195, 1200)] + [("idle", i) for i in range(7, 12)]
+    assert window.filter("true_label IS NULL").count() == window.filter("id % 2 = 1").count()
+    wanted = spark.createDataFrame([("idle", T0.date()), ("busy", None)], "model_version string, date date")
+    plan = tables._on_days(wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(date" in plan or "PartitionFilters: [" in plan and "date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    days = {r["day"] for r in tables._day_index().collect()}
+    assert days == {r["date"] for r in tables.read("predictions").select("date").distinct().collect()}
+
+
+def test_an_index_that_promises_too_much_is_noticed(spark, tables):
+    tables.log_predictions(log_rows(spark, 40, every=120))
+    ghost = spark.createDataFrame([("1", (T0 + timedelta(days=9)).date(), 1000), ("gone", T0.date(), 7)], "model_version string, day date, n bigint")
+    tables.append("prediction_days", ghost)  # as after a write that failed
+    assert rows(tables.recent_by_model(30), "id") == [(i,) for i in range(10, 40)]
+    assert rows(tables.recent_by_model(300), "id") == [(i,) for i in range(40)]
+    assert rows(tables.recent_predictions(30), "id") == [(i,) for i in range(10, 40)]
+    assert tables.recent_predictions(300).count() == 40
+
+
+def test_a_log_without_an_index_and_rows_without_a_time_or_model(spark, tables):
+    old = log_rows(spark, 10).withColumn("date", F.to_date("timestamp"))
+    old.write.partitionBy("date").parquet(tables.path("predictions"))
+    late = log_rows(spark, 3, start=100).withColumn("timestamp", F.lit(None).cast("timestamp")).withColumn("model_version", F.lit(None).cast("string"))
+    tables.log_predictions(late)
+    assert tables.recent_by_model(20).groupBy("model_version").count().count() == 2
+    assert rows(tables.recent_by_model(2), "id") == [(8,), (9,), (101,), (102,)]
+    assert tables.recent_predictions(20).count() == 13
+
+
+def test_empty_log_has_no_windows(spark, tables):
+    assert tables.recent_by_model(5).count() == 0 and tables.recent_predictions(5).count() == 0
+
+
+def test_cycle_by_model_equals_single_cycles(spark, tables, tmp_path):
+    settings = load_settings({"window_size": 200, "min_samples": 100}, {})
+    base = log_rows(spark, 400)
+    reference = base.select(*[F.col("features")[n].alias(n) for n in NAMES])
+    parts = {
+        "good": log_rows(spark, 250, start=1000, version="good", seed=5),
+        "bad": log_rows(spark, 250, shift=1.5, start=5000, version="bad", seed=6),
+        "short": log_rows(spark, 50, start=9000, version="short", seed=7),
+    }
+    both = [base.withColumn("model_version", F.lit(v)) for v in parts]
+    tables.save_baseline(reference, NAMES)
+    for log in parts.values():
+        tables.log_predictions(log)
+    tables.append("model_versions", spark.createDataFrame([(3, 0.9)], "version int, f1_score double"))
+    tables.promote(3, T0)
+    found = monitor_once(tables, NAMES, None, both[0].union(both[1]).union(both[2]), settings, ["model_version"])
+    found = {r["model_version"]: (r["action"], round(r["overall_psi"], 9), round(r["hellinger"], 9)) for r in found.collect()}
+    assert set(found) == {"good", "bad"}
+    for version in found:
+        alone = MonitorTables(spark, str(tmp_path / version))
+        alone.save_baseline(reference, NAMES)
+        alone.log_predictions(parts[version])
+        single = monitor_once(alone, NAMES, None, base, settings).first()
+        assert found[version] == (single["action"], round(single["overall_psi"], 9), round(single["hellinger"], 9))
+    assert rows(tables.retraining_events(), "old_version", "old_f1") == [(3, 0.9)]
+    windows = rows(tables.read("drift_results"), "model_version", "window_end")
+    assert len(set(windows)) == 2  # every model has its own window
+    with pytest.raises(ValueError):
+        monitor_once(tables, NAMES, by=["predicted_label"])
