@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...session import scratch_dir
 from ...sources.days import DayStore
 from ...sources.fixtures import adapter, adapter_sql
+from ...sources.scores import ScoreStore
 from .data_drift import _DECILES, divergence_sql
 from .registry import query, r6
 
@@ -62,3 +66,19 @@ def quantile_edges_days(spark, sf_dir):
     profile = _stored(spark, sf_dir).profile(_days(4, 20)[0])
     edges = profile.select("model_version", "feature", F.posexplode(F.array(*[f"e{i}" for i in range(11)])).alias("edge_no", "edge"))
     return edges.filter("edge IS NOT NULL").withColumn("edge", r6("edge"))
+
+
+_SCORED = "SELECT *, CAST(pred_ts AS DATE) AS day FROM (" + adapter_sql("predictions") + ") x WHERE true_label IS NOT NULL"
+_SPANS = [("first", "2024-01-01", "2024-01-15"), ("middle", "2024-01-10", "2024-01-20"), ("month", "2024-01-01", "2024-01-31")]
+
+
+@query("auc_days", f"""WITH p AS ({_SCORED}), spans(span, low, high) AS (VALUES {', '.join(f"('{n}', DATE '{a}', DATE '{z}')" for n, a, z in _SPANS)}),
+ g AS (SELECT span, model_version, confidence, count(*) FILTER (true_label = 1) AS a, count(*) FILTER (true_label = 0) AS z FROM p JOIN spans ON day BETWEEN low AND high GROUP BY ALL),
+ r AS (SELECT *, sum(a) OVER (PARTITION BY span, model_version ORDER BY confidence DESC) - a / 2.0 AS won FROM g)
+ SELECT span, model_version, CAST(sum(a) AS BIGINT) AS pos, CAST(sum(z) AS BIGINT) AS neg, round(sum(z * won) / (CAST(sum(a) AS DOUBLE) * sum(z)), 6) AS auc FROM r GROUP BY ALL HAVING sum(a) > 0 AND sum(z) > 0""")
+def auc_days(spark, sf_dir):
+    """AUC by model over three ranges of days, from stored counts."""
+    store = ScoreStore(spark, scratch_dir(spark, "scores"), ["model_version"])
+    store.put(adapter(spark, sf_dir, "predictions"), day="pred_ts")
+    found = [store.auc((a, z)).select(F.lit(n).alias("span"), "model_version", "pos", "neg", r6("auc").alias("auc")) for n, a, z in _SPANS]
+    return reduce(DataFrame.unionByName, found)

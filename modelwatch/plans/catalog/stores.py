@@ -12,6 +12,7 @@ from ...operators import alerts as A
 from ...operators import drift as D
 from ...operators.sizing import attach_row
 from ...session import scratch_dir
+from ...sources.bucketed import BucketedLog
 from ...sources.fixtures import LINE_FEATURES, adapter, adapter_sql, table
 from ...sources.tables import MonitorTables
 from ...streaming import monitors as M
@@ -53,6 +54,20 @@ def logged_predictions(spark, sf_dir):
     )
 
 
+@query("label_attach_stored", _P + "SELECT id, CAST(pred_ts AS DATE) AS day, model_version, predicted_label, true_label FROM p")
+def label_attach_stored(spark, sf_dir):
+    """The log and its labels in buckets of the id, labels first wrong and then
+    mended by a later append; they are joined where they lie."""
+    log = BucketedLog(spark, scratch_dir(spark, "bucketed"), 8)
+    rows = _log(adapter(spark, sf_dir, "predictions"), F.lit(None))
+    log.log_predictions(rows)
+    known = rows.filter(F.col("true_label").isNotNull())
+    for hours, label in ((1, 1 - F.col("true_label")), (2, F.col("true_label"))):
+        at = F.col("timestamp") + F.expr(f"INTERVAL {hours} HOUR")
+        log.log_labels(known.select("id", at.alias("labelled_at"), label.alias("true_label")))
+    return log.predictions().select("id", F.col("date").alias("day"), "model_version", "predicted_label", "true_label")
+
+
 @query("logged_ids_in_order", _P + """, d AS (SELECT CAST(pred_ts AS DATE) > DATE '2024-01-15' AS later, pred_ts, model_version, predicted_label, confidence FROM p, range(2))
  SELECT row_number() OVER (ORDER BY later, pred_ts, model_version, predicted_label, confidence) AS id, pred_ts, model_version, predicted_label, confidence FROM d""")
 def logged_ids_in_order(spark, sf_dir):
