@@ -9,18 +9,23 @@ Everything is a join by n-gram hash, with the n-grams of a block of documents
 packed into sorted arrays:
 
 1. documents are dealt to blocks of a few MB by a hash of their content;
-2. every block lists its distinct n-grams with its own counts, cut by the leading
-   hash bits into rows (block, bucket, n-grams);
-3. the count table of a bucket is the sum over the blocks, and joined back to
+2. every block lists the cells of its distinct n-grams, which are the leading bits
+   of their hashes, in rows (block, bucket, cells), and the bucket answers with a
+   bit for each: does another block hold the cell too?
+3. an n-gram that a block holds once, in a cell that no other block holds, is known
+   to occur once.  Those that are left are sent in full with the block's counts, in rows (block,
+   bucket, n-grams);
+4. the count table of a bucket is the sum over the blocks, and joined back to
    each block's n-grams it gives the corpus counts (block, bucket, counts);
-4. these are joined to the block's documents, looked up for every position and
+5. these are joined to the block's documents, looked up for every position and
    summed per document.
 
-An n-gram reaches its bucket once per block at most, so a word or passage that
-everybody uses does not make a large group, and nothing is broadcast. Blocks
-and buckets have a bounded size and grow in number with the corpus. The exchange
-that deals the documents to blocks is the same in steps 2 and 4, and Spark reads
-it twice.
+Most n-grams occur once, so step 2 leaves few to send in full, and it loses
+nothing: a cell that two n-grams share only makes them be sent in vain.  An n-gram
+reaches its bucket once per block at most, so a word or passage that everybody uses
+does not make a large group, and nothing is broadcast. Blocks and buckets have a
+bounded size and grow in number with the corpus. The exchange that deals the
+documents to blocks is the same in steps 2, 3 and 5, and Spark reads it again.
 
 Words are runs of characters other than ASCII white space, case included; an
 n-gram is known by a 64-bit hash. Null and empty texts have no words and score 0.
@@ -49,6 +54,8 @@ LEAST = 2
 BLOCK_BYTES = 8 << 20
 #: Text bytes per bucket: about two million n-grams of the default order.
 BUCKET_BYTES = 4 << 20
+#: Cells of a bucket, as a power of two: about 16 for each of its n-grams.
+CELL_BITS = 25
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -102,6 +109,27 @@ class Grams:
         return np.concatenate(self.hashes) if self.hashes else np.zeros(0, np.uint64)
 
 
+def cut(sorted_codes: np.ndarray, tail: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of the runs of sorted codes that differ in their last ``tail`` bits only."""
+    bucket = (sorted_codes >> np.uint64(tail)).astype(np.int64) if tail < 64 else np.zeros(len(sorted_codes), np.int64)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(starts[1:], len(bucket))[: len(starts)]
+    return [(int(bucket[start]), int(start), int(end)) for start, end in zip(starts, ends, strict=True)]
+
+
+def pack_rising(numbers: np.ndarray) -> bytes:
+    """Rising numbers, of which there is one at least, by their first and the steps between them."""
+    return numbers[0].tobytes() + pack(np.diff(numbers))
+
+
+def unpack_rising(data: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], "<u8"), unpack(data[8:])]), dtype=np.uint64)
+
+
+def bits_of(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
 def blocked(docs: DataFrame) -> tuple[DataFrame, int]:
     """block, doc_id, text, dealt out by block; and the number of leading hash
     bits that name a bucket."""
@@ -119,40 +147,78 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
     other columns are left out)."""
     blocks, bits = blocked(docs)
 
-    def ask(key: tuple, rows: pa.Table) -> pa.Table:
+    tail = max(0, 64 - bits - CELL_BITS)
+
+    def distinct_grams(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams of a block in order, their counts in it, and where a new cell begins."""
         distinct, counts = np.unique(Grams(rows.column("text").to_pylist(), order).everything(), return_counts=True)
-        bucket = (distinct >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(distinct), np.int64)
-        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        out: dict[str, list] = {"block": [], "bucket": [], "grams": [], "counts": []}
-        for start, end in zip(starts, [*starts[1:], len(distinct)], strict=True):
-            out["block"].append(key[0].as_py())
-            out["bucket"].append(int(bucket[start]))
-            out["grams"].append(distinct[start].tobytes() + pack(np.diff(distinct[start:end])))
-            out["counts"].append(pack(counts[start:end]))
-        return pa.table(out, pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())]))
+        cells = distinct >> np.uint64(tail)
+        return distinct, counts, np.diff(cells, prepend=cells[:1] + np.uint64(1)) != 0
+
+    def list_cells(key: tuple, rows: pa.Table) -> pa.Table:
+        distinct, _, opens = distinct_grams(rows)
+        cells = distinct[opens] >> np.uint64(tail)
+        parts = cut(cells, 64 - bits - tail)
+        packed = [pack_rising(cells[start:end]) for _, start, end in parts]
+        return pa.table(
+            {"block": [key[0].as_py()] * len(parts), "bucket": [p[0] for p in parts], "cells": packed},
+            pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("cells", pa.binary())]),
+        )
+
+    def mark_shared(_key: tuple, rows: pa.Table) -> pa.Table:
+        within = np.uint64((1 << (64 - bits - tail)) - 1)
+        once = np.zeros(1 << CELL_BITS, bool)
+        twice = np.zeros(1 << CELL_BITS, bool)
+        packed = rows.column("cells")
+        for x in packed:
+            cells = unpack_rising(x.as_py()) & within
+            twice[cells[once[cells]]] = True
+            once[cells] = True
+        shared = [np.packbits(twice[unpack_rising(x.as_py()) & within]).tobytes() for x in packed]
+        return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "shared": pa.chunked_array([shared], pa.binary())})
+
+    def ask(key: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
+        distinct, counts, opens = distinct_grams(rows)
+        of_bucket = dict(zip(marks.column("bucket").to_pylist(), marks.column("shared").to_pylist(), strict=True))
+        parts = cut(distinct[opens] >> np.uint64(tail), 64 - bits - tail)
+        shared = [bits_of(of_bucket[bucket], end - start) for bucket, start, end in parts]
+        asked = np.concatenate(shared)[np.cumsum(opens) - 1] if shared else np.zeros(0, bool)
+        asked |= counts > 1
+        out: dict[str, list] = {"block": [], "bucket": [], "asked": [], "grams": [], "counts": []}
+        for bucket, start, end in cut(distinct, 64 - bits):
+            which = asked[start:end]
+            if which.any():
+                out["block"].append(key[0].as_py())
+                out["bucket"].append(bucket)
+                out["asked"].append(np.packbits(which).tobytes())
+                out["grams"].append(pack_rising(distinct[start:end][which]))
+                out["counts"].append(pack(counts[start:end][which]))
+        binary = [(name, pa.binary()) for name in ("asked", "grams", "counts")]
+        return pa.table(out, pa.schema([("block", pa.int64()), ("bucket", pa.int64()), *binary]))
 
     def answer(_key: tuple, rows: pa.Table) -> pa.Table:
-        grams, counts = [], []
-        for g, c in zip(rows.column("grams").to_pylist(), rows.column("counts").to_pylist(), strict=True):
-            steps = np.concatenate([np.frombuffer(g[:8], "<u8"), unpack(g[8:])])
-            grams.append(np.cumsum(steps, dtype=np.uint64))
-            counts.append(unpack(c))
+        grams = [unpack_rising(g) for g in rows.column("grams").to_pylist()]
+        counts = [unpack(c) for c in rows.column("counts").to_pylist()]
         _, place = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.zeros(int(place.max()) + 1, np.uint64)
         np.add.at(total, place, np.concatenate(counts))
         mine = np.split(total[place], np.cumsum([len(g) for g in grams])[:-1])
-        return pa.table(
-            {"block": rows.column("block"), "bucket": rows.column("bucket"), "counts": pa.chunked_array([[pack(m) for m in mine]], pa.binary())}
-        )
+        packed = pa.chunked_array([[pack(m) for m in mine]], pa.binary())
+        return pa.table({**{c: rows.column(c) for c in ("block", "bucket", "asked")}, "counts": packed})
 
     def score(_key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         grams = Grams(rows.column("text").to_pylist(), order)
         n = rows.num_rows
         distinct, place = np.unique(grams.everything(), return_inverse=True)
-        by_bucket = sorted(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist(), strict=True))
-        total = np.concatenate([unpack(c) for _, c in by_bucket]).astype(np.float64) if by_bucket else np.zeros(0)
-        if len(total) != len(distinct):
-            raise ValueError(f"{len(distinct)} n-grams asked for, {len(total)} answered")
+        total = np.ones(len(distinct))  # what was not asked for occurs once
+        replies = zip(answers.column("asked").to_pylist(), answers.column("counts").to_pylist(), strict=True)
+        of_bucket = dict(zip(answers.column("bucket").to_pylist(), replies, strict=True))
+        for bucket, start, end in cut(distinct, 64 - bits):
+            if bucket in of_bucket:
+                asked, found = of_bucket.pop(bucket)
+                total[start:end][bits_of(asked, end - start)] = unpack(found)
+        if of_bucket:
+            raise ValueError(f"answers of buckets that the block does not hold: {sorted(of_bucket)[:5]}")
         counts, at = [], 0
         for ends in grams.ends:
             dense = np.zeros(len(grams.place))
@@ -175,12 +241,18 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
                 "n_words": pa.array(grams.n_words),
                 "n_seen": pa.array(total_of((level == have) & (have > 1)).astype(np.int64)),
                 "single": pa.array(total_of(level == 1).astype(np.int64)),
-                "part": pa.array(total_of(value)),
+                "part": pa.array(total_of(value).astype(np.float64)),
             }
         )
 
-    asked = blocks.groupBy("block").applyInArrow(ask, "block long, bucket long, grams binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, counts binary")
+    cells = blocks.groupBy("block").applyInArrow(list_cells, "block long, bucket long, cells binary")
+    marks = cells.groupBy("bucket").applyInArrow(mark_shared, "block long, bucket long, shared binary")
+    asked = (
+        blocks.groupBy("block")
+        .cogroup(marks.groupBy("block"))
+        .applyInArrow(ask, "block long, bucket long, asked binary, grams binary, counts binary")
+    )
+    answered = asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, asked binary, counts binary")
     scored = (
         blocks.groupBy("block")
         .cogroup(answered.groupBy("block"))

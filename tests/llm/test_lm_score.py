@@ -46,6 +46,37 @@ def test_packing():
         assert L.unpack(L.pack(np.array(numbers, np.uint64))).tolist() == numbers
 
 
+def test_packing_in_order():
+    rng = np.random.default_rng(1)
+    for top in (1 << 20, (1 << 64) - 1):
+        numbers = np.unique(rng.integers(0, top, 500, np.uint64, endpoint=True))
+        assert L.unpack_rising(L.pack_rising(numbers)).tolist() == numbers.tolist()
+        parts = L.cut(numbers, 17)
+        assert [i for _, start, end in parts for i in range(start, end)] == list(range(len(numbers)))
+        assert all((int(x) >> 17) == bucket for bucket, start, end in parts for x in numbers[start:end])
+    assert L.cut(numbers, 64) == [(0, 0, len(numbers))] and L.cut(numbers[:0], 64) == []
+
+
+@pytest.mark.parametrize("cell_bits, least", [(1, 2), (25, 2), (25, 1)])
+def test_shared_cells_change_no_count(spark, monkeypatch, cell_bits, least):
+    """Cells so few that n-grams share them, and all n-grams counting from once on."""
+    monkeypatch.setattr(L, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(L, "BUCKET_BYTES", 1_500)
+    monkeypatch.setattr(L, "CELL_BITS", cell_bits)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.6, rng.integers(0, 60)) % 300) for _ in range(120)] + [None, "", "once only here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in L.score_documents(docs, least=least).collect())
+    wanted = [(i, *s) for i, s in enumerate(slow_scores(texts, 3, 0.4, least))]
+    assert [g[:3] for g in got] == [w[:3] for w in wanted]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in wanted], abs=1e-6)
+
+
+def test_no_words_at_all(spark):
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, " \n")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in L.score_documents(docs).collect()) == [(i, 0, 0, 0.0) for i in (1, 2, 3)]
+
+
 def test_registered_model_counts_trigrams(spark, tmp_path):
     import duckdb
 
