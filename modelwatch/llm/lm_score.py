@@ -13,19 +13,20 @@ packed into sorted arrays:
    of their hashes, in rows (block, bucket, cells), and the bucket answers with a
    bit for each: does another block hold the cell too?
 3. an n-gram that a block holds once, in a cell that no other block holds, is known
-   to occur once.  Those that are left are sent in full with the block's counts, in rows (block,
-   bucket, n-grams);
+   to occur once.  Of those that are left the rest of the hash is sent with the
+   block's counts, in rows (block, bucket, n-grams);
 4. the count table of a bucket is the sum over the blocks, and joined back to
    each block's n-grams it gives the corpus counts (block, bucket, counts);
 5. these are joined to the block's documents, looked up for every position and
    summed per document.
 
-Most n-grams occur once, so step 2 leaves few to send in full, and it loses
+Most n-grams occur once, so step 2 leaves fewer to send whole, and it loses
 nothing: a cell that two n-grams share only makes them be sent in vain.  An n-gram
 reaches its bucket once per block at most, so a word or passage that everybody uses
 does not make a large group, and nothing is broadcast. Blocks and buckets have a
 bounded size and grow in number with the corpus. The exchange that deals the
-documents to blocks is the same in steps 2, 3 and 5, and Spark reads it again.
+documents to blocks is the same in steps 2, 3 and 5, that of the cells the same in
+steps 2 and 4, and Spark reads them again.
 
 Words are runs of characters other than ASCII white space, case included; an
 n-gram is known by a 64-bit hash. Null and empty texts have no words and score 0.
@@ -59,16 +60,17 @@ CELL_BITS = 25
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Unsigned numbers in as few bytes each as the largest needs, and that width first."""
+    """Unsigned numbers in as few bytes each as the largest needs, and that width first.
+    Their lowest bytes come first, then the next ones, so that zeros lie together."""
     numbers = np.ascontiguousarray(numbers, "<u8")
     width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
-    return bytes([width]) + numbers.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width]) + numbers.view(np.uint8).reshape(-1, 8)[:, :width].tobytes("F")
 
 
 def unpack(data: bytes) -> np.ndarray:
     width = data[0]
     out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
     return out.view("<u8").reshape(-1)
 
 
@@ -179,32 +181,41 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
 
     def ask(key: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
         distinct, counts, opens = distinct_grams(rows)
-        of_bucket = dict(zip(marks.column("bucket").to_pylist(), marks.column("shared").to_pylist(), strict=True))
-        parts = cut(distinct[opens] >> np.uint64(tail), 64 - bits - tail)
-        shared = [bits_of(of_bucket[bucket], end - start) for bucket, start, end in parts]
-        asked = np.concatenate(shared)[np.cumsum(opens) - 1] if shared else np.zeros(0, bool)
-        asked |= counts > 1
-        out: dict[str, list] = {"block": [], "bucket": [], "asked": [], "grams": [], "counts": []}
-        for bucket, start, end in cut(distinct, 64 - bits):
-            which = asked[start:end]
-            if which.any():
+        shared = dict(zip(marks.column("bucket").to_pylist(), marks.column("shared").to_pylist(), strict=True))
+        first = np.append(np.flatnonzero(opens), len(distinct))  # n-gram of each cell
+        repeated = np.logical_or.reduceat(counts > 1, first[:-1]) if len(distinct) else np.zeros(0, bool)
+        rests = distinct & np.uint64((1 << tail) - 1)
+        out: dict[str, list] = {"block": [], "bucket": [], "asked": [], "opens": [], "rests": [], "counts": []}
+        for bucket, start, end in cut(distinct[opens] >> np.uint64(tail), 64 - bits - tail):
+            asked = repeated[start:end] | bits_of(shared[bucket], end - start)
+            if asked.any():
+                grams = slice(first[start], first[end])
+                which = np.repeat(asked, np.diff(first[start : end + 1]))
                 out["block"].append(key[0].as_py())
                 out["bucket"].append(bucket)
-                out["asked"].append(np.packbits(which).tobytes())
-                out["grams"].append(pack_rising(distinct[start:end][which]))
-                out["counts"].append(pack(counts[start:end][which]))
-        binary = [(name, pa.binary()) for name in ("asked", "grams", "counts")]
+                out["asked"].append(np.packbits(asked).tobytes())
+                out["opens"].append(np.packbits(opens[grams][which]).tobytes())
+                out["rests"].append(pack(rests[grams][which]))
+                out["counts"].append(pack(counts[grams][which]))
+        binary = [(name, pa.binary()) for name in ("asked", "opens", "rests", "counts")]
         return pa.table(out, pa.schema([("block", pa.int64()), ("bucket", pa.int64()), *binary]))
 
-    def answer(_key: tuple, rows: pa.Table) -> pa.Table:
-        grams = [unpack_rising(g) for g in rows.column("grams").to_pylist()]
-        counts = [unpack(c) for c in rows.column("counts").to_pylist()]
-        _, place = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.zeros(int(place.max()) + 1, np.uint64)
-        np.add.at(total, place, np.concatenate(counts))
-        mine = np.split(total[place], np.cumsum([len(g) for g in grams])[:-1])
-        packed = pa.chunked_array([[pack(m) for m in mine]], pa.binary())
-        return pa.table({**{c: rows.column(c) for c in ("block", "bucket", "asked")}, "counts": packed})
+    def answer(_key: tuple, rows: pa.Table, listed: pa.Table) -> pa.Table:
+        cells_of = dict(zip(listed.column("block").to_pylist(), listed.column("cells"), strict=True))
+        grams, counts = [], []
+        for row in rows.to_pylist():
+            cells = unpack_rising(cells_of[row["block"]].as_py())
+            rests = unpack(row["rests"])
+            cells = cells[bits_of(row["asked"], len(cells))][np.cumsum(bits_of(row["opens"], len(rests))) - 1]
+            grams.append(cells << np.uint64(tail) | rests)
+            counts.append(unpack(row["counts"]))
+        packed = []
+        if grams:
+            _, place = np.unique(np.concatenate(grams), return_inverse=True)
+            total = np.zeros(int(place.max()) + 1, np.uint64)
+            np.add.at(total, place, np.concatenate(counts))
+            packed = [pack(m) for m in np.split(total[place], np.cumsum([len(g) for g in grams])[:-1])]
+        return pa.table({**{c: rows.column(c) for c in ("block", "bucket", "asked")}, "counts": pa.chunked_array([packed], pa.binary())})
 
     def score(_key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
         grams = Grams(rows.column("text").to_pylist(), order)
@@ -213,10 +224,13 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
         total = np.ones(len(distinct))  # what was not asked for occurs once
         replies = zip(answers.column("asked").to_pylist(), answers.column("counts").to_pylist(), strict=True)
         of_bucket = dict(zip(answers.column("bucket").to_pylist(), replies, strict=True))
-        for bucket, start, end in cut(distinct, 64 - bits):
+        cells = distinct >> np.uint64(tail)
+        first = np.append(np.flatnonzero(np.diff(cells, prepend=cells[:1] + np.uint64(1))), len(distinct))
+        for bucket, start, end in cut(cells[first[:-1]], 64 - bits - tail):
             if bucket in of_bucket:
                 asked, found = of_bucket.pop(bucket)
-                total[start:end][bits_of(asked, end - start)] = unpack(found)
+                which = np.repeat(bits_of(asked, end - start), np.diff(first[start : end + 1]))
+                total[first[start] : first[end]][which] = unpack(found)
         if of_bucket:
             raise ValueError(f"answers of buckets that the block does not hold: {sorted(of_bucket)[:5]}")
         counts, at = [], 0
@@ -250,9 +264,13 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, l
     asked = (
         blocks.groupBy("block")
         .cogroup(marks.groupBy("block"))
-        .applyInArrow(ask, "block long, bucket long, asked binary, grams binary, counts binary")
+        .applyInArrow(ask, "block long, bucket long, asked binary, opens binary, rests binary, counts binary")
+    )
+    answered = (
+        asked.groupBy("bucket")
+        .cogroup(cells.groupBy("bucket"))
+        .applyInArrow(answer, "block long, bucket long, asked binary, counts binary")
     )
-    answered = asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, asked binary, counts binary")
     scored = (
         blocks.groupBy("block")
         .cogroup(answered.groupBy("block"))
