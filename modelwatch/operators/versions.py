@@ -53,11 +53,11 @@ def gate_all(versions: DataFrame) -> DataFrame:
     ).drop("_c")
 
 
-def promotion_state(versions: DataFrame, promotions: DataFrame) -> DataFrame:
+def promotion_state(versions: DataFrame, promotions: DataFrame, order: Sequence[str] = ("promoted_at", "version")) -> DataFrame:
     """``is_production`` and ``deployed_at`` from promotion events: exactly one
-    production version, the one promoted last among those that exist."""
+    production version, the one promoted last (by ``order``) among those that exist."""
     known = promotions.join(versions.select("version"), "version", "left_semi")
-    current = known.agg(F.max_by("version", F.struct("promoted_at", "version")).alias("v"))
+    current = known.agg(F.max_by("version", F.struct(*order)).alias("v"))
     times = known.groupBy("version").agg(F.max("promoted_at").alias("deployed_at"))
     out = versions.drop("is_production", "deployed_at").join(times, "version", "left")
     return out.withColumn("_p", current.scalar()).withColumn(

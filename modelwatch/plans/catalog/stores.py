@@ -3,6 +3,8 @@ appended, then read back as current state."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,6 +208,20 @@ def monitoring_cycle_by_model(spark, sf_dir):
     return stored.select("model_version", "drift_type", "metric_name", r6("metric_value").alias("metric_value"), "is_breached")
 
 
+@query("promotion_race", f"""WITH v AS ({adapter_sql('model_versions')}), best AS (SELECT version FROM v ORDER BY f1_score DESC, version LIMIT 1)
+ SELECT version, version = (SELECT version FROM best) AS is_production, CAST(1 AS BIGINT) AS promotions FROM v""")
+def promotion_race(spark, sf_dir):
+    """The three best versions are promoted by writers who all saw the same state:
+    the first one wins, and the others are refused."""
+    tables = _store(spark)
+    tables.append("model_versions", adapter(spark, sf_dir, "model_versions"))
+    best = tables.read("model_versions").orderBy(F.col("f1_score").desc(), "version").limit(3).collect()
+    seen = tables.promotion_number()
+    for at, row in enumerate(best):
+        tables.promote(row["version"], datetime(2024, 5, 1 + at), seen)
+    return tables.versions().select("version", "is_production", F.lit(tables.promotion_number()).cast("bigint").alias("promotions"))
+
+
 @query("decision_history", f"""WITH v AS ({adapter_sql('model_versions')}), pr AS (SELECT * FROM ({adapter_sql('promotions')}) x WHERE version IN (SELECT version FROM v)),
  champion AS (SELECT version, f1_score FROM v WHERE version = (SELECT version FROM pr ORDER BY promoted_at DESC, version DESC LIMIT 1)),
  ends AS (SELECT model_version, max(pred_ts) AS check_ts FROM ({adapter_sql('predictions_shifted')}) w GROUP BY 1),

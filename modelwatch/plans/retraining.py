@@ -82,8 +82,11 @@ def retrain(
 ) -> bool:
     """Train a challenger and promote it if it beats the champion on the same
     test rows, or if there is no champion.  True when it was promoted.  ``recent``
-    newest labelled predictions join the original rows."""
+    newest labelled predictions join the original rows.  A run during which another
+    version was promoted has compared itself with the wrong champion: it is
+    rejected, and its version stays recorded out of production."""
     settings = settings or Settings()
+    seen = tables.promotion_number()
     old_version = production_version(tables)
     old_f1 = None
     if old_version is not None:
@@ -116,8 +119,7 @@ def retrain(
             run.alert("WARNING", new_f1, f"Retraining rejected: the new model is no better than version {old_version}.")
             return False
         now = datetime.now(timezone.utc)
-        last = tables.read("model_versions").agg(F.max("version")).first()[0]
-        version = (last or 0) + 1
+        version = tables.new_version(run.id)
         model.write().overwrite().save(model_path(tables, version))
         tables.append(
             "model_versions",
@@ -128,7 +130,10 @@ def retrain(
         )
         if scaler is not None:
             tables.append("scaler", scaler.withColumn("version", F.lit(version)))
-        tables.promote(version, now)
+        if not tables.promote(version, now, seen):
+            run.mark("REJECTED", version, new_f1)
+            run.alert("WARNING", new_f1, f"Retraining rejected: another version was promoted while version {version} was trained.")
+            return False
         # the log holds raw features, and so does the baseline that it is compared with
         raw = rows.join(train.select("row_id"), "row_id", "left_semi")
         tables.save_baseline(raw, features, version)

@@ -20,6 +20,7 @@ from ..operators.drift import reference_counts
 from ..operators.sizing import SMALL_SIDE_ROWS, join_small, match, settle
 from ..schemas import DAILY, TABLES
 from ..session import materialise
+from .manifests import ManifestLog, micros
 
 _PROFILE = "baseline_profile"
 _COUNTS = "baseline_counts"
@@ -309,18 +310,42 @@ class MonitorTables:
 
     # -- versions -------------------------------------------------------------
 
-    def versions(self) -> DataFrame:
-        return V.promotion_state(self.read("model_versions"), self.read("promotions"))
+    @property
+    def promotion_log(self) -> ManifestLog:
+        return ManifestLog(self.spark, self.path("promotion_log"))
+
+    def promotions(self) -> DataFrame:
+        """version, promoted_at, number: the numbered promotions and, without a
+        number, the imported ones."""
+        logged = self.promotion_log.read("version int, promoted_micros bigint")
+        logged = logged.select("version", micros("promoted_micros").alias("promoted_at"), "number")
+        return self.read("promotions").withColumn("number", F.lit(None).cast("bigint")).unionByName(logged)
 
-    def promote(self, version: int, at) -> bool:
-        """Make an existing version the production one; False if unknown.
-        Rolling back is promoting an older version."""
+    def versions(self) -> DataFrame:
+        return V.promotion_state(self.read("model_versions"), self.promotions(), order=["number", "promoted_at", "version"])
+
+    def promotion_number(self) -> int:
+        """How many promotions there have been: what ``promote`` expects."""
+        return self.promotion_log.last()
+
+    def promote(self, version: int, at, expected: int | None = None) -> bool:
+        """Make an existing version the production one; False if it is unknown, or
+        if there has been a promotion after number ``expected`` (as read when the
+        decision was prepared; the newest if not given).  Rolling back is promoting
+        an older version."""
+        before = self.promotion_number() if expected is None else expected
         if not self.read("model_versions").filter(F.col("version") == version).limit(1).count():
             return False
-        self.append(
-            "promotions", self.spark.createDataFrame([(version, at)], "version int, promoted_at timestamp")
-        )
-        return True
+        return self.promotion_log.put(before + 1, {"version": version, "promoted_micros": T.TimestampType().toInternal(at)})
+
+    def new_version(self, run_id: str) -> int:
+        """A version number that no other run gets."""
+        claims = ManifestLog(self.spark, self.path("version_claims"))
+        known = self.read("model_versions").agg(F.max("version")).first()[0] or 0
+        number = max(known, claims.last()) + 1
+        while not claims.put(number, {"run_id": run_id}):
+            number += 1
+        return number
 
     def retraining_events(self) -> DataFrame:
         """Current state of every run: its last event."""
