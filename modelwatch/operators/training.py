@@ -1,4 +1,4 @@
-"""Distributed training, scoring and evaluation with MLlib."""
+"""Training, scoring and evaluation of models; the search over parameters is MLlib's."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from .dataset import apply_scaler, with_class_weight
+from .forest import Forest, grow_forest
 from .metrics import auc, binary_metrics
 from .prediction_log import feature_columns, split_valid
 from .sizing import join_small
@@ -37,10 +38,9 @@ def _stages(features: Sequence[str], label: str, settings: Settings):
     return assembler, forest
 
 
-def train_forest(df: DataFrame, features: Sequence[str], label: str, settings: Settings | None = None) -> PipelineModel:
-    """Random forest with balanced class weights."""
-    weighted = with_class_weight(df, label)
-    return Pipeline(stages=list(_stages(features, label, settings or Settings()))).fit(weighted)
+def train_forest(df: DataFrame, features: Sequence[str], label: str, settings: Settings | None = None) -> Forest:
+    """Random forest with balanced class weights and a minimum size for a split."""
+    return grow_forest(df, features, label, settings)
 
 
 def search_forest(
@@ -52,7 +52,7 @@ def search_forest(
     parallelism: int = 2,
     settings: Settings | None = None,
 ) -> CrossValidatorModel:
-    """Cross-validated search over forest parameters (``{"maxDepth": [5, 10]}``)."""
+    """Cross-validated search over the parameters of MLlib's forest (``{"maxDepth": [5, 10]}``)."""
     assembler, forest = _stages(features, label, settings or Settings())
     builder = ParamGridBuilder()
     for name, values in grid.items():
@@ -68,8 +68,10 @@ def search_forest(
     return search.fit(with_class_weight(df, label))
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: Forest | PipelineModel, df: DataFrame) -> DataFrame:
     """Add ``predicted_label`` and ``confidence`` (probability of class 1)."""
+    if isinstance(model, Forest):
+        return model.score(df)
     scored = model.transform(df)
     return scored.withColumn("predicted_label", F.col("prediction").cast("int")).withColumn(
         "confidence", vector_to_array("probability")[1]
@@ -77,7 +79,7 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def score_transactions(
-    model: PipelineModel,
+    model: Forest | PipelineModel,
     transactions: DataFrame,
     features: Sequence[str],
     scaler: DataFrame | None = None,
@@ -100,8 +102,10 @@ def evaluate(scored: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame
     return join_small(base, area, [])
 
 
-def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
+def feature_importance(model: Forest | PipelineModel, features: Sequence[str]) -> DataFrame:
     """(feature, importance), a row per feature."""
+    if isinstance(model, Forest):
+        return model.importance()
     from pyspark.sql import SparkSession
 
     values = model.stages[-1].featureImportances.toArray()

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ...config import Settings
 from ...functions.columns import feature_map
 from ...operators import dataset as S
 from ...operators import training as T
-from ...session import scratch_dir
+from ...session import materialise, scratch_dir
 from ...sources.fixtures import LINE_FEATURES, adapter, adapter_sql
 from .registry import query, r6
 
@@ -88,7 +89,8 @@ def forest_evaluation(spark, sf_dir):
     """Train on the early rows, score the late ones, evaluate them."""
     rows = _training_rows(spark, sf_dir)
     model = T.train_forest(rows.filter("side = 'ref'"), LINE_FEATURES, "label", _FOREST)
-    return T.evaluate(T.score(model, rows.filter("side = 'cur'")), "label")
+    scored = T.score(model, rows.filter("side = 'cur'")).select("label", "predicted_label", "confidence")
+    return T.evaluate(materialise(scored, "scored"), "label")
 
 
 @query("score_transactions")
@@ -109,3 +111,40 @@ def score_transactions(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     model = T.train_forest(_training_rows(spark, sf_dir), LINE_FEATURES, "label", _FOREST)
     return T.feature_importance(model, LINE_FEATURES)
+
+
+_LABELLED = f"WITH b AS (SELECT *, CAST(l_extendedprice * (1 - l_discount) > 40000 AS INT) AS dear FROM ({adapter_sql('features')}) x) "
+
+
+@query("forest_facts", _LABELLED + """SELECT count(*) AS n, sum(dear)::BIGINT AS positives, true AS better_than_majority, true AS ranks_well
+ FROM b WHERE side = 'cur'""")
+def forest_facts(spark, sf_dir):
+    """What holds for any good forest: every late row is judged, and better than by
+    the more frequent label or by chance."""
+    found = forest_evaluation(spark, sf_dir)
+    positives = F.col("tp") + F.col("fn")
+    return found.select(
+        F.col("n").cast("bigint").alias("n"), positives.cast("bigint").alias("positives"),
+        (F.col("accuracy") > F.greatest(positives, F.col("n") - positives) / F.col("n")).alias("better_than_majority"),
+        (F.col("auc_roc") > 0.9).alias("ranks_well"),
+    )
+
+
+@query("scored_facts", f"""SELECT l_orderkey, count(*) AS n, count(*) AS judged FROM ({adapter_sql('features')}) x GROUP BY 1""")
+def scored_facts(spark, sf_dir):
+    """Every transaction is scored once, with a confidence that its label follows from."""
+    right = F.col("confidence").between(0, 1) & (F.col("predicted_label") == (F.col("confidence") > 0.5).cast("int"))
+    return score_transactions(spark, sf_dir).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(right, 1)).alias("judged"))
+
+
+@query("importance_facts", _LABELLED + f"""SELECT feature, strength = max(strength) OVER () AS strongest, 1.0::DOUBLE AS whole FROM (
+ {" UNION ALL ".join(f"SELECT '{f}' AS feature, abs(corr({f}, dear)) AS strength FROM b WHERE side = 'ref'" for f in LINE_FEATURES)}) y""")
+def importance_facts(spark, sf_dir):
+    """The feature that goes best with the label is the most important; the shares
+    add up to one."""
+    every = W.partitionBy()  # a row per feature
+    found = feature_importance(spark, sf_dir)
+    return found.select(
+        "feature", (F.col("importance") == F.max("importance").over(every)).alias("strongest"),
+        F.round(F.sum("importance").over(every), 9).alias("whole"),
+    )

@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from ..config import Settings
 from ..operators import training as T
 from ..operators.alerts import alert_rows
 from ..operators.dataset import apply_scaler, fit_scaler, retraining_dataset, stratified_split
+from ..operators.forest import Forest
 from ..operators.versions import compare_models
 from ..schemas import FEATURES, REQUIRED_METRICS, TARGET
 from ..session import materialise
@@ -30,8 +30,8 @@ def model_path(tables: MonitorTables, version: int) -> str:
     return f"{tables.root}/models/v{version}"
 
 
-def load_model(tables: MonitorTables, version: int) -> PipelineModel:
-    return PipelineModel.load(model_path(tables, version))
+def load_model(tables: MonitorTables, version: int) -> Forest:
+    return Forest.load(tables.spark, model_path(tables, version))
 
 
 def production_version(tables: MonitorTables) -> int | None:
@@ -70,6 +70,11 @@ def _long(metrics: DataFrame) -> DataFrame:
     return metrics.unpivot([], [*REQUIRED_METRICS, "auc_roc"], "metric", "value")
 
 
+def _scored(model: Forest, rows: DataFrame, target: str) -> DataFrame:
+    """Scored once, for all that is computed from the scores."""
+    return materialise(T.score(model, rows).select(target, "predicted_label", "confidence"), "scored")
+
+
 def retrain(
     tables: MonitorTables,
     original: DataFrame,
@@ -107,11 +112,11 @@ def retrain(
         train = prepared.filter("split = 'train'")
         test = prepared.filter("split = 'test'")
         model = T.train_forest(train, features, target, settings)
-        new = materialise(T.evaluate(T.score(model, test), target), "metrics")
+        new = materialise(T.evaluate(_scored(model, test, target), target), "metrics")
         new_f1 = new.first()["f1"]
         deploy = True
         if old_version is not None:
-            current = T.evaluate(T.score(load_model(tables, old_version), test), target)
+            current = T.evaluate(_scored(load_model(tables, old_version), test, target), target)
             verdict = compare_models(_long(current), _long(new)).first()
             deploy = verdict["recommendation"] == "DEPLOY"
         if not deploy:
@@ -120,7 +125,7 @@ def retrain(
             return False
         now = datetime.now(timezone.utc)
         version = tables.new_version(run.id)
-        model.write().overwrite().save(model_path(tables, version))
+        model.save(model_path(tables, version))
         tables.append(
             "model_versions",
             new.withColumnRenamed("f1", "f1_score")

@@ -168,7 +168,7 @@ def test_a_promotion_takes_effect_at_the_next_batch(spark, tmp_path):
         if len(seen) == 2:  # a second version goes live between the batches
             from modelwatch.plans.retraining import load_model, model_path
 
-            load_model(tables, 1).write().overwrite().save(model_path(tables, 2))
+            load_model(tables, 1).save(model_path(tables, 2))
             tables.append("model_versions", spark.createDataFrame([(2, 0.9)], "version int, f1_score double"))
             tables.append("scaler", tables.read("scaler").withColumn("version", F.lit(2)))
             tables.promote(2, datetime(2100, 1, 1))
