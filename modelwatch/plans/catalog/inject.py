@@ -59,3 +59,34 @@ def inject_noise(spark, sf_dir):
 @query("inject_severe")
 def inject_severe(spark, sf_dir):
     return J.drifted_dataset(_orders(spark, sf_dir), "severe", ["price", "cust"], "label", "id")
+
+
+def _moved(column, shift):
+    """Does the change of a column have the mean and the spread that were asked for?"""
+    change = F.col(column) - F.col(f"old_{column}")
+    near = (F.abs(F.avg(change) - shift) < 0.06) & (F.abs(F.stddev(change) - 0.5) < 0.05)
+    return near.alias(f"{column}_moved")
+
+
+def _kept(rows):
+    return rows.withColumns({f"old_{c}": F.col(c) for c in ("price", "cust", "label")})
+
+
+@query("noise_facts", _O + "SELECT count(*) AS n, count(DISTINCT id) AS ids, true AS price_moved, true AS cust_moved FROM o")
+def noise_facts(spark, sf_dir):
+    """Every row once, its values changed by noise of mean 0 and deviation 0.5."""
+    after = J.noise(_kept(_orders(spark, sf_dir)), ["price", "cust"], "id")
+    return after.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), *[_moved(c, 0.0) for c in ("price", "cust")]
+    )
+
+
+@query("severe_facts", _O + """SELECT count(*) AS n, count(DISTINCT id) AS ids, CAST(floor(count(*) * 0.15) AS BIGINT) AS flipped,
+ true AS price_moved, true AS cust_moved FROM o""")
+def severe_facts(spark, sf_dir):
+    """Every row once, shifted by 1.5 with noise, and 15 percent of the labels flipped."""
+    after = J.drifted_dataset(_kept(_orders(spark, sf_dir)), "severe", ["price", "cust"], "label", "id")
+    return after.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"),
+        F.count_if(F.col("label") != F.col("old_label")).alias("flipped"), *[_moved(c, 1.5) for c in ("price", "cust")],
+    )
