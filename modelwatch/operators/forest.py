@@ -1,7 +1,13 @@
 """A random forest grown on a binned matrix, with a minimum size for a split.
 
 Features are cut at up to ``BINS - 1`` quantiles, and rows are packed into chunks
-of one byte a feature.  Every pass over the matrix serves all trees:
+of one byte a feature.  Rows of the same bins and label lie on the same side of
+every cut, so where the bins have no more combinations (cells) than there are rows,
+``CELLS`` at most, a single pass adds up how often each tree sees the rows of each
+cell and label, and a group per tree grows it from those sums.  The trees are those
+that the rows themselves give.
+
+With more cells, every pass over the matrix serves all trees:
 
 * nodes of more than ``LOCAL_ROWS`` rows are split level by level: tasks count
   (node, feature, bin, class), the counts are summed per node, and the best cut of
@@ -21,8 +27,9 @@ smallest.
 
 from __future__ import annotations
 
+import math
 import sys
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +51,12 @@ COUNT_BYTES = 128 << 20
 #: Rows that a task holds back before it sends them to their nodes.
 HELD_BYTES = 64 << 20
 TASK_ROWS = 200_000
+#: Most cells that rows are added up in, and that a scoring task remembers.
+CELLS = BINS**4
+#: Rows that a task adds up at a time; all trees send a record for each such block.
+BLOCK_ROWS = 1 << 22
+#: What one row that is drawn at all adds to a sum of draws, which stays below it.
+_SEEN = 1 << 27
 _SLICE = 8192
 _NODES = "tree int, node long, feature int, threshold double, weight double, share double"
 
@@ -54,6 +67,19 @@ def draws(seed: int, tree: int, chunk: int, n: int) -> np.ndarray:
     return np.random.Generator(source).poisson(1.0, n).astype(np.uint8)
 
 
+def drawer(seed: int, tree: int) -> Callable[[int, int], np.ndarray]:
+    """``draws`` of one tree by chunk and number of rows, with one generator for all chunks."""
+    source = np.random.Philox(key=np.array([seed, tree], np.uint64))
+    generator, state = np.random.Generator(source), source.state
+
+    def draw(chunk: int, n: int) -> np.ndarray:
+        state["state"]["counter"][:] = (0, chunk, 0, 0)
+        source.state = state
+        return generator.poisson(1.0, n).astype(np.uint8)
+
+    return draw
+
+
 def ranks(seed: int, tree: int, nodes: np.ndarray, n_features: int) -> np.ndarray:
     """An order of the features for each node, by a hash."""
     with np.errstate(over="ignore"):
@@ -89,8 +115,12 @@ def best_cuts(counts: Iterable[np.ndarray], order: np.ndarray, weights: Sequence
     return np.where(flat.all(axis=1), -1, feature), chosen
 
 
-def grow_node(bins: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: int, settings: Settings, weights: Sequence[float]) -> dict:
-    """The subtree of a node from its rows: arrays node, feature, bin, n0, n1."""
+def grow_node(
+    bins: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: int, settings: Settings, weights: Sequence[float], seen: np.ndarray | None = None
+) -> dict:
+    """The subtree of a node from its rows: arrays node, feature, bin, n0, n1.  Where
+    equal rows are added up, ``seen`` has their number and ``w`` the sum of their draws."""
+    seen = np.ones(len(y)) if seen is None else seen
     n_features = len(bins)
     look_at = max(1, int(n_features**0.5))
     slot, heap, depth = np.zeros(len(y), np.int64), np.array([root], np.int64), int(root).bit_length() - 1
@@ -98,7 +128,7 @@ def grow_node(bins: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: i
     while len(heap):
         k = len(heap)
         by_class = np.bincount(slot * 2 + y, w, 2 * k).reshape(k, 2)
-        able = (by_class > 0).all(axis=1) & (np.bincount(slot, minlength=k) >= settings.min_samples_split)
+        able = (by_class > 0).all(axis=1) & (np.bincount(slot, seen, k) >= settings.min_samples_split)
         able &= depth < settings.max_depth
         feature, cut = np.full(k, -1), np.zeros(k, np.int64)
         for start in range(0, k, _SLICE):
@@ -118,7 +148,7 @@ def grow_node(bins: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: i
         index[parents] = np.arange(len(parents))
         rows = np.flatnonzero(index[slot] >= 0)
         here = slot[rows]
-        bins, y, w = bins[:, rows], y[rows], w[rows]
+        bins, y, w, seen = bins[:, rows], y[rows], w[rows], seen[rows]
         right = bins[feature[here], np.arange(len(rows))] > cut[here]
         slot = index[here] * 2 + right
         heap = (heap[parents, None] * 2 + np.array([0, 1])).reshape(-1)
@@ -269,6 +299,70 @@ def _grow_small(matrix: DataFrame, tops: dict[int, tuple], small: dict[int, np.n
     return sent.groupBy("tree", "node").applyInArrow(grow, _NODES)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in the smallest type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max()))).tobytes()
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"u{len(packed) // n}")
+
+
+def _grow_cells(matrix: DataFrame, n: int, settings: Settings, weights, borders) -> DataFrame:
+    """Whole trees, each in a group, from the sums of its draws by cell and label."""
+    shape = tuple(len(b) + 1 for b in borders)
+
+    def added(codes: list[np.ndarray], chunks: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        cells, place = np.unique(np.concatenate(codes), return_inverse=True)
+        drawn, value = np.empty(len(place), np.uint8), np.arange(256.0) + _SEEN * (np.arange(256) > 0)
+        for t in range(settings.num_trees):
+            draw, at = drawer(settings.seed, t), 0
+            for chunk, size in chunks:
+                drawn[at : at + size] = draw(chunk, size)
+                at += size
+            sums = np.bincount(place, value[drawn], len(cells)).astype(np.int64)
+            some = np.flatnonzero(sums)
+            if len(some):
+                sums = sums[some]
+                parts = np.diff(cells[some], prepend=0), sums % _SEEN, sums // _SEEN
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t], pa.int32()), pa.array([len(some)], pa.int32()), *(pa.array([_packed(p)], pa.binary()) for p in parts)],
+                    ["tree", "n", "steps", "drawn", "seen"],
+                )
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, chunks, held = [], [], 0
+        for batch in batches:
+            for chunk, bins, y in _chunks(batch, len(shape)):
+                codes.append((np.ravel_multi_index(tuple(bins), shape) * 2 + y).astype(np.int32))
+                chunks.append((chunk, len(y)))
+                held += len(y)
+                if held >= BLOCK_ROWS:
+                    yield from added(codes, chunks)
+                    codes, chunks, held = [], [], 0
+        if held:
+            yield from added(codes, chunks)
+
+    def grow(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = key[0].as_py()
+        drawn, seen = np.zeros(2 * math.prod(shape)), np.zeros(2 * math.prod(shape))
+        for batch in batches:
+            columns = (batch.column(name).to_pylist() for name in ("n", "steps", "drawn", "seen"))
+            for size, steps, draws_, seen_ in zip(*columns, strict=True):
+                cells = np.cumsum(_unpacked(steps, size), dtype=np.int64)
+                drawn[cells] += _unpacked(draws_, size)
+                seen[cells] += _unpacked(seen_, size)
+        cells = np.flatnonzero(drawn)
+        bins = np.stack(np.unravel_index(cells >> 1, shape)).astype(np.uint8)
+        found = grow_node(bins, cells & 1, drawn[cells], t, 1, settings, weights, seen[cells])
+        yield from _node_rows(np.full(len(found["node"]), t), *found.values(), weights, borders).to_batches()
+
+    parallel = matrix.sparkSession.sparkContext.defaultParallelism
+    blocks = matrix.repartition(min(max(2 * parallel, -(-n // BLOCK_ROWS)), -(-n // CHUNK_ROWS)), "chunk")
+    sums = blocks.mapInArrow(add, "tree int, n int, steps binary, drawn binary, seen binary")
+    return sums.repartition(max(1, min(settings.num_trees, 4 * parallel)), "tree").groupBy("tree").applyInArrow(grow, _NODES)
+
+
 def _node_rows(tree, node, feature, cut, n0, n1, weights, borders) -> pa.Table:
     whole = n0 * weights[0] + n1 * weights[1]
     return pa.table(
@@ -284,8 +378,9 @@ def _node_rows(tree, node, feature, cut, n0, n1, weights, borders) -> pa.Table:
 
 
 def grow_forest(df: DataFrame, features: Sequence[str], label: str, settings: Settings | None = None) -> Forest:
-    """Train on the rows of ``df``.  The driver holds the borders of the bins and, per
-    tree, the nodes of more than ``LOCAL_ROWS`` rows with their children."""
+    """Train on the rows of ``df``.  The driver holds the borders of the bins and, with
+    more cells than are added up, per tree the nodes of more than ``LOCAL_ROWS`` rows
+    with their children."""
     settings, features = settings or Settings(), list(features)
     spark, n_features = df.sparkSession, len(features)
     rows = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)], F.col(label).cast("int").alias("y")).filter("y IN (0, 1)")
@@ -301,6 +396,8 @@ def grow_forest(df: DataFrame, features: Sequence[str], label: str, settings: Se
     weights = [n / (2 * c) if c else 1.0 for c in by_class]
     borders = [np.unique(np.array(first[f"f{i}"] or [], float)) for i in range(n_features)]
     matrix = materialise(binned(rows, borders), "matrix")
+    if math.prod(len(b) + 1 for b in borders) <= min(CELLS, n):
+        return Forest(materialise(_grow_cells(matrix, n, settings, weights, borders), "forest"), features)
     tasks = max(spark.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
     matrix = matrix.repartition(min(tasks, -(-n // CHUNK_ROWS)), "chunk")
 

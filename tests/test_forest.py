@@ -36,6 +36,25 @@ def test_level_passes_and_groups_grow_the_same_trees(table, monkeypatch):
     assert levels == nodes_of_depth(whole, 4)
 
 
+def test_sums_by_cell_grow_the_trees_of_the_rows(table, monkeypatch):
+    """Fewer cells than rows: one pass of sums, and the trees that the level passes give."""
+    few = table.select(F.round("a").alias("a"), "b", F.when(F.col("c") > 0, F.round(F.col("c"), 1)).alias("c"), "y").union(table.select("b", "a", F.lit(None), "y"))
+    given = settings(num_trees=3, max_depth=9)
+    monkeypatch.setattr(G, "LOCAL_ROWS", 700)
+    with monkeypatch.context() as rows_only:
+        rows_only.setattr(G, "CELLS", 0)
+        wanted = nodes(G.grow_forest(few, ["a", "b", "c"], "y", given))
+
+    def passed(*args):
+        raise AssertionError("a pass for a level")
+
+    monkeypatch.setattr(G, "_count_level", passed)
+    monkeypatch.setattr(G, "_grow_small", passed)
+    assert nodes(G.grow_forest(few, ["a", "b", "c"], "y", given)) == wanted
+    monkeypatch.setattr(G, "BLOCK_ROWS", 1500)  # several records for a tree
+    assert nodes(G.grow_forest(few, ["a", "b", "c"], "y", given)) == wanted and len(wanted) > 100
+
+
 def nodes_of_depth(found, depth):
     """The nodes down to a depth, where all are leaves."""
     kept = [list(r) for r in found if r[1].bit_length() <= depth + 1]
@@ -135,3 +154,5 @@ def test_odd_rows(spark):
 def test_draws_repeat():
     assert (G.draws(1, 2, 3, 50) == G.draws(1, 2, 3, 50)).all()
     assert (G.draws(1, 2, 3, 500) != G.draws(1, 2, 4, 500)).any() and (G.draws(1, 2, 3, 500) != G.draws(1, 3, 3, 500)).any()
+    draw = G.drawer(1, 2)
+    assert all((draw(chunk, n) == G.draws(1, 2, chunk, n)).all() for chunk, n in ((3, 50), (4, 500), (3, 7), (1 << 40, 9)))
