@@ -484,13 +484,17 @@ class Forest:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``predicted_label`` and ``confidence``, the mean share of class 1 in the
-        leaves that a row ends at."""
+        leaves that a row ends at.  Rows between the same thresholds score the same: where
+        those leave at most ``CELLS`` cells, a task walks down the trees once for each
+        cell that it meets."""
         import pandas as pd
 
         roots, feature, threshold, left, share = self._compiled()
+        borders = [np.unique(threshold[feature == f]) for f in range(len(self.features))]
+        n_cells = math.prod(len(b) + 1 for b in borders)
+        kept: dict[str, np.ndarray] = {}  # of a task
 
-        def confidence(*columns: pd.Series) -> pd.Series:
-            x = np.stack([c.to_numpy(float, na_value=np.nan) for c in columns])
+        def walked(x: np.ndarray) -> np.ndarray:
             total = np.zeros(x.shape[1])
             for root in roots:
                 at = np.full(x.shape[1], root)
@@ -500,7 +504,22 @@ class Forest:
                     at[rows] = left[here] + (x[feature[here], rows] > threshold[here])
                     rows = rows[feature[at[rows]] >= 0]
                 total += share[at]
-            return pd.Series(total / len(roots))
+            return total / len(roots)
+
+        def confidence(*columns: pd.Series) -> pd.Series:
+            x = np.stack([c.to_numpy(float, na_value=np.nan) for c in columns])
+            if n_cells > CELLS:
+                return pd.Series(walked(x))
+            if not kept:
+                kept["by_cell"] = np.full(n_cells, np.nan)
+            by_cell, cell = kept["by_cell"], np.zeros(x.shape[1], np.int64)
+            for values, b in zip(x, borders, strict=True):
+                cell = cell * (len(b) + 1) + np.where(np.isnan(values), 0, np.searchsorted(b, values))
+            new = np.flatnonzero(np.isnan(by_cell[cell]))
+            if len(new):
+                cells, first = np.unique(cell[new], return_index=True)
+                by_cell[cells] = walked(x[:, new[first]])
+            return pd.Series(by_cell[cell])
 
         confidence.__annotations__ = {"columns": pd.Series, "return": pd.Series}
         scored = df.withColumn("confidence", F.pandas_udf(confidence, "double")(*[F.col(f).cast("double") for f in self.features]))

@@ -134,6 +134,31 @@ def test_scores_importance_and_storage(spark, table, tmp_path):
     assert score(again, table).exceptAll(scored).count() == 0
 
 
+def test_a_cell_is_walked_once(spark, table, monkeypatch):
+    """Same scores as from walking every row, with a fraction of the rows walked."""
+    model = G.grow_forest(table, ["a", "b", "c"], "y", settings(num_trees=5, max_depth=3))
+    odd = spark.createDataFrame([(None, 3.0, float("nan"), 0), (float("inf"), None, float("-inf"), 1), (float("nan"), 9.0, 0.0, 1)], table.schema)
+    on_cut = model.nodes.filter("feature = 0").select(F.col("threshold").alias("a"), F.lit(4.0).alias("b"), F.lit(0.0).alias("c"), F.lit(1).alias("y"))
+    rows = table.union(odd).union(on_cut).coalesce(1)
+    walked = spark.sparkContext.accumulator(0)
+    with monkeypatch.context() as all_rows:
+        all_rows.setattr(G, "CELLS", 0)
+        wanted = [tuple(r)[4:] for r in model.score(rows).collect()]
+
+    class Counted(np.ndarray):
+        """Counts the rows that go down a tree."""
+
+        def __getitem__(self, at):
+            if isinstance(at, np.ndarray) and len(at):
+                walked.add(len(at))
+            return np.asarray(self)[at]
+
+    roots, feature, threshold, left, share = model._compiled()
+    model._arrays = roots, feature, threshold, left, share.view(Counted)
+    assert [tuple(r)[4:] for r in model.score(rows).collect()] == wanted
+    assert 0 < walked.value < 5 * rows.count() / 2
+
+
 def test_odd_rows(spark):
     odd = [(None, 0.0, 0), (float("nan"), 1.0, 1), (1.0, None, 1), (2.0, float("inf"), 0), (2.0, float("-inf"), None), (3.0, 0.0, 7)] * 10
     df = spark.createDataFrame(odd, "a double, b double, y int")
