@@ -178,7 +178,7 @@ def sample_paragraphs(docs: DataFrame, vocabulary: Vocabulary, documents: int =
     """Distinct paragraphs of up to ``documents`` documents (by a hash of the id)
     that resemble no template; up to 20 a document."""
     chosen = docs.select("doc_id").filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).distinct()
-    lines = docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"))
+    lines = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     lines = lines.select(F.explode(F.slice(F.split("text", "\n"), 1, 20)).alias("line"))
     rows = lines.filter(F.length("line").between(1, 2000)).distinct().orderBy("line").limit(20 * documents)
     found = [r["line"] for r in rows.collect()]
