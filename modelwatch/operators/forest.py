@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..session import materialise
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+for _module in (__name__, Settings.__module__):  # executors need no copy of the package
+    cloudpickle.register_pickle_by_value(sys.modules[_module])
 
 BINS = 32
 #: Rows of a node (drawn ones, repeats counted) that one task grows to the end.

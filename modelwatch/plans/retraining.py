@@ -15,6 +15,7 @@ from ..operators import training as T
 from ..operators.alerts import alert_rows
 from ..operators.dataset import apply_scaler, fit_scaler, retraining_dataset, stratified_split
 from ..operators.forest import Forest
+from ..operators.sizing import settle
 from ..operators.versions import compare_models
 from ..schemas import FEATURES, REQUIRED_METRICS, TARGET
 from ..session import materialise
@@ -106,9 +107,10 @@ def retrain(
         rows = materialise(
             combined.na.fill(0.0, list(features)).withColumn("row_id", F.monotonically_increasing_id()), "dataset"
         )
-        scaler = fit_scaler(rows, scaled) if scaled else None
+        # split before scaling, so that the raw training rows need no join later
+        rows = materialise(stratified_split(rows, target, "row_id", seed=settings.seed), "split")
+        scaler = settle(fit_scaler(rows, scaled), "scaler") if scaled else None
         prepared = apply_scaler(rows, scaler, scaled) if scaled else rows
-        prepared = materialise(stratified_split(prepared, target, "row_id", seed=settings.seed), "split")
         train = prepared.filter("split = 'train'")
         test = prepared.filter("split = 'test'")
         model = T.train_forest(train, features, target, settings)
@@ -140,8 +142,7 @@ def retrain(
             run.alert("WARNING", new_f1, f"Retraining rejected: another version was promoted while version {version} was trained.")
             return False
         # the log holds raw features, and so does the baseline that it is compared with
-        raw = rows.join(train.select("row_id"), "row_id", "left_semi")
-        tables.save_baseline(raw, features, version)
+        tables.save_baseline(rows.filter("split = 'train'"), features, version)
         run.mark("COMPLETED", version, new_f1)
         run.alert("RESOLVED", new_f1, f"Retraining completed: version {version} is in production. Trigger: {reason}")
         return True

@@ -1,5 +1,10 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from modelwatch.config import load_settings
@@ -55,6 +60,14 @@ def test_sums_by_cell_grow_the_trees_of_the_rows(table, monkeypatch):
     assert nodes(G.grow_forest(few, ["a", "b", "c"], "y", given)) == wanted and len(wanted) > 100
 
 
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    packed = cloudpickle.dumps((G.grow_node, settings()))
+    load = "import sys; from pyspark import cloudpickle; print(cloudpickle.loads(sys.stdin.buffer.read())[1].num_trees)"
+    alone = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", load], input=packed, cwd=tmp_path, env=alone, capture_output=True)
+    assert done.stdout.split() == [b"4"], done.stderr
+
+
 def nodes_of_depth(found, depth):
     """The nodes down to a depth, where all are leaves."""
     kept = [list(r) for r in found if r[1].bit_length() <= depth + 1]

@@ -220,6 +220,29 @@ def test_retraining_promotes_then_rejects_then_fails(spark, tables):
     assert tables.read("scaler").count() == 1
 
 
+def test_baseline_of_a_promotion_is_its_training_rows_without_a_join(spark, tables, monkeypatch):
+    settings = load_settings({"num_trees": 2, "max_depth": 2}, {})
+    rng = np.random.default_rng(5)
+    data = [(float(rng.normal()), float(i), i % 2 if i % 7 else None) for i in range(300)]
+    original = spark.createDataFrame(data, "a double, Amount double, Class int")
+    plans, save = [], tables.save_baseline
+
+    def seen(df, *args):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        save(df, *args)
+
+    monkeypatch.setattr(tables, "save_baseline", seen)
+    assert retrain(tables, original, "first", NAMES, settings=settings)
+    assert len(plans) == 1 and "Join" not in plans[0]
+    held = [r["value"] for r in tables.load_baseline(1).filter("feature = 'Amount'").collect()]
+    labelled = {b: c for _, b, c in data if c is not None}
+    assert len(held) == len(set(held)) and set(held) <= set(labelled)  # in the units of the log
+    sizes = {c: sum(v == c for v in labelled.values()) for c in (0, 1)}
+    assert {c: sum(labelled[v] == c for v in held) for c in (0, 1)} == {c: n - round(n * 0.2) for c, n in sizes.items()}
+    scaler = tables.read("scaler").first()
+    assert scaler["mean"] == pytest.approx(149.5) and scaler["std"] == pytest.approx(np.arange(300).std())
+
+
 def test_ids_in_order(spark, tmp_path):
     tables = MonitorTables(spark, str(tmp_path / "ids"))
     log = log_rows(spark, 60).drop("id")
