@@ -7,19 +7,27 @@
    parts, so some parts are equal, and a key is the hash of one part (of three,
    for small sets). Sizes are cut into intervals with an H each, and a set has
    the keys of every interval its smaller partner can be in. So two sets that
-   link share a key, for certain; those that share none never meet.
+   link share a key, for certain; those that share none never meet. Where more
+   than H parts of a set hold tokens, it shares as many keys of the interval as
+   there are beyond H: a set with fewer keys that others have too is left out of
+   the interval. So sets that only have some phrases in common drop out here,
+   whose number grows with the square of the table.
 3. Groups: a class goes to the group of the smallest leader (first class) of its
    shared keys, which gathers similar sets. Groups beyond MEMBERS sets or TOKENS
    tokens are cut by a hash.
 4. The matrix: each group stores its token union, and its sets as columns of it.
    Sets of one group are compared when it is built.
-5. Groups that share a key are a cell. There a set's overlap with the other
+5. Groups that share as many keys of an interval as their sets need are a cell. There a set's overlap with the other
    group's union bounds its overlap with every set in it; where the bound of no
    set reaches the threshold the group stays closed, else the sets that qualify
    on both sides are compared, as a product of 0/1 matrices over the common tokens.
    A cell returns a row for each set with a link (a head to hang below, and the
    number of links), never the pairs.
 
+Only the texts are stored; keys go from the workers into the exchange. Texts are
+not exchanged to find those of some rows: workers hold a filter of BITS bits, and
+what it lets through is joined exactly.
+
 Keys that a sample of 1 in SAMPLE shows to be frequent get their leader from the
 sample and skip the exchange by key. The sample steers the work only: the result
 does not depend on it. Siblings of a group that was cut are paired by number, not
@@ -36,7 +44,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelwatch.llm.common import runs_on_workers
@@ -54,6 +62,10 @@ SAMPLE = 64
 FREQUENT = 64
 #: Keys of three parts up to this H, of one part beyond.
 TRIPLES = 3
+#: The lowest bits of a key tell its interval.
+INTERVAL = 255
+#: Bits of a filter of rows, whatever the number of rows.
+BITS = 1 << 25
 #: Columns of the matrices that are multiplied at once.
 WIDE = 4096
 MEMO = 200_000
@@ -110,30 +122,39 @@ class PartKeys:
         """Tokens in one of two linked sets only, the smaller having ``smaller``."""
         return (100 - self.percent) * smaller // self.percent
 
-    def of(self, tokens: np.ndarray) -> np.ndarray:
+    def _dealt(self, tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Of every interval its number, H, the part of each token and the tokens in each part."""
         n = len(tokens)
         smallest = -(-n * self.percent // 100)
-        out = [np.zeros(0, np.uint64)]
         for k in range(max(1, bisect_left(self.ends, smallest)), bisect_left(self.ends, n) + 1):
             most = self.most_different(self.ends[k])
-            triples = most <= TRIPLES
-            parts = most + 3 + (0 if triples else most // 16)
+            parts = most + 3 + (0 if most <= TRIPLES else most // 16)
             place = ((tokens >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            held = np.bincount(place, minlength=parts)
+            yield k, most, place, np.bincount(place, minlength=parts)
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        out = [np.zeros(0, np.uint64)]
+        for k, most, place, held in self._dealt(tokens):
+            parts = len(held)
             full = held > 0
             sums = np.zeros(parts, np.uint64)
             sums[full] = np.add.reduceat(_mix(tokens), np.flatnonzero(np.diff(place, prepend=-1)))
             keys = _mix(sums + _mix(np.arange(parts, dtype=np.uint64) + np.uint64(k << 32)) + held.astype(np.uint64))
             # a set with no more than H parts that hold tokens may agree with another in empty ones only
             empty_ones = full.sum() <= most
-            if triples:
+            if most <= TRIPLES:
                 picked = [c for c in combinations(range(parts), 3) if empty_ones or full[list(c)].any()]
                 keys = _mix(keys[np.array(picked)].sum(axis=1, dtype=np.uint64))
             elif not empty_ones:
                 keys = keys[full]
-            out.append(keys)
+            out.append(keys & np.uint64(~INTERVAL & (1 << 64) - 1) | np.uint64(k & INTERVAL))
         return np.concatenate(out).view(np.int64)
 
+    def needs(self, tokens: np.ndarray) -> list[int]:
+        """For each interval how many of its keys a set shares at least with a set
+        that links, above the bits of the interval."""
+        return [k & INTERVAL | (1 if most <= TRIPLES else max(1, int(np.count_nonzero(held)) - most)) << 8 for k, most, _, held in self._dealt(tokens)]
+
 
 def pack(text: str | None) -> bytes:
     """A compressed text, led by its length."""
@@ -148,7 +169,7 @@ def unpack(data: bytes) -> str:
 
 def sign(texts: DataFrame, percent: int) -> DataFrame:
     """Stored: row, doc_id, n (shingles), s1 and s2 (a 128-bit digest of the set),
-    keys, packed (the text)."""
+    needs, packed (the text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, part_keys = Shingles(), PartKeys(percent)
@@ -159,28 +180,87 @@ def sign(texts: DataFrame, percent: int) -> DataFrame:
                 sets = [shingles.of(t) for t in texts]
                 digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
                 columns = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(digests[:, i]) for i in (0, 1))]
-                columns.append(pa.array([part_keys.of(s) for s in sets], pa.list_(pa.int64())))
+                columns.append(pa.array([part_keys.needs(s) for s in sets], pa.list_(pa.int64())))
                 columns.append(pa.array([pack(t) for t in texts], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "s1", "s2", "keys", "packed"])
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n", "s1", "s2", "needs", "packed"])
+
+    return materialise(texts.mapInArrow(run, "row long, doc_id long, n long, s1 long, s2 long, needs array<long>, packed binary"), "signed")
+
 
-    return materialise(texts.mapInArrow(run, "row long, doc_id long, n long, s1 long, s2 long, keys array<long>, packed binary"), "signed")
+def _place() -> Column:
+    return F.pmod(F.xxhash64("row"), F.lit(BITS)).alias("place")
 
 
-def shared_keys(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Stored: row, key, leader for the keys of a class that others have too."""
+def row_filter(rows: DataFrame) -> np.ndarray:
+    """A filter that lets the given rows through, and few others."""
+    bit = F.expr("shiftleft(1L, cast(place & 63 AS int))")
+    words = rows.select(_place()).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def _passes(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> 6] >> (place & 63) & 1).astype(bool)
+
+
+def passing(signed: DataFrame, bits: np.ndarray) -> DataFrame:
+    """row, packed of the rows that the filter lets through."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield part.filter(pa.array(_passes(bits, part.column(1).to_numpy()))).select([0, 2])
+
+    return signed.select("row", _place(), "packed").mapInArrow(run, "row long, packed binary")
+
+
+def keys_of(signed: DataFrame, percent: int, stopped: np.ndarray | None = None) -> DataFrame:
+    """row, key of the rows that the filter ``stopped`` does not know."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, part_keys = Shingles(), PartKeys(percent)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                if stopped is not None:
+                    part = part.filter(pa.array(~_passes(stopped, part.column(1).to_numpy())))
+                keys = [part_keys.of(shingles.of(unpack(t))) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64()))], ["row", "keys"])
+
+    return signed.select("row", _place(), "packed").mapInArrow(run, "row long, keys array<long>").select("row", F.explode("keys").alias("key"))
+
+
+def shared_keys(signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Stored: row, key, leader, need for the keys of a class that others have too,
+    in intervals where they are as many as it needs."""
     several = classes.filter("size > 1").select("s1", "s2", "f")
     copies = materialise(signed.select("row", "s1", "s2").join(several, ["s1", "s2"]).filter("row <> f").select("row"), "copies")
-    keyed = signed.select("row", "keys").join(copies, "row", "left_anti").select("row", F.explode("keys").alias("key"))
-    sample = signed.filter((F.size("keys") > 0) & (F.pmod("s1", F.lit(SAMPLE)) == 0)).dropDuplicates(["s1", "s2"])
-    sample = sample.select("row", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("hits"), F.min("row").alias("leader"))
+    texts = signed.filter("n > 0").select("row", "packed")
+    of_copies = row_filter(copies)
+    keyed = keys_of(texts, percent, of_copies)
+    if of_copies.any():
+        keyed = keyed.union(keys_of(passing(texts, of_copies).join(copies.hint("merge"), "row", "left_anti"), percent))
+    sample = signed.filter((F.size("needs") > 0) & (F.pmod("s1", F.lit(SAMPLE)) == 0)).dropDuplicates(["s1", "s2"])
+    sample = keys_of(sample, percent).groupBy("key").agg(F.count(F.lit(1)).alias("hits"), F.min("row").alias("leader"))
     frequent = materialise(sample.filter(F.col("hits") >= FREQUENT).select("key", "leader"), "frequent")
     some = frequent.limit(1).count() > 0
     by_key = Window.partitionBy("key")
+    leader, c = F.min("row").over(by_key).alias("leader"), F.count(F.lit(1)).over(by_key).alias("c")
     rare = keyed.join(frequent.select("key"), "key", "left_anti") if some else keyed
-    rare = rare.select("row", "key", F.min("row").over(by_key).alias("leader"), F.count(F.lit(1)).over(by_key).alias("c"))
-    out = rare.filter("c > 1").select("row", "key", "leader")
+    out = rare.select("row", "key", c).filter("c > 1").select("row", "key", F.lit(None).cast("long").alias("leader"))
     if some:
         out = out.union(keyed.join(frequent, "key").select("row", "key", "leader"))
+    found = materialise(out, "found")
+
+    interval = F.col("key").bitwiseAND(F.lit(INTERVAL)).alias("interval")
+    needs = signed.select("row", F.explode("needs").alias("x")).select("row", F.col("x").bitwiseAND(F.lit(INTERVAL)).alias("interval"), F.shiftright("x", 8).alias("need"))
+    enough = found.groupBy("row", interval).agg(F.count(F.lit(1)).alias("keys")).join(needs, ["row", "interval"]).filter("keys >= need").select("row", "interval", "need")
+    kept = found.withColumn("interval", interval).join(enough, ["row", "interval"])
+    out = kept.filter("leader IS NULL").select("row", "key", leader, "need", c).filter("c > 1").drop("c")
+    if some:
+        out = out.union(kept.filter("leader IS NOT NULL").select("row", "key", "leader", "need"))
     return materialise(out, "shared")
 
 
@@ -215,7 +295,7 @@ def build_groups(signed: DataFrame, members: DataFrame, percent: int) -> DataFra
         return pa.table([pa.array([x], kind) for x, kind in zip(out, _KINDS, strict=True)], names=_NAMES)
 
     # a side that grows with the table is not broadcast at any size
-    found = signed.select("row", "packed").join(members.select("row", "group", "size").hint("merge"), "row")
+    found = passing(signed, row_filter(members)).join(members.select("row", "group", "size").hint("merge"), "row")
     return materialise(found.groupBy("group").applyInArrow(run, _GROUP), "groups")
 
 
@@ -300,14 +380,19 @@ def compare(a: Group, b: Group, percent: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def cells(shared: DataFrame, members: DataFrame) -> DataFrame:
-    """g1, g2: the groups of the matrix that may hold links between them, once."""
+    """g1, g2: the groups of the matrix that may hold links between them, once.
+
+    Sets that link share as many keys of an interval as either needs, and their
+    groups share these. What a group needs for a key is the least of its sets."""
     tiles = members.filter("tiles > 1").select("home", "tile", "tiles", "group").distinct()
     other = F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("lower")
     siblings = tiles.select("home", "group", "tile", other).filter("lower < tile").select("group", F.xxhash64("home", "lower").alias("with"))
-    keyed = shared.join(members.select("row", "home", "group"), "row").select("key", "home", "group").distinct()
+    keyed = shared.join(members.select("row", "home", "group"), "row").groupBy("key", "home", "group").agg(F.min("need").alias("need"))
     keyed = materialise(keyed, "matrix")
-    with_ = keyed.select(F.col("key").alias("k"), F.col("home").alias("h"), F.col("group").alias("with"))
-    met = keyed.join(with_, (F.col("key") == F.col("k")) & (F.col("home") < F.col("h"))).select("group", "with").distinct()
+    with_ = keyed.select(F.col("key").alias("k"), F.col("home").alias("h"), F.col("group").alias("with"), F.col("need").alias("needs"))
+    met = keyed.join(with_, (F.col("key") == F.col("k")) & (F.col("home") < F.col("h")))
+    met = met.groupBy("group", "with", F.col("key").bitwiseAND(F.lit(INTERVAL))).agg(F.count(F.lit(1)).alias("keys"), F.min(F.greatest("need", "needs")).alias("need"))
+    met = met.filter("keys >= need").select("group", "with").distinct()
     return met.union(siblings).select(F.col("group").alias("g1"), F.col("with").alias("g2"))
 
 
@@ -343,7 +428,7 @@ def jaccard_join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = sign(docs.select(F.monotonically_increasing_id().alias("row"), *columns), percent)
     about = [F.min("row").alias("f"), F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least"), F.min("n").alias("n")]
     classes = materialise(signed.filter("n > 0").groupBy("s1", "s2").agg(*about), "classes")
-    shared = shared_keys(signed, classes)
+    shared = shared_keys(signed, classes, percent)
     members = assign_groups(shared, classes)
     groups = build_groups(signed, members, percent)
     inner = groups.select(F.explode(F.arrays_zip("rows", "heads", "linked")).alias("m")).select(F.col("m.rows").alias("row"), F.col("m.heads").alias("head"), "m.linked")

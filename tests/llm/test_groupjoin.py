@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from modelwatch.llm import groupjoin as G
 
@@ -91,6 +92,59 @@ def test_linked_sets_share_a_key():
                 assert set(keys.of(a).tolist()) & set(keys.of(b).tolist()), (percent, len(a), len(b), both)
 
 
+def test_linked_sets_share_the_keys_they_need():
+    rng = np.random.default_rng(5)
+    for percent in (60, 85, 95):
+        keys, beyond_one = G.PartKeys(percent), 0
+        for _ in range(600):
+            n = int(rng.integers(1, 700))
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+            edits = 1 + n * (100 - percent) // 200
+            less = np.delete(a, rng.integers(0, len(a), rng.integers(edits)))
+            b = np.unique(np.append(less, rng.integers(0, 1 << 63, rng.integers(edits), dtype=np.uint64)))
+            both = len(np.intersect1d(a, b))
+            if 100 * both < percent * (len(a) + len(b) - both) or np.array_equal(a, b):
+                continue
+            shared = [k & G.INTERVAL for k in set(keys.of(a).tolist()) & set(keys.of(b).tolist())]
+            needs = [{x & G.INTERVAL: x >> 8 for x in keys.needs(s)} for s in (a, b)]
+            smaller = G.bisect_left(keys.ends, min(len(a), len(b))) & G.INTERVAL
+            need = max(x[smaller] for x in needs)
+            assert shared.count(smaller) >= need, (percent, len(a), len(b), both)
+            beyond_one += need > 1
+        assert beyond_one > 20 or percent == 60  # where two sets may differ in most parts, one key is all they need
+
+
+def test_sets_that_share_phrases_only_are_not_stored(spark, monkeypatch):
+    """Texts of which any two have common phrases by chance, and so a key here and there."""
+    rng = random.Random(8)
+    phrases = [[f"p{i}x{j}" for j in range(4)] for i in range(40)]
+    rows = []
+    for i in range(60):
+        words = []
+        for p in rng.sample(phrases, 25):
+            words += [*p, *[f"u{rng.randrange(10**9)}" for _ in range(8)]]
+        rows.append((i, " ".join(words)))
+    rows.append((99, rows[0][1].replace(" u", " v", 1)))
+    stored, build_groups = [], G.build_groups
+
+    def seen(signed, members, percent):
+        stored.extend(r.row for r in members.select("row").collect())
+        return build_groups(signed, members, percent)
+
+    monkeypatch.setattr(G, "build_groups", seen)
+    found = sorted((tuple(r) for r in G.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert found == slow_join(rows) and [r[0] for r in found if r[3]] == [0, 99]
+    assert len(stored) == 2
+
+
+def test_texts_are_filtered_before_they_are_exchanged(spark):
+    rows = spark.range(5000).select(F.col("id").alias("row"), F.lit(b"x").alias("packed"))
+    some = rows.filter("row % 50 = 7").select("row")
+    passed = {r.row for r in G.passing(rows, G.row_filter(some)).collect()}
+    assert passed >= {r.row for r in some.collect()} and len(passed) < 110
+    assert not G.row_filter(some.limit(0)).any()
+
+
 def test_sets_in_few_parts_keep_their_empty_keys():
     keys = G.PartKeys(85)
     near = np.arange(1, 60, dtype=np.uint64)  # all tokens in one part
